@@ -34,7 +34,7 @@ def largest_row(attributes: Sequence[str], by: Column, tie: Column) -> list[Colu
     Equal values of ``by`` are settled by the smallest ``tie``.
     """
     return [
-        F.min(F.when(F.col(name).isNotNull(), F.struct(-by, tie, F.col(name))))[name].alias(name)
+        F.min(F.when(F.col(name).isNotNull(), F.struct((-by).alias("o"), tie.alias("t"), F.col(name).alias("v"))))["v"].alias(name)
         for name in attributes
     ]
 

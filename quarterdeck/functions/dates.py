@@ -2,23 +2,18 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # US federal holidays as published by the government.
-# (month, day, first year observed) for dates that shift to the nearest weekday.
-FIXED_HOLIDAYS = ((1, 1, 0), (6, 19, 2021), (7, 4, 0), (11, 11, 0), (12, 25, 0))
-# (month, Spark weekday with Sunday = 1, first and last day of month, first year observed).
-FLOATING_HOLIDAYS = (
-    (1, 2, 15, 21, 1986),
-    (2, 2, 15, 21, 0),
-    (5, 2, 25, 31, 0),
-    (9, 2, 1, 7, 0),
-    (10, 2, 8, 14, 0),
-    (11, 5, 22, 28, 0),
-)
+# Dates moved to the nearest weekday, written month * 100 + day.
+NEAREST_WEEKDAY = (101, 704, 1111, 1225)
+JUNETEENTH, JUNETEENTH_SINCE = 619, 2021
+# Mondays, written month * 10 + week of the month: Presidents, Labor, Columbus.
+MONDAYS = (23, 91, 102)
+MARTIN_LUTHER_KING, MARTIN_LUTHER_KING_SINCE = 13, 1986
+THANKSGIVING_THURSDAY = 114
+MEMORIAL_MONTH, MEMORIAL_FROM_DAY = 5, 25
 _LONGEST_CLOSURE_DAYS = 6
 
 
@@ -53,24 +48,27 @@ def week_ending_friday(day: Column) -> Column:
 
 def is_federal_holiday(day: Column) -> Column:
     """True on the observed date of a US federal holiday."""
-    weekday = F.dayofweek(day)
-
-    def falls_on(when: Column, month: int, dom: int, since: int) -> Column:
-        return (F.month(when) == month) & (F.dayofmonth(when) == dom) & (F.year(when) >= since)
-
-    tests = []
-    for month, dom, since in FIXED_HOLIDAYS:
-        tests.append(falls_on(day, month, dom, since) & weekday.between(2, 6))
-        tests.append(falls_on(F.date_add(day, 1), month, dom, since) & (weekday == 6))
-        tests.append(falls_on(F.date_sub(day, 1), month, dom, since) & (weekday == 2))
-    for month, which, first, last, since in FLOATING_HOLIDAYS:
-        tests.append(
-            (F.month(day) == month)
-            & (weekday == which)
-            & F.dayofmonth(day).between(first, last)
-            & (F.year(day) >= since)
+    weekday = F.dayofweek(day)  # Sunday is 1
+
+    def is_fixed(when: Column) -> Column:
+        code = F.month(when) * 100 + F.dayofmonth(when)
+        return code.isin(*NEAREST_WEEKDAY) | (
+            (code == JUNETEENTH) & (F.year(when) >= JUNETEENTH_SINCE)
         )
-    return reduce(lambda a, b: a | b, tests)
+
+    week_code = F.month(day) * 10 + F.ceil(F.dayofmonth(day) / 7)
+    monday = (
+        week_code.isin(*MONDAYS)
+        | ((week_code == MARTIN_LUTHER_KING) & (F.year(day) >= MARTIN_LUTHER_KING_SINCE))
+        | ((F.month(day) == MEMORIAL_MONTH) & (F.dayofmonth(day) >= MEMORIAL_FROM_DAY))
+        | is_fixed(F.date_sub(day, 1))
+    )
+    return (
+        (weekday.between(2, 6) & is_fixed(day))
+        | ((weekday == 2) & monday)
+        | ((weekday == 5) & (week_code == THANKSGIVING_THURSDAY))
+        | ((weekday == 6) & is_fixed(F.date_add(day, 1)))
+    )
 
 
 def is_business_day(day: Column) -> Column:

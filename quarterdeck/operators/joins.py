@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from quarterdeck.functions.dates import month_index
+from quarterdeck.functions.dates import filing_deadline, month_index
 
 
 def cardinality_audit(left: DataFrame, right: DataFrame, on: Sequence[str]) -> DataFrame:
@@ -298,3 +298,16 @@ def linked_pairs(
         .groupBy(period, security)
         .agg(F.sum(weight).alias("linked_weight"), F.count(F.lit(1)).alias("linked_pairs"))
     )
+
+
+def with_filing_deadline(
+    frame: DataFrame, period: str = "report_period", output: str = "information_date", lag_days: int = 45
+) -> DataFrame:
+    """Add the filing deadline of each row's period.
+
+    The holiday rules are evaluated once per distinct period. That table is broadcast: it holds
+    at most one row per calendar day in the data, so it cannot grow with the rows.
+    """
+    periods = frame.select(period).where(F.col(period).isNotNull()).distinct()
+    deadlines = periods.withColumn(output, filing_deadline(F.col(period), lag_days))
+    return frame.join(F.broadcast(deadlines), period, "left").select(*frame.columns, output)

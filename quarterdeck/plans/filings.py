@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quarterdeck.functions import dates
 from quarterdeck.functions.scalars import lenient_long
+from quarterdeck.operators.joins import with_filing_deadline
 
 # Form and report type texts used by the regulator, and decision labels.
 HOLDINGS_FORM_PREFIX = "13F-HR"
@@ -32,11 +33,10 @@ def prepare_filings(
             "filed_on": dates.parse_date(F.col("FILING_DATE")),
         }
     )
-    timed = dated.withColumns(
+    timed = with_filing_deadline(dated, "report_period", "filing_deadline", lag_days).withColumns(
         {
             "filing_lag_days": F.datediff(filed, period),
             "is_standard_quarter_end": dates.is_quarter_end(period),
-            "filing_deadline": dates.filing_deadline(period, lag_days),
         }
     ).withColumns(
         {

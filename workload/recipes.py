@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarterdeck.functions import dates
+from quarterdeck.operators.aggregates import with_share_of_total
+from quarterdeck.operators.joins import with_filing_deadline
 
 PART_TYPES = ("ECONOMY", "LARGE", "MEDIUM", "PROMO", "SMALL", "STANDARD")
 
@@ -147,17 +149,14 @@ cte(
 
 def positions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Manager-security values per quarter, before weights."""
-    return (
+    return with_filing_deadline(
         lines(spark, sf_dir)
         .groupBy("report_period", "manager", "permno")
         .agg(F.sum("cents").alias("position_value"))
-        .withColumn("information_date", dates.filing_deadline(F.col("report_period")))
     )
 
 
 def holdings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from quarterdeck.operators.aggregates import with_share_of_total
-
     return with_share_of_total(
         positions(spark, sf_dir),
         ["report_period", "manager"],
@@ -301,7 +300,7 @@ def sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Stock-quarters with a prediction, realised outcomes and features."""
     n, d, t = F.col("n"), F.col("d"), F.col("t")
     year = F.year("report_period")
-    return (
+    return with_filing_deadline(
         lines(spark, sf_dir)
         .groupBy("report_period", F.col("partkey").alias("permno"))
         .agg(
@@ -311,7 +310,6 @@ def sample(spark: SparkSession, sf_dir: str) -> DataFrame:
         )
         .select(
             "report_period",
-            dates.filing_deadline(F.col("report_period")).alias("information_date"),
             "permno",
             F.col("first_day").alias("target_window_start"),
             F.date_add("report_period", 45 + 91).alias("target_window_end"),
