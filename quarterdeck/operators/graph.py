@@ -300,17 +300,18 @@ def modularity_communities(
     second: str,
     weight: str,
     resolution: float = 1.0,
-    max_levels: int = 4,
-    max_rounds: int = 8,
+    max_levels: int = 3,
+    rounds: int = 5,
     tolerance: float = 1e-6,
 ) -> DataFrame:
     """Weighted communities per group by distributed local moving and contraction.
 
     In a round every node weighs its neighbouring communities by modularity gain and about half
     of the nodes (chosen by a hash that changes with the round) take their best move, which
-    keeps neighbours from swapping for ever. The labelling of highest modularity (summed over
-    groups) is kept; communities are then contracted to nodes and moving starts again until
-    nothing improves. All groups advance together. Labels are numbered by falling size, then smallest member.
+    keeps neighbours from swapping for ever. After a number of rounds communities are contracted to
+    nodes and moving starts again, until a level no longer raises modularity (summed over
+    groups). All groups advance together. Labels are numbered by falling size, then smallest
+    member.
     """
     base = cut_lineage(
         edges.select(group, F.col(first).alias("u"), F.col(second).alias("v"), F.col(weight).cast("double").alias("w"))
@@ -323,7 +324,7 @@ def modularity_communities(
     )
     best_score = _scores(base, assignment, group, resolution)
     for level in range(max_levels):
-        labels, improved = _local_moving(level_edges, group, resolution, max_rounds, tolerance, level)
+        labels = _local_moving(level_edges, group, resolution, rounds, level)
         merged = assignment.join(
             labels.select(group, F.col("node").alias("community"), F.col("community").alias("_next")),
             [group, "community"],
@@ -331,9 +332,11 @@ def modularity_communities(
         ).select(group, "node", F.coalesce("_next", "community").alias("community"))
         merged = cut_lineage(merged)
         score = _scores(base, merged, group, resolution)
-        if not improved or sum(score.values()) <= sum(best_score.values()) + tolerance:
+        if sum(score.values()) <= sum(best_score.values()) + tolerance:
             break
         assignment, best_score = merged, score
+        if level + 1 == max_levels:
+            break
         a = labels.select(group, F.col("node").alias("u"), F.col("community").alias("cu"))
         b = labels.select(group, F.col("node").alias("v"), F.col("community").alias("cv"))
         level_edges = cut_lineage(
@@ -351,8 +354,9 @@ def _scores(edges: DataFrame, labels: DataFrame, group: str, resolution: float)
 
 
 def _local_moving(
-    edges: DataFrame, group: str, resolution: float, max_rounds: int, tolerance: float, level: int
-) -> tuple[DataFrame, bool]:
+    edges: DataFrame, group: str, resolution: float, rounds: int, level: int
+) -> DataFrame:
+    """A fixed number of half-step moving rounds, each stored so that lineage stays short."""
     plain = edges.where(F.col("u") != F.col("v"))
     arcs = plain.select(group, "u", "v", "w").unionByName(
         plain.select(group, F.col("v").alias("u"), F.col("u").alias("v"), "w")
@@ -363,9 +367,7 @@ def _local_moving(
     total = edges.groupBy(group).agg(F.sum("w").alias("m"))
     fixed = cut_lineage(strength.join(total, group))
     labels = fixed.select(group, F.col("u").alias("node"), F.col("u").alias("community"))
-    best, best_sum, any_gain = labels, None, False
-    stalled = 0
-    for round_number in range(max_rounds):
+    for round_number in range(rounds):
         state = labels.join(fixed.withColumnRenamed("u", "node"), [group, "node"])
         volume = state.groupBy(group, "community").agg(F.sum("k").alias("tot"))
         near = (
@@ -388,23 +390,13 @@ def _local_moving(
         )
         turn = F.pmod(F.xxhash64("u", F.lit(round_number + 31 * level)), F.lit(2)) == 0
         moves = turn & (F.col("best.gain") > F.col("stay"))
-        moved = cut_lineage(
+        labels = cut_lineage(
             choice.select(
                 group, F.col("u").alias("node"),
                 F.when(moves, -F.col("best.c")).otherwise(F.col("own")).alias("community"),
             )
         )
-        score = sum(_scores(edges, moved, group, resolution).values())
-        if best_sum is None:
-            best_sum = sum(_scores(edges, labels, group, resolution).values())
-        if score > best_sum + tolerance:
-            best, best_sum, any_gain, stalled = moved, score, True, 0
-        else:
-            stalled += 1
-        labels = moved
-        if stalled == 2:
-            break
-    return best, any_gain
+    return labels
 
 
 def number_communities(assignment: DataFrame, group: str) -> DataFrame:

@@ -49,10 +49,13 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 
 
 def cut_lineage(frame: DataFrame) -> DataFrame:
-    """Materialise a frame in the shared folder so that later rounds start from files."""
+    """Store a frame as a table in the shared folder and continue from the stored files.
+
+    A stored table survives the loss of executors, is computed once, can be pruned by column
+    and has file sizes the planner can rely on. Unlike a checkpointed plan it also carries no
+    inferred constraints forward, which grow without bound over the rounds of a loop.
+    """
     spark = frame.sparkSession
-    folder = shared_folder(spark)
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(folder)
-    return frame.checkpoint(eager=True)
+    path = scratch_path(spark, "stage")
+    frame.write.mode("errorifexists").parquet(path)
+    return spark.read.schema(frame.schema).parquet(path)

@@ -175,7 +175,7 @@ cte(
     """
     SELECT permno, day,
         CASE WHEN (date_diff('day', DATE '1995-01-01', day) + permno) % 50 = 0 THEN NULL
-             ELSE d / (n * 100.0) - 0.05 END AS ret,
+             ELSE d / (n * 97.0) - 0.05 END AS ret,
         c / 100.0 / q AS price, c / 100.0 AS cap, CAST(q AS DOUBLE) AS volume,
         CASE WHEN (date_diff('day', DATE '1995-01-01', day) + permno) % 97 = 0 THEN 'H' ELSE 'A' END AS trading_status,
         CASE WHEN permno % 4 = 0 AND day = last_day_seen THEN 'Y' ELSE 'N' END AS delisting_flag
@@ -199,7 +199,7 @@ def daily(spark: SparkSession, sf_dir: str) -> DataFrame:
     return grouped.join(last, "permno").select(
         "permno",
         "day",
-        F.when(number % 50 != 0, F.col("d") / (F.col("n") * F.lit(100.0)) - 0.05).alias("ret"),
+        F.when(number % 50 != 0, F.col("d") / (F.col("n") * F.lit(97.0)) - 0.05).alias("ret"),
         (F.col("c") / F.lit(100.0) / F.col("q")).alias("price"),
         (F.col("c") / F.lit(100.0)).alias("cap"),
         F.col("q").cast("double").alias("volume"),
@@ -214,7 +214,7 @@ def daily(spark: SparkSession, sf_dir: str) -> DataFrame:
 cte(
     "market",
     """
-    SELECT day, CAST(sum(disc) AS BIGINT) / (count(*) * 100.0) - 0.05 AS market_return
+    SELECT day, CAST(sum(disc) AS BIGINT) / (count(*) * 97.0) - 0.05 AS market_return
     FROM lines GROUP BY day
     """,
     "lines",
@@ -228,7 +228,7 @@ def market(spark: SparkSession, sf_dir: str) -> DataFrame:
         .agg(
             (
                 F.sum(F.round(F.col("l_discount") * 100).cast("bigint"))
-                / (F.count(F.lit(1)) * F.lit(100.0))
+                / (F.count(F.lit(1)) * F.lit(97.0))
                 - 0.05
             ).alias("market_return")
         )
@@ -279,11 +279,11 @@ cte(
         CAST(s.report_period + 45 + 91 AS DATE) AS target_window_end,
         CASE WHEN year(s.report_period) <= 1998 THEN 'train' WHEN year(s.report_period) = 1999 THEN 'validation'
              ELSE 'test' END AS sample_split,
-        (d * 1.0 / n + (s.partkey % 7) * 0.5) / 20.0 AS prediction,
-        d / (n * 10.0) AS target,
-        t / (n * 8.0) AS outcome_volatility,
-        (3.0 - dmax) / 100.0 AS outcome_five_day,
-        (dmin - 5.0) / 100.0 AS outcome_return,
+        (d * 1.0 / n + (s.partkey % 7) * 0.5) / 20.3 AS prediction,
+        d / (n * 10.3) AS target,
+        t / (n * 8.3) AS outcome_volatility,
+        (3.0 - dmax) / 103.0 AS outcome_five_day,
+        (dmin - 5.0) / 97.0 AS outcome_return,
         c / 100.0 AS f_value, CAST(q AS DOUBLE) AS f_size, d / (n * 1.0) AS f_discount, t / (n * 1.0) AS f_tax,
         CASE WHEN s.partkey % 5 <> 0 THEN q / (n * 1.0) END AS f_sparse, CAST(dmax - dmin AS DOUBLE) AS f_spread
     FROM (SELECT report_period, partkey, count(*) AS n, CAST(sum(disc) AS BIGINT) AS d, CAST(sum(tax) AS BIGINT) AS t,
@@ -315,11 +315,11 @@ def sample(spark: SparkSession, sf_dir: str) -> DataFrame:
             F.date_add("report_period", 45 + 91).alias("target_window_end"),
             F.when(year <= 1998, "train").when(year == 1999, "validation").otherwise("test")
             .alias("sample_split"),
-            ((d * F.lit(1.0) / n + (F.col("permno") % 7) * 0.5) / 20.0).alias("prediction"),
-            (d / (n * F.lit(10.0))).alias("target"),
-            (t / (n * F.lit(8.0))).alias("outcome_volatility"),
-            ((F.lit(3.0) - F.col("dmax")) / 100.0).alias("outcome_five_day"),
-            ((F.col("dmin") - F.lit(5.0)) / 100.0).alias("outcome_return"),
+            ((d * F.lit(1.0) / n + (F.col("permno") % 7) * 0.5) / 20.3).alias("prediction"),
+            (d / (n * F.lit(10.3))).alias("target"),
+            (t / (n * F.lit(8.3))).alias("outcome_volatility"),
+            ((F.lit(3.0) - F.col("dmax")) / 103.0).alias("outcome_five_day"),
+            ((F.col("dmin") - F.lit(5.0)) / 97.0).alias("outcome_return"),
             (F.col("c") / F.lit(100.0)).alias("f_value"),
             F.col("q").cast("double").alias("f_size"),
             (d / (n * F.lit(1.0))).alias("f_discount"),
