@@ -279,9 +279,9 @@ cte(
         CAST(s.report_period + 45 + 91 AS DATE) AS target_window_end,
         CASE WHEN year(s.report_period) <= 1998 THEN 'train' WHEN year(s.report_period) = 1999 THEN 'validation'
              ELSE 'test' END AS sample_split,
-        (d * 1.0 / n + (s.partkey % 7) * 0.5) / 20.3 AS prediction,
-        d / (n * 10.3) AS target,
-        t / (n * 8.3) AS outcome_volatility,
+        (CAST(d AS DOUBLE) / n + (s.partkey % 7) * 0.5) / 20.3 AS prediction,
+        CAST(d AS DOUBLE) / n / 10.3 AS target,
+        CAST(t AS DOUBLE) / n / 8.3 AS outcome_volatility,
         (3.0 - dmax) / 103.0 AS outcome_five_day,
         (dmin - 5.0) / 97.0 AS outcome_return,
         c / 100.0 AS f_value, CAST(q AS DOUBLE) AS f_size, d / (n * 1.0) AS f_discount, t / (n * 1.0) AS f_tax,
@@ -316,8 +316,8 @@ def sample(spark: SparkSession, sf_dir: str) -> DataFrame:
             F.when(year <= 1998, "train").when(year == 1999, "validation").otherwise("test")
             .alias("sample_split"),
             ((d * F.lit(1.0) / n + (F.col("permno") % 7) * 0.5) / 20.3).alias("prediction"),
-            (d / (n * F.lit(10.3))).alias("target"),
-            (t / (n * F.lit(8.3))).alias("outcome_volatility"),
+            (d.cast("double") / n / 10.3).alias("target"),
+            (t.cast("double") / n / 8.3).alias("outcome_volatility"),
             ((F.lit(3.0) - F.col("dmax")) / 103.0).alias("outcome_five_day"),
             ((F.col("dmin") - F.lit(5.0)) / 97.0).alias("outcome_return"),
             (F.col("c") / F.lit(100.0)).alias("f_value"),
