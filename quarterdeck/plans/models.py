@@ -160,14 +160,14 @@ def ridge_complexity(
         freedom = float(np.sum(eigenvalues / (eigenvalues + alpha)))
         r2 = 1 - residual / total
         parameters = freedom + 1
-        rows.append(
-            (
-                float(alpha), n, freedom, r2,
-                1 - (1 - r2) * (n - 1) / (n - freedom - 1),
-                n * math.log(residual / n) + 2 * parameters,
-                n * math.log(residual / n) + math.log(n) * parameters,
-            )
+        measures = (
+            freedom,
+            r2,
+            1 - (1 - r2) * (n - 1) / (n - freedom - 1),
+            n * math.log(residual / n) + 2 * parameters,
+            n * math.log(residual / n) + math.log(n) * parameters,
         )
+        rows.append((float(alpha), n, *[float(m) for m in measures]))
     schema = (
         "alpha double, observations long, effective_degrees double, r2 double, adjusted_r2 double, aic double, bic double"
     )

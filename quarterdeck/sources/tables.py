@@ -85,10 +85,11 @@ def write_small_csv(frame: DataFrame, path: str, mode: str = "errorifexists") ->
 
 
 def file_digests(spark: SparkSession, path: str) -> DataFrame:
-    """SHA-256 of each landed file (one file per row, read whole, at most 2 GB each)."""
+    """SHA-256 of each landed file, named by its place below the folder (at most 2 GB each)."""
+    root = path.rstrip("/").rsplit("/", 1)[-1]
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
     return files.select(
-        F.element_at(F.split("path", "/"), -1).alias("file_name"), "length", F.sha2("content", 256).alias("digest")
+        F.substring_index("path", f"/{root}/", -1).alias("file_name"), "length", F.sha2("content", 256).alias("digest")
     )
 
 

@@ -339,9 +339,9 @@ def _(spark, sf):
     return jn.reconcile(side(3), side(5), ["k"], ["v"], 0.5)
 
 
-@case("j12_anti_join", "SELECT c_custkey FROM customer ANTI JOIN orders ON o_custkey = c_custkey")
+@case("j12_anti_join", "SELECT c_custkey FROM customer ANTI JOIN (SELECT o_custkey FROM orders WHERE o_orderkey % 5 = 0) ON o_custkey = c_custkey")
 def _(spark, sf):
-    parents = R.table(spark, sf, "orders").select(F.col("o_custkey").alias("c_custkey"))
+    parents = R.table(spark, sf, "orders").where("o_orderkey % 5 = 0").select(F.col("o_custkey").alias("c_custkey"))
     return jn.orphans(R.table(spark, sf, "customer").select("c_custkey"), parents, ["c_custkey"])
 
 

@@ -561,7 +561,7 @@ def _(spark, sf):
 
 
 # ------------------------------------------------------------------ models
-MODEL_FEATURES = ["f_value", "f_size", "f_discount", "f_tax", "f_sparse"]
+MODEL_FEATURES = ["f_value", "f_size", "f_spread", "f_sparse"]
 
 
 def prepared(spark, sf):
@@ -574,7 +574,7 @@ def prepared(spark, sf):
 def _(spark, sf):
     frame = prepared(spark, sf)
     return md.tune_ridge(
-        frame.where("sample_split = 'train'"), frame.where("sample_split = 'validation'"), MODEL_FEATURES, "outcome_volatility"
+        frame.where("sample_split = 'train'"), frame.where("sample_split = 'validation'"), MODEL_FEATURES, "target"
     )
 
 
@@ -589,14 +589,14 @@ def _(spark, sf):
 @case("m6_fixed_specification_refit")
 def _(spark, sf):
     frame = prepared(spark, sf)
-    groups = {"market": MODEL_FEATURES[:2], "augmented": MODEL_FEATURES[:4], "network_augmented": MODEL_FEATURES}
+    groups = {"market": MODEL_FEATURES[:2], "augmented": MODEL_FEATURES[:3], "network_augmented": MODEL_FEATURES}
     return md.refit_feature_groups(frame, groups, "target", alpha=1.0)
 
 
 @case("m9_staged_selection")
 def _(spark, sf):
     frame = prepared(spark, sf)
-    groups = {"market": MODEL_FEATURES[:2], "augmented": MODEL_FEATURES[:4], "network_augmented": MODEL_FEATURES}
+    groups = {"market": MODEL_FEATURES[:2], "augmented": MODEL_FEATURES[:3], "network_augmented": MODEL_FEATURES}
     return md.staged_selection(frame, groups, "target", rounds=5)
 
 
