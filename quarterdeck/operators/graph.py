@@ -14,6 +14,7 @@ from pyspark.sql.window import Window
 from quarterdeck.session import cut_lineage
 
 _MAX_ROUNDS = 60
+_ROWS_PER_PRODUCT = 100_000
 
 
 def connected_components(
@@ -149,20 +150,25 @@ class _TileMultiplier:
     def __call__(self, batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         open_key, tile = None, None
         pending: list[pd.DataFrame] = []
-        pending_block = None
+        held = 0
         for batch in batches:
             if batch.empty:
                 continue
-            for (g, a, b, block), part in batch.groupby(["g", "a", "b", "block"], sort=False):
-                if (g, a, b) != open_key:
+            for key, part in batch.groupby(["g", "a", "b"], sort=False):
+                if key != open_key:
                     if tile is not None:
                         tile.add(pd.concat(pending))
                         yield from tile.emit(open_key[0])
-                    open_key, tile, pending, pending_block = (g, a, b), _TilePair(self, a == b), [], block
-                elif block != pending_block:
-                    tile.add(pd.concat(pending))
-                    pending, pending_block = [], block
+                    open_key, tile, pending, held = key, _TilePair(self, key[1] == key[2]), [], 0
                 pending.append(part)
+                held += len(part)
+                if held >= _ROWS_PER_PRODUCT:
+                    # Rows are sorted by block and only the last block may still continue.
+                    rows = pd.concat(pending)
+                    complete = rows["block"] != rows["block"].iloc[-1]
+                    if complete.any():
+                        tile.add(rows[complete])
+                    pending, held = [rows[~complete]], int((~complete).sum())
         if tile is not None:
             tile.add(pd.concat(pending))
             yield from tile.emit(open_key[0])

@@ -79,3 +79,19 @@ def test_state_resets_after_a_gap(spark):
     frame = spark.createDataFrame(rows, "e string, n int, v double")
     got = [r["state"] for r in graph.carried_state(frame, "e", F.col("n"), "v", 0.5).orderBy("n").collect()]
     assert got == [0.5, 0.75, 0.5]
+
+
+def test_tiles_are_multiplied_in_pieces(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    rows = [("q", 0, 0, s, i, float(rng.random()), True, True, i % 5) for s in range(12) for i in range(30)]
+    import pandas as pd
+
+    frame = pd.DataFrame(rows, columns=["g", "a", "b", "s", "i", "w", "in_a", "in_b", "block"]).sort_values("block")
+    whole = pd.concat(graph._TileMultiplier(3, 12)(iter([frame])))
+    monkeypatch.setattr(graph, "_ROWS_PER_PRODUCT", 20)
+    pieces = [frame.iloc[i : i + 17] for i in range(0, len(frame), 17)]
+    split = pd.concat(graph._TileMultiplier(3, 12)(iter(pieces)))
+    keys = ["s", "t"]
+    pd.testing.assert_frame_equal(
+        whole.sort_values(keys).reset_index(drop=True), split.sort_values(keys).reset_index(drop=True)
+    )
