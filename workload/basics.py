@@ -328,26 +328,26 @@ def _(spark, sf):
     "j11_reconciliation",
     """SELECT count(*) FILTER (WHERE a.k IS NOT NULL AND b.k IS NOT NULL) AS matched_rows, count(*) FILTER (WHERE b.k IS NULL) AS left_only_rows, count(*) FILTER (WHERE a.k IS NULL) AS right_only_rows,
         count(*) FILTER (WHERE abs(a.v - b.v) > 0.5) AS v_differences
-    FROM (SELECT o_custkey AS k, sum(o_totalprice) AS v FROM orders WHERE o_orderkey % 3 <> 0 GROUP BY 1) a FULL JOIN (SELECT o_custkey AS k, sum(o_totalprice) AS v FROM orders WHERE o_orderkey % 5 <> 0 GROUP BY 1) b USING (k)""",
+    FROM (SELECT o_custkey AS k, sum(o_totalprice) AS v FROM orders WHERE o_orderstatus <> 'P' GROUP BY 1) a FULL JOIN (SELECT o_custkey AS k, sum(o_totalprice) AS v FROM orders WHERE o_orderpriority <> '5-LOW' GROUP BY 1) b USING (k)""",
 )
 def _(spark, sf):
     o = R.table(spark, sf, "orders")
 
-    def side(m):
-        return o.where(F.col("o_orderkey") % m != 0).groupBy(F.col("o_custkey").alias("k")).agg(F.sum("o_totalprice").alias("v"))
+    def side(test):
+        return o.where(test).groupBy(F.col("o_custkey").alias("k")).agg(F.sum("o_totalprice").alias("v"))
 
-    return jn.reconcile(side(3), side(5), ["k"], ["v"], 0.5)
+    return jn.reconcile(side("o_orderstatus <> 'P'"), side("o_orderpriority <> '5-LOW'"), ["k"], ["v"], 0.5)
 
 
-@case("j12_anti_join", "SELECT c_custkey FROM customer ANTI JOIN (SELECT o_custkey FROM orders WHERE o_orderkey % 5 = 0) ON o_custkey = c_custkey")
+@case("j12_anti_join", "SELECT c_custkey FROM customer ANTI JOIN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'P') ON o_custkey = c_custkey")
 def _(spark, sf):
-    parents = R.table(spark, sf, "orders").where("o_orderkey % 5 = 0").select(F.col("o_custkey").alias("c_custkey"))
+    parents = R.table(spark, sf, "orders").where("o_orderstatus = 'P'").select(F.col("o_custkey").alias("c_custkey"))
     return jn.orphans(R.table(spark, sf, "customer").select("c_custkey"), parents, ["c_custkey"])
 
 
-@case("j13_semi_join", "SELECT permno, count(*) AS days, sum(volume) AS volume FROM daily WHERE permno IN (SELECT permno FROM lines WHERE qty >= 50 AND permno % 3 = 0) GROUP BY 1", uses="daily lines")
+@case("j13_semi_join", "SELECT permno, count(*) AS days, sum(volume) AS volume FROM daily WHERE permno IN (SELECT permno FROM lines WHERE qty >= 50 AND disc = 10 AND tax = 8) GROUP BY 1", uses="daily lines")
 def _(spark, sf):
-    members = R.lines(spark, sf).where((F.col("qty") >= 50) & (F.col("permno") % 3 == 0))
+    members = R.lines(spark, sf).where((F.col("qty") >= 50) & (F.col("disc") == 10) & (F.col("tax") == 8))
     return jn.restrict_to_members(R.daily(spark, sf), members, ["permno"]).groupBy("permno").agg(
         F.count(F.lit(1)).alias("days"), F.sum("volume").alias("volume")
     )
@@ -355,12 +355,12 @@ def _(spark, sf):
 
 @case(
     "j15_membership_sides",
-    "SELECT coalesce(a.permno, b.permno) AS permno, CASE WHEN a.permno IS NULL THEN 'right_only' WHEN b.permno IS NULL THEN 'left_only' ELSE 'both' END AS side FROM (SELECT DISTINCT permno FROM lines WHERE permno % 2 = 0) a FULL JOIN (SELECT DISTINCT permno FROM lines WHERE permno % 3 = 0) b ON a.permno = b.permno",
+    "SELECT coalesce(a.partkey, b.partkey) AS partkey, CASE WHEN a.partkey IS NULL THEN 'right_only' WHEN b.partkey IS NULL THEN 'left_only' ELSE 'both' END AS side FROM (SELECT DISTINCT partkey FROM lines WHERE disc >= 10) a FULL JOIN (SELECT DISTINCT partkey FROM lines WHERE qty >= 48) b ON a.partkey = b.partkey",
     uses="lines",
 )
 def _(spark, sf):
     x = R.lines(spark, sf)
-    return jn.membership_sides(x.where("permno % 2 = 0"), x.where("permno % 3 = 0"), ["permno"])
+    return jn.membership_sides(x.where("disc >= 10"), x.where("qty >= 48"), ["partkey"])
 
 
 @case(
@@ -639,10 +639,10 @@ def _(spark, sf):
     return predictions(spark, sf)
 
 
-@case("u4_symmetric_difference", "SELECT permno, CASE WHEN permno % 2 = 0 THEN 'left_only' ELSE 'right_only' END AS side FROM (SELECT DISTINCT permno FROM lines WHERE (permno % 2 = 0) <> (permno % 3 = 0))", uses="lines")
+@case("u4_symmetric_difference", "SELECT partkey, CASE WHEN a THEN 'left_only' ELSE 'right_only' END AS side FROM (SELECT partkey, bool_or(disc >= 10) AS a, bool_or(qty >= 48) AS b FROM lines GROUP BY 1) WHERE a <> b", uses="lines")
 def _(spark, sf):
     x = R.lines(spark, sf)
-    return jn.symmetric_difference(x.where("permno % 2 = 0"), x.where("permno % 3 = 0"), ["permno"])
+    return jn.symmetric_difference(x.where("disc >= 10"), x.where("qty >= 48"), ["partkey"])
 
 
 @case(
@@ -667,10 +667,10 @@ def _(spark, sf):
 
 @case(
     "q2_orphan_counts",
-    "SELECT 'lineitem' AS child_table, count(*) AS orphan_rows FROM lineitem WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders WHERE o_orderkey % 7 <> 0) UNION ALL SELECT 'returned', count(*) FROM lineitem WHERE l_returnflag = 'R' AND l_orderkey NOT IN (SELECT o_orderkey FROM orders WHERE o_orderkey % 7 <> 0)",
+    "SELECT 'lineitem' AS child_table, count(*) AS orphan_rows FROM lineitem WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders WHERE o_orderstatus <> 'P') UNION ALL SELECT 'returned', count(*) FROM lineitem WHERE l_returnflag = 'R' AND l_orderkey NOT IN (SELECT o_orderkey FROM orders WHERE o_orderstatus <> 'P')",
 )
 def _(spark, sf):
-    parents = R.table(spark, sf, "orders").where("o_orderkey % 7 <> 0").select(F.col("o_orderkey").alias("l_orderkey"))
+    parents = R.table(spark, sf, "orders").where("o_orderstatus <> 'P'").select(F.col("o_orderkey").alias("l_orderkey"))
     item = R.table(spark, sf, "lineitem")
     return jn.orphan_counts(parents, {"lineitem": item, "returned": item.where("l_returnflag = 'R'")}, ["l_orderkey"])
 
@@ -715,9 +715,9 @@ def _(spark, sf):
 
 @case(
     "q8_calendar_agreement",
-    "SELECT count(*) FILTER (WHERE a.day IS NOT NULL AND b.day IS NOT NULL) AS matched_rows, count(*) FILTER (WHERE b.day IS NULL) AS left_only_rows, count(*) FILTER (WHERE a.day IS NULL) AS right_only_rows FROM (SELECT DISTINCT day FROM daily WHERE permno % 10 = 1) a FULL JOIN (SELECT DISTINCT day FROM market) b ON a.day = b.day",
+    "SELECT count(*) FILTER (WHERE a.day IS NOT NULL AND b.day IS NOT NULL) AS matched_rows, count(*) FILTER (WHERE b.day IS NULL) AS left_only_rows, count(*) FILTER (WHERE a.day IS NULL) AS right_only_rows FROM (SELECT DISTINCT day FROM daily WHERE volume >= 100) a FULL JOIN (SELECT DISTINCT day FROM market) b ON a.day = b.day",
     uses="daily market",
 )
 def _(spark, sf):
-    days = R.daily(spark, sf).where("permno % 10 = 1").select("day").distinct()
+    days = R.daily(spark, sf).where("volume >= 100").select("day").distinct()
     return jn.reconcile(days, R.market(spark, sf).select("day").distinct(), ["day"], [])

@@ -270,7 +270,7 @@ def _(spark, sf):
 @case(
     "c6_connected_components",
     """
-    WITH RECURSIVE e AS (SELECT DISTINCT report_period, manager * 2 + 1 AS a, CAST(permno AS BIGINT) * 2 AS b FROM holdings WHERE manager % 9 = permno % 9),
+    WITH RECURSIVE e AS (SELECT DISTINCT report_period, manager * 2 + 1 AS a, CAST(permno AS BIGINT) * 2 AS b FROM holdings),
     n AS (SELECT report_period, a, b FROM e UNION SELECT report_period, b, a FROM e),
     reach(report_period, node, lab) AS (
         SELECT report_period, a, a FROM n
@@ -283,9 +283,7 @@ def _(spark, sf):
     uses="holdings", doubles="largest_component_share",
 )
 def _(spark, sf):
-    """Components of a thinned graph, so that a period has more than one."""
-    thinned = R.holdings(spark, sf).where(F.col("manager") % 9 == F.col("permno") % 9)
-    return nw.network_components(thinned)
+    return nw.network_components(R.positions(spark, sf))
 
 
 K_COUNTS = (3, 5, 10)
@@ -584,23 +582,16 @@ def _(spark, sf):
 
 @case(
     "p9_guarded_changes",
-    """SELECT report_period, permno, institutional_holder_count_change, institutional_holder_count_change_percent FROM (
-        SELECT *, CASE WHEN q = 1 THEN institutional_holder_count - ph END AS institutional_holder_count_change,
-            CASE WHEN q = 1 THEN 100.0 * (institutional_holder_count - ph) / nullif(ph, 0) END AS institutional_holder_count_change_percent
-        FROM (SELECT *, date_diff('quarter', lag(report_period) OVER w, report_period) AS q, lag(institutional_holder_count) OVER w AS ph
-              FROM securities WHERE (permno + quarter(report_period)) % 7 <> 0 WINDOW w AS (PARTITION BY permno ORDER BY report_period)))""",
-    uses="securities", doubles="institutional_holder_count_change_percent",
+    """SELECT report_period, permno, CASE WHEN q = 1 THEN f_size - ph END AS size_change, CASE WHEN q = 1 THEN 100.0 * (f_size - ph) / nullif(ph, 0) END AS size_change_percent
+        FROM (SELECT *, date_diff('quarter', lag(report_period) OVER w, report_period) AS q, lag(f_size) OVER w AS ph
+              FROM sample WINDOW w AS (PARTITION BY permno ORDER BY report_period))""",
+    uses="sample", doubles="size_change size_change_percent",
 )
 def _(spark, sf):
-    nodes = R.positions(spark, sf).groupBy("report_period", "permno").agg(
-        F.count(F.lit(1)).alias("institutional_holder_count")
-    )
-    gappy = nodes.where((F.col("permno") + F.quarter("report_period")) % 7 != 0)
+    """The sample's parts are not traded every quarter, so histories have gaps."""
     return pn.with_guarded_changes(
-        gappy, "permno", "report_period",
-        {"institutional_holder_count": "institutional_holder_count_change"},
-        {"institutional_holder_count": "institutional_holder_count_change_percent"},
-    ).select("report_period", "permno", "institutional_holder_count_change", "institutional_holder_count_change_percent")
+        R.sample(spark, sf), "permno", "report_period", {"f_size": "size_change"}, {"f_size": "size_change_percent"}
+    ).select("report_period", "permno", "size_change", "size_change_percent")
 
 
 RANKED = ["owner_similarity_score", "owner_community_hhi", "owner_community_hhi_change"]
@@ -734,20 +725,17 @@ def _(spark, sf):
 @case(
     "c23_carried_state",
     """
-    WITH RECURSIVE x AS (SELECT permno, year(report_period) * 4 + quarter(report_period) AS n, report_period, avg(portfolio_weight) AS v
-                         FROM holdings WHERE (permno + quarter(report_period) * 3 + year(report_period)) % 11 <> 0 GROUP BY ALL),
+    WITH RECURSIVE x AS (SELECT permno, year(report_period) * 4 + quarter(report_period) AS n, report_period, target AS v FROM sample),
     s(permno, n, report_period, state) AS (
         SELECT permno, n, report_period, 0.3 * v FROM x WHERE NOT EXISTS (SELECT 1 FROM x y WHERE y.permno = x.permno AND y.n = x.n - 1)
         UNION ALL SELECT x.permno, x.n, x.report_period, 0.7 * s.state + 0.3 * x.v FROM s JOIN x ON x.permno = s.permno AND x.n = s.n + 1)
     SELECT permno, report_period, state FROM s
     """,
-    uses="holdings", doubles="state",
+    uses="sample", doubles="state", digits=9,
 )
 def _(spark, sf):
-    h = R.holdings(spark, sf)
-    kept = h.where((F.col("permno") + F.quarter("report_period") * 3 + F.year("report_period")) % 11 != 0)
-    values = kept.groupBy("permno", "report_period").agg(F.avg("portfolio_weight").alias("v"))
-    return graph.carried_state(values, "permno", quarter_index(F.col("report_period")), "v", 0.7).select(
+    values = R.sample(spark, sf).select("permno", "report_period", "target")
+    return graph.carried_state(values, "permno", quarter_index(F.col("report_period")), "target", 0.7).select(
         "permno", "report_period", "state"
     )
 
