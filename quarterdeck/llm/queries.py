@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quarterdeck.llm.decontaminate import contamination
 from quarterdeck.llm.mixing import mix_to_targets
 from quarterdeck.llm.near_dup import near_duplicates
 from quarterdeck.llm.sharding import byte_shards, measured
@@ -19,6 +20,10 @@ def op2_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op6_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_to_targets(table(spark, sf_dir, "documents"))
 
@@ -29,6 +34,7 @@ def op9_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op2_shards": op2_shards,
+    "op3_decontaminate": op3_decontaminate,
     "op6_mix": op6_mix,
     "op9_near_duplicates": op9_near_duplicates,
 }
