@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -10,6 +11,7 @@ from quarterdeck.llm.mixing import mix_to_targets
 from quarterdeck.llm.near_dup import near_duplicates
 from quarterdeck.llm.sharding import byte_shards, measured
 from quarterdeck.llm.tables import table
+from quarterdeck.llm.token_files import token_digests
 
 
 def op2_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -24,6 +26,10 @@ def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op5_token_files(spark: SparkSession, sf_dir: str, vocabulary: str = "word_bpe_49k.json") -> DataFrame:
+    return token_digests(table(spark, sf_dir, "documents"), public_tokenizers.path(vocabulary), end_id=1)
+
+
 def op6_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_to_targets(table(spark, sf_dir, "documents"))
 
@@ -35,6 +41,7 @@ def op9_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op2_shards": op2_shards,
     "op3_decontaminate": op3_decontaminate,
+    "op5_token_files": op5_token_files,
     "op6_mix": op6_mix,
     "op9_near_duplicates": op9_near_duplicates,
 }
