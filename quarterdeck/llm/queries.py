@@ -12,6 +12,7 @@ from quarterdeck.llm.near_dup import near_duplicates
 from quarterdeck.llm.sharding import byte_shards, measured
 from quarterdeck.llm.tables import table
 from quarterdeck.llm.token_files import token_digests
+from quarterdeck.llm.toxicity import fit_chain, label_categories, score_chain
 
 
 def op2_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -34,6 +35,12 @@ def op6_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_to_targets(table(spark, sf_dir, "documents"))
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = fit_chain(docs, table(spark, sf_dir, "labels"), label_categories())
+    return score_chain(docs, model).withColumn("toxic", F.col("p_toxic") >= model.threshold("toxic"))
+
+
 def op9_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), percent=85)
 
@@ -43,5 +50,6 @@ QUERIES = {
     "op3_decontaminate": op3_decontaminate,
     "op5_token_files": op5_token_files,
     "op6_mix": op6_mix,
+    "op7_toxicity": op7_toxicity,
     "op9_near_duplicates": op9_near_duplicates,
 }
