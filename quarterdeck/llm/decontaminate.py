@@ -18,6 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quarterdeck.llm import bitfilter
 from quarterdeck.llm.textbytes import ALNUM, gram_hashes, mix, pieces, word_hashes
 from quarterdeck.session import cut_lineage
 
@@ -28,14 +29,11 @@ _PRINT_TYPE = pa.list_(
 
 
 def bit_places(hashes: np.ndarray, bits: int) -> np.ndarray:
-    return (mix(hashes.view(np.uint64)) >> np.uint64(64 - bits)).astype(np.int64)
+    return (mix(hashes.view(np.uint64).copy()) >> np.uint64(64 - bits)).astype(np.int64)
 
 
 def _passes(table: np.ndarray | None, bits: int, hashes: np.ndarray) -> np.ndarray:
-    if table is None:
-        return np.ones(len(hashes), bool)
-    place = bit_places(hashes, bits)
-    return (table[place >> 3] >> (place & 7).astype(np.uint8)) & 1 == 1
+    return np.ones(len(hashes), bool) if table is None else bitfilter.contains(table, bit_places(hashes, bits))
 
 
 def _fingerprints(span: int, gram: int, lengths: list[int] | None, shared, bits: int):
@@ -210,18 +208,9 @@ def contamination(
 
 
 def _bit_table(prints: DataFrame, bits: int) -> np.ndarray:
-    """Bit table of the fingerprints, gathered as at most 2^bits / 8 byte values."""
-
     def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             place = bit_places(batch.column("hash").to_numpy(zero_copy_only=False), bits)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(place >> 3), pa.array((1 << (place & 7)).astype(np.int32))], ["cell", "bit"]
-            )
+            yield pa.RecordBatch.from_arrays([pa.array(place)], ["place"])
 
-    cells = prints.select("hash").mapInArrow(places, "cell long, bit int").groupBy("cell").agg(
-        F.bit_or("bit").alias("bits")
-    ).toPandas()
-    table = np.zeros(1 << (bits - 3), np.uint8)
-    table[cells["cell"].to_numpy(np.int64)] = cells["bits"].to_numpy(np.uint8)
-    return table
+    return bitfilter.build(prints.select("hash").mapInArrow(places, "place long"), "place", bits)
