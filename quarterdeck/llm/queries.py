@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarterdeck.llm.decontaminate import contamination
+from quarterdeck.llm.line_dedup import fuzzy_lines
 from quarterdeck.llm.mixing import mix_to_targets
 from quarterdeck.llm.near_dup import near_duplicates
 from quarterdeck.llm.sharding import byte_shards, measured
@@ -45,6 +46,10 @@ def op9_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), percent=85)
 
 
+def op10_fuzzy_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fuzzy_lines(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op2_shards": op2_shards,
     "op3_decontaminate": op3_decontaminate,
@@ -52,4 +57,5 @@ QUERIES = {
     "op6_mix": op6_mix,
     "op7_toxicity": op7_toxicity,
     "op9_near_duplicates": op9_near_duplicates,
+    "op10_fuzzy_lines": op10_fuzzy_lines,
 }
