@@ -7,9 +7,8 @@
    own (optimal densification), so small sets have full signatures too.
 3. Bins are grouped into bands; classes that agree on a band share a bucket. A bucket links each
    member to its smallest member only, so a bucket of n gives n - 1 candidate edges, not n^2.
-4. Candidates are confirmed on the full sets. In a bucket whose members then still lie in
-   different components, each component's smallest member in that bucket is linked to the
-   others' in a further star with another centre; this goes on until a round confirms nothing.
+4. Candidates are confirmed on the full sets. A bucket whose members then still lie in different
+   components gets further stars with other centres, until a round confirms nothing.
 5. Components are labelled by their smallest document id.
 """
 
@@ -24,12 +23,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quarterdeck.llm import bitfilter
+from quarterdeck.llm.stars import confirmed_components
 from quarterdeck.llm.textbytes import NON_SPACE, distinct_sorted, gram_hashes, mix, pieces, word_hashes
-from quarterdeck.operators.graph import connected_components
 from quarterdeck.session import cut_lineage
 
 _BAND = 0xC2B2AE3D27D4EB4F
 _PROBES = 256
+_FILTER_BITS = 24
 
 
 def shingle_sets(texts: pa.Array, size: int) -> Iterator[np.ndarray]:
@@ -107,9 +108,10 @@ def _profiles(size: int, bins: int, band_rows: int):
     return run
 
 
-def _sets(size: int):
+def _sets(size: int, shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            batch = batch.filter(pa.array(bitfilter.contains(shared.value, batch.column("place").to_numpy())))
             sets = [values.tobytes() for values in shingle_sets(batch.column("text"), size)]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sets, pa.binary())], ["node", "items"])
 
@@ -161,27 +163,9 @@ def near_duplicates(
     buckets = cut_lineage(entries.join(shared.select("key"), "key").distinct())
     repeated = not named.groupBy("doc_id").count().where("count > 1").isEmpty()
 
-    tried = None
-    links = None
-    labels = None
-    for turn in range(max_rounds):
-        edges = _stars(buckets, labels, turn, percent)
-        if tried is not None:
-            edges = edges.join(tried, ["a", "b"], "left_anti")
-        edges = cut_lineage(edges)
-        if edges.isEmpty():
-            break
-        tried = edges if tried is None else tried.unionByName(edges)
-        found = cut_lineage(_verified(edges, source, shingle, percent, repeated))
-        if found.isEmpty():
-            break
-        links = found if links is None else links.unionByName(found)
-        labels = cut_lineage(
-            connected_components(links.withColumn("_g", F.lit(0)), "_g", "a", "b").select("node", "component")
-        )
-    else:
-        raise RuntimeError("Stars did not settle; raise max_rounds.")
-
+    labels = confirmed_components(
+        buckets, lambda edges: _verified(edges, source, shingle, percent, repeated), percent, max_rounds
+    )
     out = profile.join(classes, "digest", "left")
     if labels is not None:
         out = out.join(labels, "node", "left")
@@ -194,33 +178,15 @@ def near_duplicates(
     )
 
 
-def _stars(buckets: DataFrame, labels: DataFrame | None, turn: int, percent: int) -> DataFrame:
-    """Candidate edges (a < b): bucket members to one centre of another component.
-
-    Pairs whose sizes alone rule the similarity out are not emitted.
-    """
-    members = buckets.withColumn("part", F.col("node"))
-    if labels is not None:
-        members = buckets.join(labels, "node", "left").select(
-            "key", "node", "n", F.coalesce("component", "node").alias("part")
-        )
-    # The centre changes with each turn, the smallest member coming first.
-    rank = F.col("node") if turn == 0 else F.xxhash64("node", F.lit(turn))
-    centre = members.groupBy("key").agg(
-        F.min(F.struct(rank.alias("rank"), "node", "n", "part")).alias("c"),
-        F.min("part").alias("low"), F.max("part").alias("high"),
-    ).where("low < high")
-    pairs = members.join(centre.select("key", "c"), "key").where(F.col("part") != F.col("c.part"))
-    sizes = 100 * F.least("n", "c.n") >= percent * F.greatest("n", "c.n")
-    return pairs.where(sizes).select(
-        F.least("node", "c.node").alias("a"), F.greatest("node", "c.node").alias("b")
-    ).distinct()
-
-
 def _verified(edges: DataFrame, source: DataFrame, shingle: int, percent: int, repeated: bool) -> DataFrame:
     """Edges confirmed on full shingle sets, which are made for their ends only."""
     ends = edges.select(F.col("a").alias("doc_id")).unionByName(edges.select(F.col("b").alias("doc_id"))).distinct()
-    sets = source.join(ends, "doc_id", "left_semi").mapInArrow(_sets(shingle), "node long, items binary")
+    place = bitfilter.place_of(F.col("doc_id"), _FILTER_BITS).alias("place")
+    table = bitfilter.build(ends.select(place), "place", _FILTER_BITS)
+    shared = source.sparkSession.sparkContext.broadcast(table)  # 2^24 bits
+    sets = source.where("doc_id IS NOT NULL").select("doc_id", place, "text").mapInArrow(
+        _sets(shingle, shared), "node long, items binary"
+    ).join(ends.withColumnRenamed("doc_id", "node"), "node", "left_semi")
     if repeated:
         sets = sets.distinct()
     sets = cut_lineage(sets)
