@@ -10,12 +10,17 @@ from quarterdeck.llm.decontaminate import contamination
 from quarterdeck.llm.line_dedup import fuzzy_lines
 from quarterdeck.llm.mixing import mix_to_targets
 from quarterdeck.llm.near_dup import near_duplicates
+from quarterdeck.llm.neighbors import nearest
 from quarterdeck.llm.sharding import byte_shards, measured
 from quarterdeck.llm.tables import table
 from quarterdeck.llm.token_files import token_digests
 from quarterdeck.llm.toxicity import fit_chain, label_categories, score_chain
 
 
+def op1_neighbors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 def op2_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     sharded = byte_shards(measured(table(spark, sf_dir, "documents")), 40)
     return sharded.select(
@@ -51,6 +56,7 @@ def op10_fuzzy_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_neighbors": op1_neighbors,
     "op2_shards": op2_shards,
     "op3_decontaminate": op3_decontaminate,
     "op5_token_files": op5_token_files,
