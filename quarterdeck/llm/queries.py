@@ -11,6 +11,7 @@ from quarterdeck.llm.line_dedup import fuzzy_lines
 from quarterdeck.llm.mixing import mix_to_targets
 from quarterdeck.llm.near_dup import near_duplicates
 from quarterdeck.llm.neighbors import nearest
+from quarterdeck.llm.secrets import find_secrets
 from quarterdeck.llm.sharding import byte_shards, measured
 from quarterdeck.llm.tables import table
 from quarterdeck.llm.token_files import token_digests
@@ -33,6 +34,10 @@ def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_secrets(table(spark, sf_dir, "documents"))
+
+
 def op5_token_files(spark: SparkSession, sf_dir: str, vocabulary: str = "word_bpe_49k.json") -> DataFrame:
     return token_digests(table(spark, sf_dir, "documents"), public_tokenizers.path(vocabulary), end_id=1)
 
@@ -59,6 +64,7 @@ QUERIES = {
     "op1_neighbors": op1_neighbors,
     "op2_shards": op2_shards,
     "op3_decontaminate": op3_decontaminate,
+    "op4_secrets": op4_secrets,
     "op5_token_files": op5_token_files,
     "op6_mix": op6_mix,
     "op7_toxicity": op7_toxicity,

@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 
 from quarterdeck.session import cut_lineage
 
+_BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+_TEXTS_PER_BATCH = 1000
 _shipped: set[str] = set()
 
 
@@ -38,6 +40,9 @@ def ship_package(spark: SparkSession) -> None:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     ship_package(spark)
+    # Rows hold whole texts: smaller batches than Spark's default keep Python workers small.
+    if int(spark.conf.get(_BATCH_ROWS, "10000")) > _TEXTS_PER_BATCH:
+        spark.conf.set(_BATCH_ROWS, str(_TEXTS_PER_BATCH))
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

@@ -16,7 +16,7 @@ import pyarrow as pa
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_BASE, -1, 2**64)
 _GRAM = 0xD6E8FEB86659FD93
-PIECE_BYTES = 1 << 21
+PIECE_BYTES = 1 << 20
 
 _powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
