@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from quarterdeck.llm.decontaminate import contamination
 from quarterdeck.llm.line_dedup import fuzzy_lines
+from quarterdeck.llm.main_text import extract_main_text
 from quarterdeck.llm.mixing import mix_to_targets
 from quarterdeck.llm.near_dup import near_duplicates
 from quarterdeck.llm.neighbors import nearest
@@ -52,6 +53,10 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_chain(docs, model).withColumn("toxic", F.col("p_toxic") >= model.threshold("toxic"))
 
 
+def op8_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_main_text(table(spark, sf_dir, "pages"))
+
+
 def op9_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), percent=85)
 
@@ -68,6 +73,7 @@ QUERIES = {
     "op5_token_files": op5_token_files,
     "op6_mix": op6_mix,
     "op7_toxicity": op7_toxicity,
+    "op8_main_text": op8_main_text,
     "op9_near_duplicates": op9_near_duplicates,
     "op10_fuzzy_lines": op10_fuzzy_lines,
 }
