@@ -7,7 +7,10 @@ than bits nearly everything passes and the join alone does the work.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -29,3 +32,27 @@ def build(keys: DataFrame, place: str, bits: int) -> np.ndarray:
 
 def contains(table: np.ndarray, place: np.ndarray) -> np.ndarray:
     return (table[place >> 6] >> (place & 63)) & 1 == 1
+
+
+def without_ids(frame: DataFrame, ids: DataFrame, id_column: str = "doc_id", bits: int = 24) -> DataFrame:
+    """Rows of ``frame`` whose id is not among ``ids`` (one column of that name).
+
+    Rows whose bit is not set cannot be among them and stay where they are; only the others,
+    which are about as many as there are ids, are shuffled to be compared. Null ids stay.
+    """
+    place = place_of(F.col(id_column), bits)
+    table = build(ids.select(place.alias("_place")), "_place", bits)
+    shared = frame.sparkSession.sparkContext.broadcast(table)  # 2^bits bits
+    placed = frame.withColumn("_place", F.when(F.col(id_column).isNotNull(), place))
+
+    def part(wanted: bool):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                at = batch.column("_place")
+                hit = contains(shared.value, at.fill_null(0).to_numpy()) & at.is_valid().to_numpy(zero_copy_only=False)
+                yield batch.filter(pa.array(hit == wanted)).drop_columns(["_place"])
+
+        return run
+
+    rest = placed.mapInArrow(part(True), frame.schema).join(ids.select(id_column), id_column, "left_anti")
+    return placed.mapInArrow(part(False), frame.schema).unionByName(rest.select(*frame.columns))

@@ -55,42 +55,75 @@ def source_targets(rows: DataFrame, weights: Sequence[int], share: float, most:
     return found.select("source", "source_size", target.alias("target"))
 
 
-def mix_to_targets(
-    docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", source_column: str = "source",
-    weights: Sequence[int] = (5, 2, 1), share: float = 1.0, most: int = 3, seed: int = 7,
+def row_hash(id_column: str, text_column: str, seed: int) -> Column:
+    """Fixed hash of a row, of as many bits as there are digits."""
+    value = F.xxhash64(F.lit(seed), F.col(id_column), F.col(text_column).cast("string"))
+    return F.shiftrightunsigned(value, 64 - _DIGIT_BITS * _LEVELS)
+
+
+def mixing_plan(
+    rows: DataFrame, weights: Sequence[int] = (5, 2, 1), share: float = 1.0, most: int = 3
 ) -> DataFrame:
-    """(doc_id, size, source_size, target, taken) per row; taken / size says how often a row is used.
+    """(source, source_size, target, times, cut) per source of rows (source, size, hash).
 
-    Each row is used floor(target / source_size) times, and once more if its hash is below its
-    source's threshold. The threshold is the prefix of the rows in hash order that comes nearest
-    to the rest of the budget. The hash is of the id and the text, so reruns agree; rows equal in
-    both share their fate. Null texts and blank texts have size 0. A null source is a source.
+    A row is used ``times`` times, and once more if its hash is below ``cut``. The cut is the
+    prefix of the rows in hash order that comes nearest to the rest of the budget.
     """
-    text = F.col(text_column).cast("string")
-    rows = docs.select(
-        F.col(id_column).alias("doc_id"), F.col(source_column).cast("string").alias("source"),
-        word_count(text).alias("size"),
-        F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.col(id_column), text), 64 - _DIGIT_BITS * _LEVELS).alias("hash"),
-    )
-    rows = cut_lineage(rows)
     targets = source_targets(rows, weights, share, most)
     whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0)
     budgets = cut_lineage(
-        targets.withColumn("times", whole).withColumn(
-            "rest", F.col("target") - F.col("times") * F.col("source_size")
-        )
+        targets.withColumn("times", whole).withColumn("rest", F.col("target") - F.col("times") * F.col("source_size"))
     )
     cuts = thresholds(rows, budgets.select("source", "rest"))
-    same = lambda other: rows["source"].eqNullSafe(other["source"])
-    plan = budgets.join(cuts, budgets["source"].eqNullSafe(cuts["source"]), "left").select(
-        budgets["source"], "source_size", "target", "times", F.coalesce("cut", F.lit(0)).alias("cut")
+    return cut_lineage(
+        budgets.join(cuts, budgets["source"].eqNullSafe(cuts["source"]), "left").select(
+            budgets["source"], "source_size", "target", "times", F.coalesce("cut", F.lit(0)).alias("cut")
+        )
     )
-    return rows.join(plan, same(plan)).select(
+
+
+def sized(docs: DataFrame, id_column: str, text_column: str, source_column: str, seed: int) -> DataFrame:
+    """(doc_id, source, size, hash) of every row, stored."""
+    return cut_lineage(
+        docs.select(
+            F.col(id_column).alias("doc_id"), F.col(source_column).cast("string").alias("source"),
+            word_count(F.col(text_column)).alias("size"), row_hash(id_column, text_column, seed).alias("hash"),
+        )
+    )
+
+
+def mix_to_targets(
+    docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", source_column: str = "source",
+    weights: Sequence[int] = (5, 2, 1), share: float = 1.0, most: int = 3, seed: int = 7,
+) -> DataFrame:
+    """(doc_id, size, source_size, target, taken) per row; taken / size says how often a row is used.
+
+    The hash is of the id and the text, so reruns agree; rows equal in both share their fate.
+    Null texts and blank texts have size 0. A null source is a source. Null ids are ids like others.
+    """
+    rows = sized(docs, id_column, text_column, source_column, seed)
+    plan = mixing_plan(rows, weights, share, most)
+    return rows.join(plan, rows["source"].eqNullSafe(plan["source"])).select(
         "doc_id", "size", "source_size", "target",
         (F.col("size") * (F.col("times") + (F.col("hash") < F.col("cut")).cast("long"))).alias("taken"),
     )
 
 
+def mixed(
+    docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", source_column: str = "source",
+    weights: Sequence[int] = (5, 2, 1), share: float = 1.0, most: int = 3, seed: int = 7,
+) -> DataFrame:
+    """``docs`` as the mix takes them: rows left out, once or several times, with all their columns.
+
+    Only the plan, one row per source, meets the texts; they are not shuffled.
+    """
+    plan = mixing_plan(sized(docs, id_column, text_column, source_column, seed), weights, share, most)
+    plan = plan.select(F.col("source").alias("_source"), F.col("times").alias("_times"), F.col("cut").alias("_cut"))
+    joined = docs.join(plan, F.col(source_column).cast("string").eqNullSafe(F.col("_source")))
+    times = F.col("_times") + (row_hash(id_column, text_column, seed) < F.col("_cut")).cast("long")
+    return joined.withColumn("_copy", F.explode(F.array_repeat(F.lit(0), times.cast("int")))).select(*docs.columns)
+
+
 def thresholds(rows: DataFrame, budgets: DataFrame) -> DataFrame:
     """(source, cut): the hash below which a source's sizes add up to about its ``rest``."""
     open_ = budgets.select(

@@ -38,11 +38,16 @@ def ship_package(spark: SparkSession) -> None:
     _shipped.add(application)
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+def prepare(spark: SparkSession) -> None:
+    """Ship the package and bound the rows of a batch that Python workers receive."""
     ship_package(spark)
     # Rows hold whole texts: smaller batches than Spark's default keep Python workers small.
     if int(spark.conf.get(_BATCH_ROWS, "10000")) > _TEXTS_PER_BATCH:
         spark.conf.set(_BATCH_ROWS, str(_TEXTS_PER_BATCH))
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    prepare(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
