@@ -37,10 +37,9 @@ def line_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
     breaks = np.flatnonzero(data == 10)
     start = np.unique(np.concatenate((offsets[:-1], breaks + 1)))
     start = start[start < len(data)]
-    # A line ends at its break or where its text ends.
-    stop = np.unique(np.concatenate((offsets[1:], breaks)))
-    stop = stop[np.searchsorted(stop, start)] if len(start) else start
     owner = np.searchsorted(offsets, start, "right") - 1
+    # A line ends at its break or where its text ends.
+    stop = np.minimum(np.append(breaks, len(data))[np.searchsorted(breaks, start)], offsets[owner + 1])
     before = np.searchsorted(breaks, start)
     place = before - np.searchsorted(breaks, offsets[owner])
     ink = np.concatenate(([0], np.cumsum(_FOLD[0][data])))
