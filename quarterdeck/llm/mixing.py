@@ -77,7 +77,8 @@ def mixing_plan(
     cuts = thresholds(rows, budgets.select("source", "rest"))
     return cut_lineage(
         budgets.join(cuts, budgets["source"].eqNullSafe(cuts["source"]), "left").select(
-            budgets["source"], "source_size", "target", "times", F.coalesce("cut", F.lit(0)).alias("cut")
+            budgets["source"], "source_size", "target", "times",
+            F.when(budgets["rest"] < 0.5, 0).otherwise(F.coalesce("cut", F.lit(0))).alias("cut"),
         )
     )
 
