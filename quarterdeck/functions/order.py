@@ -16,6 +16,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from quarterdeck.session import cut_lineage, stored
+
 _BANDS_PER_OCTAVE = 256
 _OCTAVE_SHIFT = 1100  # below the exponent of the smallest positive double
 
@@ -40,6 +42,8 @@ def ranked_values(frame: DataFrame, keys: Sequence[str], value: str) -> DataFram
         .agg(F.count(F.lit(1)).alias("ties"))
         .withColumn("band", value_band(F.col(value)))
     )
+    # Read for the bands and for the ranks, but computed once.
+    counted = cut_lineage(counted)
     # One row per band of a group: small by construction, whatever the group's size.
     per_group = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(1))
     bands = (
@@ -76,6 +80,12 @@ def with_percentile_rank(
     rank_output: str | None = None,
 ) -> DataFrame:
     """Add the average-tie percentile rank in [0, 1]; a lone value gets 0.5, nulls stay null."""
+    return _percentile_rank(stored(frame), keys, value, output, rank_output)
+
+
+def _percentile_rank(
+    frame: DataFrame, keys: Sequence[str], value: str, output: str, rank_output: str | None
+) -> DataFrame:
     ranks = ranked_values(frame, keys, value)
     average = F.col("before") + (F.col("ties") + 1) / F.lit(2.0)
     fraction = F.when(F.col("total") == 1, F.lit(0.5)).otherwise(
@@ -104,10 +114,11 @@ def with_percentile_ranks(
     shuffles does not grow with the number of columns.
     """
     row_id = list(row_id)
+    frame = stored(frame)
     long = frame.select(
         *row_id, *[F.col(name).cast("double").alias(name) for name in values]
     ).unpivot(row_id, list(values), "measure", "measured")
-    ranked = with_percentile_rank(
+    ranked = _percentile_rank(
         long.where(F.col("measured").isNotNull()),
         [*keys, "measure"],
         "measured",
@@ -129,6 +140,7 @@ def with_first_rank(
 ) -> DataFrame:
     """Add a unique rank 1..n by value, equal values ordered by ``tie``, and ``group_rows``."""
     keys = list(keys)
+    frame = stored(frame)
     by_value = ranked_values(frame, keys, value).select(
         *keys, value, F.col("before").alias("_smaller"), F.col("total").alias("group_rows")
     )
@@ -145,6 +157,7 @@ def with_dense_index(
     frame: DataFrame, keys: Sequence[str], entity: str, output: str = "node_index"
 ) -> DataFrame:
     """Zero-based index of each entity inside its group, in entity order."""
+    frame = stored(frame)
     distinct = frame.select(*keys, entity).distinct()
     index = ranked_values(distinct, keys, entity).select(
         *keys, entity, F.col("before").cast("int").alias(output)

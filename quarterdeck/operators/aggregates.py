@@ -10,6 +10,7 @@ from pyspark.sql.window import Window
 
 from quarterdeck.functions import order
 from quarterdeck.functions.aggregates import sample_skewness
+from quarterdeck.session import stored
 
 
 def with_share_of_total(
@@ -25,6 +26,7 @@ def with_share_of_total(
     the join's large side can be split, so a group holding most rows never sits in one task.
     """
     total_name = total or "_group_total"
+    frame = stored(frame)
     totals = frame.groupBy(*keys).agg(F.sum(value).alias(total_name))
     joined = frame.join(totals, list(keys)).withColumn(
         share, F.col(value).cast("double") / F.nullif(F.col(total_name), F.lit(0))

@@ -305,9 +305,7 @@ def with_filing_deadline(
 ) -> DataFrame:
     """Add the filing deadline of each row's period.
 
-    The holiday rules are evaluated once per distinct period. That table is broadcast: it holds
-    at most one row per calendar day in the data, so it cannot grow with the rows.
+    The holiday rules are an expression on the row itself: a table of distinct periods to join
+    would cost a further pass over the input.
     """
-    periods = frame.select(period).where(F.col(period).isNotNull()).distinct()
-    deadlines = periods.withColumn(output, filing_deadline(F.col(period), lag_days))
-    return frame.join(F.broadcast(deadlines), period, "left").select(*frame.columns, output)
+    return frame.withColumn(output, filing_deadline(F.col(period), lag_days))

@@ -12,6 +12,7 @@ from quarterdeck.functions import order
 from quarterdeck.functions.aggregates import guarded_corr
 from quarterdeck.functions.dates import quarters_between
 from quarterdeck.functions.scalars import is_finite, loss_magnitude
+from quarterdeck.session import stored
 
 PERIOD = "report_period"
 
@@ -70,6 +71,7 @@ def performance(
 ) -> DataFrame:
     """Observations, quarters, errors and mean quarterly rank correlation, per ``by`` group."""
     by = list(by)
+    frame = stored(frame)
     metrics = [c.alias(n) for n, c in error_metrics(F.col(actual), F.col(prediction)).items()]
     base_columns = [F.count(F.lit(1)).alias("observations"), F.count_distinct(period).alias("quarters"), *metrics]
     correlations = mean_spearman(frame, by, period, actual, prediction)
@@ -94,6 +96,7 @@ def decile_outcomes(
 ) -> DataFrame:
     """Rows and mean outcomes per period and bin, with the median of one outcome."""
     group = [*keys, bins]
+    frame = stored(frame) if median_of is not None else frame
     means = frame.groupBy(*group).agg(
         F.count(F.lit(1)).alias("stocks"), *[F.avg(o).alias(f"mean_{o}") for o in outcomes]
     )
@@ -109,7 +112,8 @@ def rank_summary(
 ) -> DataFrame:
     """Per period: stock-level and decile-level rank correlation, top minus bottom outcome."""
     keys = list(keys)
-    deciles = scored.groupBy(*keys, bins).agg(F.count(F.lit(1)).alias("_n"), F.avg(actual).alias("_mean"))
+    scored = stored(scored)
+    deciles = stored(scored.groupBy(*keys, bins).agg(F.count(F.lit(1)).alias("_n"), F.avg(actual).alias("_mean")))
     by_stock = grouped_spearman(scored, keys, score, actual, "stock_spearman")
     by_decile = grouped_spearman(deciles, keys, bins, "_mean", "decile_spearman")
     spread = deciles.groupBy(*keys).agg(
@@ -163,6 +167,7 @@ def alternative_samples(
 def robustness_report(predicted: DataFrame, target: str = "target_name", actual: str = "target_value", prediction: str = "prediction") -> DataFrame:
     """Per target: errors, rank agreement at stock and decile level, mean spread."""
     keys = [target, PERIOD]
+    predicted = stored(predicted)
     scored = with_scores(predicted, prediction, keys)
     quarterly = rank_summary(scored, actual, "score", "decile", keys)
     summary = quarterly.groupBy(target).agg(

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from quarterdeck.functions import dates
 from quarterdeck.functions.scalars import lenient_long
 from quarterdeck.operators.joins import with_filing_deadline
+from quarterdeck.session import stored
 
 # Form and report type texts used by the regulator, and decision labels.
 HOLDINGS_FORM_PREFIX = "13F-HR"
@@ -87,6 +88,7 @@ def assign_decisions(filings: DataFrame) -> DataFrame:
     found by a grouped maximum over a struct, which combines on the map side; the group's base
     then comes back by one join, and every label is a plain comparison with it.
     """
+    filings = stored(filings)
     eligible = F.col("is_in_sample_period") & F.col("is_filed_by_deadline")
     candidate = F.col("is_holdings_candidate") & eligible
     base_candidate = candidate & (

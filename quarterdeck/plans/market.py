@@ -17,6 +17,7 @@ from quarterdeck.functions.aggregates import (
     downside_volatility,
 )
 from quarterdeck.operators.joins import calendar_windows, interval_join, market_calendar
+from quarterdeck.session import stored
 
 KEYS = ["report_period", "information_date", "permno"]
 
@@ -55,8 +56,9 @@ def market_features(
     every trailing statistic then share one shuffle on (period, security), whose groups hold at
     most one window of days.
     """
+    market = stored(market)
     calendar = market_calendar(market)
-    windows = feature_windows(predictions, market, rules.window)
+    windows = stored(feature_windows(stored(predictions), market, rules.window))
     tradable = daily.where(trading) if trading is not None else daily
     dated = (
         tradable.select("permno", "day", "price", "cap", "ret", "volume")
@@ -120,6 +122,7 @@ def market_features(
 def market_feature_audit(features: DataFrame) -> DataFrame:
     """Coverage and missing values of the features per period."""
     keys = ["report_period", "information_date"]
+    features = stored(features)
     counts = features.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("security_periods"),
         count_where(F.col("market_feature_usable")).alias("usable_security_periods"),
@@ -167,7 +170,8 @@ def forward_targets(
     delisting without a return makes it unusable. All horizons run in one pass.
     """
     keys = [*KEYS, "horizon_market_days"]
-    windows = target_windows(predictions, daily, horizons)
+    daily = stored(daily)
+    windows = stored(target_windows(stored(predictions), daily, horizons))
     returns = daily.select("permno", "day", "ret", "delisting_flag")
     rows = interval_join(
         windows.select(*keys, "target_window_start", "target_window_end"), returns, ["permno"],
@@ -219,6 +223,7 @@ def forward_targets(
 def target_audit(targets: DataFrame) -> DataFrame:
     """Completeness, usability, delistings and median drawdown per period."""
     keys = ["report_period", "information_date"]
+    targets = stored(targets)
     counts = targets.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("security_periods"),
         count_where(F.col("target_window_complete")).alias("complete_horizon_security_periods"),

@@ -13,6 +13,7 @@ from quarterdeck.functions.dates import quarters_between
 from quarterdeck.operators import graph
 from quarterdeck.operators.aggregates import top_share, with_share_of_total
 from quarterdeck.operators.joins import linked_pairs
+from quarterdeck.session import stored
 
 NEIGHBOR_COUNTS = (10, 25, 50)
 BASELINE_NEIGHBORS = 25
@@ -32,7 +33,7 @@ def manager_nodes(holdings: DataFrame) -> DataFrame:
 def security_nodes(holdings: DataFrame, top: int = 5) -> DataFrame:
     """Securities per period with holder counts and ownership concentration."""
     keys = ["report_period", "permno"]
-    shares = with_share_of_total(holdings, keys, "position_value", share="holding_share")
+    shares = stored(with_share_of_total(holdings, keys, "position_value", share="holding_share"))
     stats = shares.groupBy("report_period", "information_date", "permno").agg(
         F.count_distinct("manager").alias("institutional_holder_count"),
         F.sum("position_value").alias("total_reported_value"),

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quarterdeck.functions.scalars import lenient_long, normalized_id
 from quarterdeck.operators.aggregates import modal_labels, staged_counts
+from quarterdeck.session import stored
 
 # The date on which reported values changed from thousands to dollars, the
 # report type of a plain holdings filing, and the stage labels of the filter audit.
@@ -150,7 +151,7 @@ def with_cumulative_flags(frame: DataFrame, tests: dict) -> DataFrame:
 
 def position_universe(classified: DataFrame) -> DataFrame:
     """One row per manager, period and security with its most frequent labels."""
-    kept = classified.where("passes_positive_value")
+    kept = stored(classified.where("passes_positive_value"))
     totals = kept.groupBy("CIK", "PERIODOFREPORT", "report_period", "CUSIP").agg(
         F.sum("position_value_usd").alias("position_value_usd"),
         F.count(F.lit(1)).alias("raw_position_rows"),
@@ -173,11 +174,13 @@ def build_position_universe(
     decisions: DataFrame, information: DataFrame, summary: DataFrame
 ) -> dict[str, DataFrame]:
     """Positions, filter audit and filing audit of the selected filings."""
-    filings = selected_filings(decisions)
-    raw = positions_of(
-        filings,
-        information,
-        ("CIK", "PERIODOFREPORT", "report_period", "baseline_eligible_manager"),
+    filings = stored(selected_filings(stored(decisions)))
+    raw = stored(
+        positions_of(
+            filings,
+            information,
+            ("CIK", "PERIODOFREPORT", "report_period", "baseline_eligible_manager"),
+        )
     )
     audit = filing_audit(filings, summary, raw)
     classified = classify_positions(raw, audit)

@@ -8,6 +8,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _CHECKPOINT_KEY = "spark.checkpoint.dir"
+_STORED_AT = "_quarterdeck_stored_at"
 
 
 def build_session(app: str = "quarterdeck", master: str | None = None, **conf: str) -> SparkSession:
@@ -58,4 +59,24 @@ def cut_lineage(frame: DataFrame) -> DataFrame:
     spark = frame.sparkSession
     path = scratch_path(spark, "stage")
     frame.write.mode("errorifexists").parquet(path)
-    return spark.read.schema(frame.schema).parquet(path)
+    table = spark.read.schema(frame.schema).parquet(path)
+    table.__dict__[_STORED_AT] = path
+    return table
+
+
+def stored(frame: DataFrame) -> DataFrame:
+    """The frame as a stored table: itself if it is one already, else stored now.
+
+    An operator that reads its input more than once calls this first, so that the input is
+    computed once, however many operators are chained.
+    """
+    return frame if frame.__dict__.get(_STORED_AT) else cut_lineage(frame)
+
+
+def release(frame: DataFrame | None) -> None:
+    """Delete the files of a stored table that nothing will read again."""
+    path = frame.__dict__.get(_STORED_AT) if frame is not None else None
+    if path:
+        context = frame.sparkSession.sparkContext
+        target = context._jvm.org.apache.hadoop.fs.Path(path)
+        target.getFileSystem(context._jsc.hadoopConfiguration()).delete(target, True)

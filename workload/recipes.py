@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from quarterdeck.functions import dates
 from quarterdeck.operators.aggregates import with_share_of_total
@@ -194,9 +195,9 @@ def daily(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sum("disc").alias("d"), F.count(F.lit(1)).alias("n"),
         F.sum("cents").alias("c"), F.sum("qty").alias("q"),
     )
-    last = source.groupBy("permno").agg(F.max("day").alias("last_day_seen"))
+    last = F.max("day").over(Window.partitionBy("permno"))  # the days of one security
     number = F.datediff("day", F.lit("1995-01-01").cast("date")) + F.col("permno")
-    return grouped.join(last, "permno").select(
+    return grouped.withColumn("last_day_seen", last).select(
         "permno",
         "day",
         F.when(number % 50 != 0, F.col("d") / (F.col("n") * F.lit(97.0)) - 0.05).alias("ret"),

@@ -11,7 +11,7 @@ from quarterdeck.operators.joins import left_lookup, reconcile
 from quarterdeck.plans import filings as fl
 from quarterdeck.plans import positions as ps
 from quarterdeck.plans import securities as sec
-from quarterdeck.session import cut_lineage
+from quarterdeck.session import cut_lineage, stored
 from workload import recipes as R
 from workload.registry import case
 
@@ -74,7 +74,7 @@ def prepared(spark, sf):
 
 
 def decisions(spark, sf):
-    raw = filings_raw(spark, sf)
+    raw = stored(filings_raw(spark, sf))
     return fl.select_filings(raw.select(*SUBMISSION), raw.select(*COVER), FIRST, LAST)
 
 
@@ -394,10 +394,10 @@ R.cte(
 
 
 def universe(spark, sf):
-    filings = ps.selected_filings(stored_decisions(spark, sf), CHANGE)
-    raw = ps.positions_of(
+    filings = stored(ps.selected_filings(stored_decisions(spark, sf), CHANGE))
+    raw = stored(ps.positions_of(
         filings, info(spark, sf), ("CIK", "PERIODOFREPORT", "report_period", "baseline_eligible_manager")
-    )
+    ))
     audit = ps.filing_audit(filings, summary(spark, sf), raw)
     return raw, audit, ps.classify_positions(raw, audit)
 
