@@ -11,9 +11,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from quarterdeck.session import cut_lineage
+from quarterdeck.session import cut_lineage, release
 
 _MAX_ROUNDS = 60
+_MAX_MOVES = 1000
+_FREE_ROUNDS = 6
 _ROWS_PER_PRODUCT = 100_000
 
 
@@ -50,7 +52,8 @@ def connected_components(
     current = cut_lineage(current)
     signature = None
     for _ in range(max_rounds):
-        current = cut_lineage(star(star(current, large=True), large=False))
+        previous, current = current, cut_lineage(star(star(current, large=True), large=False))
+        release(previous)
         state = current.agg(
             F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64(group, "u", "v").cast("decimal(38,0)")).alias("h")
         ).first()
@@ -186,9 +189,10 @@ class _TilePair:
 
     @staticmethod
     def _positions(index: dict[int, int], ids: np.ndarray) -> np.ndarray:
-        for value in ids:
-            index.setdefault(int(value), len(index))
-        return np.fromiter((index[int(v)] for v in ids), dtype=np.int64, count=len(ids))
+        codes, distinct = pd.factorize(ids)
+        for value in distinct.tolist():
+            index.setdefault(value, len(index))
+        return np.array([index[v] for v in distinct.tolist()], np.int64)[codes] if len(distinct) else codes
 
     def add(self, rows: pd.DataFrame) -> None:
         side_a, side_b = rows[rows["in_a"]], rows[rows["in_b"]]
@@ -306,18 +310,19 @@ def modularity_communities(
     second: str,
     weight: str,
     resolution: float = 1.0,
-    max_levels: int = 3,
-    rounds: int = 5,
     tolerance: float = 1e-6,
 ) -> DataFrame:
     """Weighted communities per group by distributed local moving and contraction.
 
-    In a round every node weighs its neighbouring communities by modularity gain and about half
-    of the nodes (chosen by a hash that changes with the round) take their best move, which
-    keeps neighbours from swapping for ever. After a number of rounds communities are contracted to
-    nodes and moving starts again, until a level no longer raises modularity (summed over
-    groups). All groups advance together. Labels are numbered by falling size, then smallest
-    member.
+    In a round every node weighs its neighbouring communities by modularity gain. In the first
+    rounds about half of the nodes, chosen by a hash, take their best move. Then a community may
+    be left or entered by one node a round: such moves do not touch each other, each raises
+    modularity, and so rounds end, when no node of any group wants to move; nodes of finished
+    groups stay where they are. Communities are then contracted
+    to nodes and moving starts again. Each group decides for itself: a level that does not raise
+    its modularity is not taken, and the group leaves the later levels. A group's labels do not
+    depend on the other groups of the frame. Labels are numbered by falling size, then smallest
+    member. Rounds and levels have a high limit only to end a fault, and then raise.
     """
     base = cut_lineage(
         edges.select(group, F.col(first).alias("u"), F.col(second).alias("v"), F.col(weight).cast("double").alias("w"))
@@ -328,41 +333,40 @@ def modularity_communities(
     level_edges = base.select(
         group, F.col("u").cast("bigint").alias("u"), F.col("v").cast("bigint").alias("v"), "w"
     )
-    best_score = _scores(base, assignment, group, resolution)
-    for level in range(max_levels):
-        labels = _local_moving(level_edges, group, resolution, rounds, level)
-        merged = assignment.join(
-            labels.select(group, F.col("node").alias("community"), F.col("community").alias("_next")),
-            [group, "community"],
-            "left",
-        ).select(group, "node", F.coalesce("_next", "community").alias("community"))
-        merged = cut_lineage(merged)
-        score = _scores(base, merged, group, resolution)
-        if sum(score.values()) <= sum(best_score.values()) + tolerance:
-            break
-        assignment, best_score = merged, score
-        if level + 1 == max_levels:
-            break
+    score = cut_lineage(modularity(base, assignment, group, "u", "v", "w", resolution))
+    for level in range(_MAX_ROUNDS):
+        labels = _local_moving(level_edges, group, resolution, level)
+        merged = cut_lineage(
+            assignment.join(
+                labels.select(group, F.col("node").alias("community"), F.col("community").alias("_next")),
+                [group, "community"],
+                "left",
+            ).select(group, "node", F.coalesce("_next", "community").alias("community"))
+        )
+        reached = modularity(base, merged, group, "u", "v", "w", resolution).withColumnRenamed("modularity", "_new")
+        # One row per group.
+        compared = cut_lineage(reached.join(score, group))
+        better = compared.where(F.col("_new") > F.col("modularity") + tolerance).select(group)
+        if better.isEmpty():
+            return number_communities(assignment, group)
+        kept = assignment.join(better, group, "left_anti")
+        previous, assignment = assignment, cut_lineage(
+            merged.join(better, group, "left_semi").unionByName(kept)
+        )
+        release(previous)
+        score = cut_lineage(compared.select(group, F.greatest("_new", "modularity").alias("modularity")))
         a = labels.select(group, F.col("node").alias("u"), F.col("community").alias("cu"))
         b = labels.select(group, F.col("node").alias("v"), F.col("community").alias("cv"))
         level_edges = cut_lineage(
-            level_edges.join(a, [group, "u"]).join(b, [group, "v"])
+            level_edges.join(better, group, "left_semi").join(a, [group, "u"]).join(b, [group, "v"])
             .groupBy(group, F.least("cu", "cv").alias("u"), F.greatest("cu", "cv").alias("v"))
             .agg(F.sum("w").alias("w"))
         )
-    return number_communities(assignment, group)
-
-
-def _scores(edges: DataFrame, labels: DataFrame, group: str, resolution: float) -> dict:
-    """Modularity per group; one number per period reaches the driver."""
-    rows = modularity(edges, labels, group, "u", "v", "w", resolution).collect()
-    return {row[group]: row["modularity"] for row in rows}
+    raise RuntimeError("Communities did not settle.")
 
 
-def _local_moving(
-    edges: DataFrame, group: str, resolution: float, rounds: int, level: int
-) -> DataFrame:
-    """A fixed number of half-step moving rounds, each stored so that lineage stays short."""
+def _local_moving(edges: DataFrame, group: str, resolution: float, level: int) -> DataFrame:
+    """Moving rounds until no node wants to move; each is stored and its predecessor deleted."""
     plain = edges.where(F.col("u") != F.col("v"))
     arcs = plain.select(group, "u", "v", "w").unionByName(
         plain.select(group, F.col("v").alias("u"), F.col("u").alias("v"), "w")
@@ -373,7 +377,7 @@ def _local_moving(
     total = edges.groupBy(group).agg(F.sum("w").alias("m"))
     fixed = cut_lineage(strength.join(total, group))
     labels = fixed.select(group, F.col("u").alias("node"), F.col("u").alias("community"))
-    for round_number in range(rounds):
+    for round_number in range(_MAX_MOVES):
         state = labels.join(fixed.withColumnRenamed("u", "node"), [group, "node"])
         volume = state.groupBy(group, "community").agg(F.sum("k").alias("tot"))
         near = (
@@ -394,15 +398,37 @@ def _local_moving(
             F.max(F.when(F.col("community") == F.col("own"), F.round(gain, 12))).alias("stay"),
             F.first("own").alias("own"),
         )
-        turn = F.pmod(F.xxhash64("u", F.lit(round_number + 31 * level)), F.lit(2)) == 0
-        moves = turn & (F.col("best.gain") > F.col("stay"))
-        labels = cut_lineage(
+        wants = F.col("best.gain") > F.col("stay")
+        priority = F.xxhash64("u", F.lit(round_number + 1000 * level))
+        chosen = cut_lineage(
             choice.select(
-                group, F.col("u").alias("node"),
-                F.when(moves, -F.col("best.c")).otherwise(F.col("own")).alias("community"),
+                group, "u", "own", F.when(wants, -F.col("best.c")).alias("target"), F.when(wants, priority).alias("priority")
+            )
+        )
+        if round_number < _FREE_ROUNDS:
+            moves = F.pmod("priority", F.lit(2)) == 0
+        else:
+            # The first in line at a community is the only one to leave or enter it.
+            asked = chosen.where("target IS NOT NULL").select(group, "priority", F.explode(F.array("own", "target")).alias("c"))
+            first = asked.groupBy(group, "c").agg(F.max("priority").alias("_first"))
+            leave = first.select(group, F.col("c").alias("own"), F.col("_first").alias("_leave"))
+            enter = first.select(group, F.col("c").alias("target"), F.col("_first").alias("_enter"))
+            moves = (F.col("priority") == F.col("_leave")) & (F.col("priority") == F.col("_enter"))
+        ruled = chosen if round_number < _FREE_ROUNDS else (
+            chosen.join(leave, [group, "own"], "left").join(enter, [group, "target"], "left")
+        )
+        settled = chosen.where("target IS NOT NULL").isEmpty()
+        moved = cut_lineage(
+            ruled.select(
+                group, F.col("u").alias("node"), F.when(moves, F.col("target")).otherwise(F.col("own")).alias("community")
             )
         )
-    return labels
+        release(labels)
+        release(chosen)
+        labels = moved
+        if settled:
+            return labels
+    raise RuntimeError("Moves did not settle.")
 
 
 def number_communities(assignment: DataFrame, group: str) -> DataFrame:
@@ -463,9 +489,19 @@ def carried_state(
         .withColumn("_starts", F.when(F.col("_period") - F.lag("_period").over(history) == 1, 0).otherwise(1))
         .withColumn("_run", F.sum("_starts").over(history.rowsBetween(Window.unboundedPreceding, 0)))
     )
-    in_run = Window.partitionBy(entity, "_run").orderBy("_period").rowsBetween(Window.unboundedPreceding, 0)
-    past = F.collect_list(F.col(value).cast("double")).over(in_run)
-    folded = F.aggregate(
-        past, F.lit(0.0), lambda state, x: state * decay + x * (1.0 - decay)
+    # One array per run, folded once; every state is emitted from the same pass.
+    columns = [c for c in frame.columns if c != entity]
+    rows = F.array_sort(F.collect_list(F.struct("_period", *columns)))
+    listed = runs.groupBy(entity, "_run").agg(rows.alias("_rows"))
+    start = F.struct(F.lit(0.0).alias("s"), F.array().cast("array<double>").alias("all"))
+
+    def step(acc: Column, row: Column) -> Column:
+        state = acc["s"] * decay + row[value].cast("double") * (1.0 - decay)
+        return F.struct(state.alias("s"), F.concat(acc["all"], F.array(state)).alias("all"))
+
+    states = F.aggregate("_rows", start, step, lambda acc: acc["all"])
+    zipped = F.arrays_zip(F.col("_rows").alias("row"), states.alias("state"))
+    return listed.select(entity, F.explode(zipped).alias("_z")).select(
+        *[F.col(entity) if c == entity else F.col(f"_z.row.{c}").alias(c) for c in frame.columns],
+        F.col("_z.state").alias(output),
     )
-    return runs.withColumn(output, folded).drop("_period", "_starts", "_run")
