@@ -14,7 +14,8 @@ def normalized_id(text: Column) -> Column:
 
 def lenient_long(text: Column) -> Column:
     """Text to bigint, rounding fractions; null where the text is not a number."""
-    return F.round(text.try_cast("double")).try_cast("bigint")
+    # Whole numbers are read as such: a double holds 53 bits only.
+    return F.coalesce(text.try_cast("bigint"), F.round(text.try_cast("double")).try_cast("bigint"))
 
 
 def ratio(numerator: Column, denominator: Column) -> Column:

@@ -200,7 +200,7 @@ def missing_share_pivot(
 def histogram(
     frame: DataFrame, value: str, bins: int, low: float, high: float, geometric: bool = False
 ) -> DataFrame:
-    """Counts and weights per bin of equal (or equal-ratio) width; empty bins are absent."""
+    """Counts and weights per bin of equal (or equal-ratio) width; empty bins have zero rows."""
     x = F.col(value).cast("double")
     if geometric:
         if low <= 0:
@@ -213,8 +213,11 @@ def histogram(
         F.least(F.floor(position), F.lit(bins - 1)).cast("int").alias("bin")
     )
     counts = binned.groupBy("bin").agg(F.count(F.lit(1)).alias("rows"))
-    everything = Window.partitionBy(F.lit(1))  # at most ``bins`` rows
-    return counts.withColumn("weight", F.col("rows") / F.sum("rows").over(everything))
+    every = frame.sparkSession.range(bins).select(F.col("id").cast("int").alias("bin"))
+    everything = Window.partitionBy(F.lit(1))  # ``bins`` rows
+    return every.join(counts, "bin", "left").withColumn("rows", F.coalesce("rows", F.lit(0).cast("long"))).withColumn(
+        "weight", F.col("rows") / F.nullif(F.sum("rows").over(everything), F.lit(0))
+    )
 
 
 def mean_of_group_means(

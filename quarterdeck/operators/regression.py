@@ -32,8 +32,9 @@ def hac_regression(
     Two aggregations do the work: cross products give the coefficients; products of each day's
     scores with the lagged scores give the autocovariances. Only matrices of the number of
     regressors reach the driver. The frame is one daily series, so ordering it is bounded by
-    the calendar.
+    the calendar. Days with a null value take no part, also in the numbering of lags.
     """
+    frame = frame.dropna(subset=[dependent, *regressors])
     design = [F.lit(1.0), *[F.col(r).cast("double") for r in regressors]]
     y = F.col(dependent).cast("double")
     size = len(design)

@@ -16,7 +16,7 @@ from quarterdeck.functions.scalars import clip
 from quarterdeck.plans.evaluation import error_metrics
 
 # The regularisation grid and the quantiles used to bound features.
-RIDGE_ALPHAS = (0.1, 1.0, 10.0, 100.0, 1000.0)
+RIDGE_ALPHAS = (0.01, 0.1, 1.0, 10.0, 100.0)
 LOWER_QUANTILE, UPPER_QUANTILE = 0.01, 0.99
 
 
@@ -79,8 +79,10 @@ def apply_preprocessing(
 def gram_sums(frame: DataFrame, features: Sequence[str], target: str) -> tuple[np.ndarray, np.ndarray, float, int]:
     """Cross products of [1, features] with themselves and the target, in one aggregation.
 
-    Only (features + 2) squared numbers reach the driver, whatever the number of rows.
+    Rows with a null feature or target are left out of every sum. Only (features + 2) squared
+    numbers reach the driver, whatever the number of rows.
     """
+    frame = frame.dropna(subset=[*features, target])
     columns = [F.lit(1.0), *[F.col(f).cast("double") for f in features], F.col(target).cast("double")]
     size = len(columns)
     sums = [
@@ -90,7 +92,7 @@ def gram_sums(frame: DataFrame, features: Sequence[str], target: str) -> tuple[n
     full = np.zeros((size, size))
     for i in range(size):
         for j in range(i, size):
-            full[i, j] = full[j, i] = row[f"s_{i}_{j}"]
+            full[i, j] = full[j, i] = row[f"s_{i}_{j}"] or 0.0
     return full[:-1, :-1], full[:-1, -1], float(full[-1, -1]), int(round(full[0, 0]))
 
 

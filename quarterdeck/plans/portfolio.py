@@ -231,19 +231,23 @@ def managed_exposure(
     target: float = 0.15,
     window_days: int = 63,
     fixed: float = 0.5,
+    by: Sequence[str] = (),
 ) -> DataFrame:
-    """Fixed and volatility-managed exposure of one daily series, with exposure turnover.
+    """Fixed and volatility-managed exposure of daily series, with exposure turnover.
+
+    ``by`` names the columns that tell the series of a frame apart.
 
     Exposure is the target over the trailing deviation of earlier days, at most one, and one
     while the trailing window is incomplete.
     """
-    time = Window.partitionBy(F.lit(1)).orderBy("day")  # a single daily series
+    by = list(by)
+    time = (Window.partitionBy(*by) if by else Window.partitionBy(F.lit(1))).orderBy("day")  # one daily series
     deviation = paths.lagged_rolling_deviation(F.col(returns), time, window_days) * F.sqrt(F.lit(float(TRADING_DAYS)))
     exposure = F.coalesce(F.least(F.lit(1.0), F.lit(target) / F.nullif(deviation, F.lit(0.0))), F.lit(1.0))
-    in_period = Window.partitionBy(PERIOD).orderBy("day")
+    in_period = Window.partitionBy(*by, PERIOD).orderBy("day")
     return (
         series.withColumn("exposure", exposure)
-        .join(turnover.select(PERIOD, "one_way_turnover"), PERIOD, "left")
+        .join(turnover.select(*by, PERIOD, "one_way_turnover"), [*by, PERIOD], "left")
         .withColumns(
             {
                 "half_exposure_return": F.lit(fixed) * F.col(returns),

@@ -81,7 +81,7 @@ def write_sorted(
 
 def write_small_csv(frame: DataFrame, path: str, mode: str = "errorifexists") -> None:
     """A result table of report size as one CSV part with a header."""
-    frame.coalesce(1).write.mode(mode).option("header", True).csv(path)
+    frame.repartition(1).write.mode(mode).option("header", True).csv(path)
 
 
 def file_digests(spark: SparkSession, path: str) -> DataFrame:

@@ -18,13 +18,13 @@ R.cte(
     "signals",
     """SELECT report_period, information_date, permno, CAST((permno // 10 * 3 + permno + year(report_period) * 4 + quarter(report_period)) % 10 + 1 AS INTEGER) AS decile,
         CAST(sum(position_value) AS DOUBLE) AS market_cap, CAST(information_date + 91 AS DATE) AS target_window_end
-    FROM holdings WHERE report_period BETWEEN DATE '1998-03-31' AND DATE '1999-12-31' GROUP BY report_period, information_date, permno""",
+    FROM holdings GROUP BY report_period, information_date, permno""",
     "holdings",
 )
 
 
 def signals(spark, sf):
-    rows = R.positions(spark, sf).where(F.col("report_period").between("1998-03-31", "1999-12-31"))
+    rows = R.positions(spark, sf)
     return rows.groupBy("report_period", "information_date", "permno").agg(
         F.sum("position_value").cast("double").alias("market_cap")
     ).select(
