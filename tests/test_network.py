@@ -95,3 +95,37 @@ def test_tiles_are_multiplied_in_pieces(spark, monkeypatch):
     pd.testing.assert_frame_equal(
         whole.sort_values(keys).reset_index(drop=True), split.sort_values(keys).reset_index(drop=True)
     )
+
+
+def test_communities_of_a_period_do_not_depend_on_others(spark):
+    import random
+
+    draw = random.Random(5)
+    nodes = [(g, i) for g in (1, 2, 3) for i in range(24)]
+    edges = []
+    for g in (1, 2, 3):
+        for a in range(24):
+            for b in range(a + 1, 24):
+                if draw.random() < (0.6 if a // 8 == b // 8 else 0.05 * g):
+                    edges.append((g, a, b, 1.0 + draw.random()))
+
+    def labels(groups):
+        found = graph.modularity_communities(
+            spark.createDataFrame([n for n in nodes if n[0] in groups], "g int, n long"),
+            spark.createDataFrame([e for e in edges if e[0] in groups], "g int, a long, b long, w double"),
+            "g", "n", "a", "b", "w",
+        )
+        return {(r["g"], r["node"]): r["community_id"] for r in found.collect()}
+
+    together = labels({1, 2, 3})
+    alone = labels({2})
+    assert alone == {k: v for k, v in together.items() if k[0] == 2}
+    assert len({v for (g, _), v in together.items() if g == 1}) == 3
+
+
+def test_carried_state_is_reset_after_a_gap(spark):
+    rows = [("a", 1, 2.0), ("a", 2, 4.0), ("a", 5, 8.0), ("b", 3, 1.0)]
+    frame = spark.createDataFrame(rows, "entity string, period int, value double")
+    found = graph.carried_state(frame, "entity", F.col("period"), "value", 0.5).collect()
+    got = {(r["entity"], r["period"]): r["state"] for r in found}
+    assert got == {("a", 1): 1.0, ("a", 2): 2.5, ("a", 5): 4.0, ("b", 3): 0.5}

@@ -125,3 +125,29 @@ def test_rows_crossing_the_next_split_are_dropped(spark):
     other = spark.createDataFrame([], "report_period date, information_date date, permno int, horizon_market_days int, target_usable boolean, future_max_drawdown double, target_window_end date")
     got = ev.alternative_samples(sample, other).groupBy("target").count().collect()
     assert {r["target"]: r["count"] for r in got} == {"future_downside_volatility": 2, "future_worst_five_day_loss": 3}
+
+
+def test_rows_with_a_null_feature_take_no_part_in_fits(spark):
+    rows = [(float(i), 1.0 + 2.0 * i) for i in range(10)] + [(None, 50.0), (3.0, None)]
+    gram, cross, _, n = md.gram_sums(spark.createDataFrame(rows, "x double, y double"), ["x"], "y")
+    fit = md.solve_ridge(gram, cross, 0.0)
+    assert n == 10 and abs(fit[0] - 1.0) < 1e-9 and abs(fit[1] - 2.0) < 1e-9
+
+
+def test_long_whole_numbers_keep_all_digits(spark):
+    from quarterdeck.functions.scalars import lenient_long
+
+    rows = [("9007199254740993",), ("12.6",), ("x",), (None,)]
+    found = spark.createDataFrame(rows, "t string").select(lenient_long(F.col("t")).alias("n")).collect()
+    assert [r["n"] for r in found] == [9007199254740993, 13, None, None]
+
+
+def test_stored_frames_are_computed_once(spark):
+    from quarterdeck.functions.order import with_percentile_rank
+    from quarterdeck.session import stored
+
+    frame = stored(spark.range(100).selectExpr("id % 7 AS g", "CAST(id AS DOUBLE) AS v"))
+    assert stored(frame) is frame
+    ranked = with_percentile_rank(frame, ["g"], "v")
+    plan = ranked._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Relation [") <= 3 and "Range (" not in plan
