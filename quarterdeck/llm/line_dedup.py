@@ -30,6 +30,7 @@ _FOLD = lookup(lambda b: not (b == 0x20 or 0x09 <= b <= 0x0D))
 _BAND = np.uint64(0xA0761D6478BD642F)
 _FILTER_BITS = 24
 _SEEN = 500_000
+_CACHED_SETS = 20_000
 
 
 def line_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -164,13 +165,33 @@ def _shingles(line: bytes, size: int) -> np.ndarray:
     return distinct_sorted(span_hash(prefix_sums(data, _FOLD[1]), a, b))
 
 
+class _Sets:
+    """Shingle sets of lines met lately; the cache is emptied when it is full."""
+
+    def __init__(self, size: int):
+        self.size, self.known = size, {}
+
+    def __getitem__(self, line: bytes) -> np.ndarray:
+        found = self.known.get(line)
+        if found is None:
+            if len(self.known) >= _CACHED_SETS:
+                self.known.clear()
+            found = self.known[line] = _shingles(line, self.size)
+        return found
+
+
 def _confirmed(size: int, percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sets = _Sets(size)
         for batch in batches:
             keep = []
             for left, right in zip(batch.column("left_line").to_pylist(), batch.column("right_line").to_pylist(), strict=True):
-                x, y = _shingles(left, size), _shingles(right, size)
-                both = np.sort(np.concatenate((x, y)))
+                x, y = sets[left], sets[right]
+                if 100 * min(len(x), len(y)) < percent * max(len(x), len(y)):
+                    keep.append(False)
+                    continue
+                both = np.concatenate((x, y))
+                both.sort()
                 shared = int(np.count_nonzero(both[1:] == both[:-1]))
                 keep.append(100 * shared >= percent * (len(x) + len(y) - shared))
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
@@ -207,12 +228,14 @@ def fuzzy_lines(
     buckets = rest.select("key", "node").unionByName(rest.select("key", F.col("low").alias("node")).distinct())
     buckets = buckets.withColumn("n", F.lit(0))
 
+    # The texts of all lines that share a bucket with another, fetched in one further pass.
+    ends = cut_lineage(buckets.select("node").distinct())
+    table = bitfilter.build(ends.mapInArrow(_places, "place long"), "place", _FILTER_BITS)
+    shared = spark.sparkContext.broadcast(table)  # 2^24 bits
+    texts = source.select("text").mapInArrow(_class_texts(shared), "node long, line binary")
+    texts = cut_lineage(texts.join(ends, "node", "left_semi").dropDuplicates(["node"]))
+
     def confirm(edges: DataFrame) -> DataFrame:
-        ends = edges.select(F.col("a").alias("node")).unionByName(edges.select(F.col("b").alias("node"))).distinct()
-        table = bitfilter.build(ends.mapInArrow(_places, "place long"), "place", _FILTER_BITS)
-        shared = spark.sparkContext.broadcast(table)  # 2^24 bits
-        texts = source.select("text").mapInArrow(_class_texts(shared), "node long, line binary")
-        texts = cut_lineage(texts.join(ends, "node", "left_semi").dropDuplicates(["node"]))
         left = texts.select(F.col("node").alias("a"), F.col("line").alias("left_line"))
         right = texts.select(F.col("node").alias("b"), F.col("line").alias("right_line"))
         return edges.join(left, "a").join(right, "b").select("a", "b", "left_line", "right_line").mapInArrow(

@@ -1,9 +1,10 @@
 """Components of buckets by confirmed star edges.
 
 A bucket of n nodes gives n - 1 candidate edges to one centre, not n^2. Candidates are confirmed
-exactly. A bucket whose nodes then still lie in different components gets a further star with
-another centre, reaching only nodes outside the centre's component; pairs tried before are left
-out. This goes on until a round confirms nothing.
+exactly. A bucket whose nodes then still lie in different components gets further stars, with one
+centre from each of up to ``CENTRES`` of its components, reaching only nodes of other components;
+pairs tried before are left out. Rounds with other centres follow until one confirms nothing. A
+bucket of n nodes gives at most n times ``CENTRES`` edges a round.
 """
 
 from __future__ import annotations
@@ -12,10 +13,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from quarterdeck.operators.graph import connected_components
 from quarterdeck.session import cut_lineage
 
+CENTRES = 8
+
 
 def confirmed_components(
     buckets: DataFrame, confirm: Callable[[DataFrame], DataFrame], percent: int | None = None, max_rounds: int = 20
@@ -25,7 +29,7 @@ def confirmed_components(
     ``buckets`` has (key, node, n); with ``percent``, pairs whose sizes n alone rule the
     similarity out are not candidates. ``confirm`` maps candidates (a, b), a < b, to links.
     """
-    tried, links, labels = None, None, None
+    tried, labels = None, None
     for turn in range(max_rounds):
         edges = _stars(buckets, labels, turn, percent)
         if tried is not None:
@@ -37,13 +41,27 @@ def confirmed_components(
         found = cut_lineage(confirm(edges))
         if found.isEmpty():
             return labels
-        links = found if links is None else links.unionByName(found)
-        labels = cut_lineage(
-            connected_components(links.withColumn("_g", F.lit(0)), "_g", "a", "b").select("node", "component")
-        )
+        labels = cut_lineage(_merged(labels, found))
     raise RuntimeError("Stars did not settle; raise max_rounds.")
 
 
+def _merged(labels: DataFrame | None, found: DataFrame) -> DataFrame:
+    """Labels after new links: only the components that the links join are relabelled."""
+    if labels is None:
+        return connected_components(found.withColumn("_g", F.lit(0)), "_g", "a", "b").select("node", "component")
+    known = labels.select(F.col("node").alias("a"), F.col("component").alias("u"))
+    other = labels.select(F.col("node").alias("b"), F.col("component").alias("v"))
+    joined = found.join(known, "a", "left").join(other, "b", "left").select(
+        F.lit(0).alias("_g"), F.coalesce("u", "a").alias("u"), F.coalesce("v", "b").alias("v")
+    )
+    moved = cut_lineage(connected_components(joined, "_g", "u", "v").select(F.col("node").alias("part"), "component"))
+    # Nodes that had no label are their own part.
+    fresh = moved.join(labels.select(F.col("component").alias("part")).distinct(), "part", "left_anti")
+    before = labels.select("node", F.col("component").alias("part"))
+    after = before.join(moved, "part", "left").select("node", F.coalesce("component", "part").alias("component"))
+    return after.unionByName(fresh.select(F.col("part").alias("node"), "component"))
+
+
 def _stars(buckets: DataFrame, labels: DataFrame | None, turn: int, percent: int | None) -> DataFrame:
     """Candidate edges (a < b): nodes of a bucket to one centre of another component."""
     members = buckets.withColumn("part", F.col("node"))
@@ -51,13 +69,17 @@ def _stars(buckets: DataFrame, labels: DataFrame | None, turn: int, percent: int
         members = buckets.join(labels, "node", "left").select(
             "key", "node", "n", F.coalesce("component", "node").alias("part")
         )
-    # The smallest node is the first centre; later centres come in random order.
-    rank = F.col("node") if turn == 0 else F.xxhash64("node", F.lit(turn))
-    centre = members.groupBy("key").agg(
-        F.min(F.struct(rank.alias("rank"), "node", "n", "part")).alias("c"),
-        F.min("part").alias("low"), F.max("part").alias("high"),
-    ).where("low < high")
-    pairs = members.join(centre.select("key", "c"), "key").where(F.col("part") != F.col("c.part"))
+    if turn == 0:  # every node is a component of its own: the smallest is the centre
+        centres = members.groupBy("key").agg(F.min(F.struct("node", "n", "part")).alias("c"), F.max("part").alias("high"))
+        centres = centres.where("c.part < high").select("key", "c")
+    else:
+        spread = members.groupBy("key").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low < high")
+        members = members.join(spread.select("key"), "key")
+        rank = F.xxhash64("node", F.lit(turn))
+        one = members.groupBy("key", "part").agg(F.min(F.struct(rank.alias("rank"), "node", "n", "part")).alias("c"))
+        line = F.row_number().over(Window.partitionBy("key").orderBy("c.rank", "part"))
+        centres = one.withColumn("_line", line).where(F.col("_line") <= CENTRES).select("key", "c")
+    pairs = members.join(centres, "key").where(F.col("part") != F.col("c.part"))
     if percent is not None:
         pairs = pairs.where(100 * F.least("n", "c.n") >= percent * F.greatest("n", "c.n"))
     return pairs.select(
