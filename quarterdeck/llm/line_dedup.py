@@ -31,6 +31,7 @@ _BAND = np.uint64(0xA0761D6478BD642F)
 _FILTER_BITS = 24
 _SEEN = 500_000
 _CACHED_SETS = 20_000
+_CENTRES = 8
 
 
 def line_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -242,7 +243,7 @@ def fuzzy_lines(
             _confirmed(size, percent), "a long, b long"
         )
 
-    labels = confirmed_components(buckets, confirm)
+    labels = confirmed_components(buckets, confirm, centres=_CENTRES)
     named = lines.select("doc_id", "_row", "line_no", F.col("class").alias("node"))
     if labels is not None:
         named = named.join(labels, "node", "left")

@@ -164,7 +164,7 @@ def near_duplicates(
     repeated = not named.groupBy("doc_id").count().where("count > 1").isEmpty()
 
     labels = confirmed_components(
-        buckets, lambda edges: _verified(edges, source, shingle, percent, repeated), percent, max_rounds
+        buckets, lambda edges: _verified(edges, source, shingle, percent, repeated), percent, max_rounds=max_rounds
     )
     out = profile.join(classes, "digest", "left")
     if labels is not None:

@@ -2,9 +2,9 @@
 
 A bucket of n nodes gives n - 1 candidate edges to one centre, not n^2. Candidates are confirmed
 exactly. A bucket whose nodes then still lie in different components gets further stars, with one
-centre from each of up to ``CENTRES`` of its components, reaching only nodes of other components;
+centre from each of up to ``centres`` of its components, reaching only nodes of other components;
 pairs tried before are left out. Rounds with other centres follow until one confirms nothing. A
-bucket of n nodes gives at most n times ``CENTRES`` edges a round.
+bucket of n nodes gives at most n times ``centres`` edges a round.
 """
 
 from __future__ import annotations
@@ -18,11 +18,10 @@ from pyspark.sql.window import Window
 from quarterdeck.operators.graph import connected_components
 from quarterdeck.session import cut_lineage
 
-CENTRES = 8
-
 
 def confirmed_components(
-    buckets: DataFrame, confirm: Callable[[DataFrame], DataFrame], percent: int | None = None, max_rounds: int = 20
+    buckets: DataFrame, confirm: Callable[[DataFrame], DataFrame], percent: int | None = None, centres: int = 1,
+    max_rounds: int = 40,
 ) -> DataFrame | None:
     """(node, component) of linked nodes, or None without links.
 
@@ -31,7 +30,7 @@ def confirmed_components(
     """
     tried, labels = None, None
     for turn in range(max_rounds):
-        edges = _stars(buckets, labels, turn, percent)
+        edges = _stars(buckets, labels, turn, percent, centres)
         if tried is not None:
             edges = edges.join(tried, ["a", "b"], "left_anti")
         edges = cut_lineage(edges)
@@ -62,23 +61,26 @@ def _merged(labels: DataFrame | None, found: DataFrame) -> DataFrame:
     return after.unionByName(fresh.select(F.col("part").alias("node"), "component"))
 
 
-def _stars(buckets: DataFrame, labels: DataFrame | None, turn: int, percent: int | None) -> DataFrame:
-    """Candidate edges (a < b): nodes of a bucket to one centre of another component."""
+def _stars(buckets: DataFrame, labels: DataFrame | None, turn: int, percent: int | None, most: int) -> DataFrame:
+    """Candidate edges (a < b): nodes of a bucket to centres of other components."""
     members = buckets.withColumn("part", F.col("node"))
     if labels is not None:
         members = buckets.join(labels, "node", "left").select(
             "key", "node", "n", F.coalesce("component", "node").alias("part")
         )
-    if turn == 0:  # every node is a component of its own: the smallest is the centre
-        centres = members.groupBy("key").agg(F.min(F.struct("node", "n", "part")).alias("c"), F.max("part").alias("high"))
-        centres = centres.where("c.part < high").select("key", "c")
+    # The smallest node is the first centre; later centres come in random order.
+    rank = F.col("node") if turn == 0 else F.xxhash64("node", F.lit(turn))
+    if turn == 0 or most == 1:
+        centres = members.groupBy("key").agg(
+            F.min(F.struct(rank.alias("rank"), "node", "n", "part")).alias("c"),
+            F.min("part").alias("low"), F.max("part").alias("high"),
+        ).where("low < high").select("key", "c")
     else:
         spread = members.groupBy("key").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low < high")
         members = members.join(spread.select("key"), "key")
-        rank = F.xxhash64("node", F.lit(turn))
         one = members.groupBy("key", "part").agg(F.min(F.struct(rank.alias("rank"), "node", "n", "part")).alias("c"))
         line = F.row_number().over(Window.partitionBy("key").orderBy("c.rank", "part"))
-        centres = one.withColumn("_line", line).where(F.col("_line") <= CENTRES).select("key", "c")
+        centres = one.withColumn("_line", line).where(F.col("_line") <= most).select("key", "c")
     pairs = members.join(centres, "key").where(F.col("part") != F.col("c.part"))
     if percent is not None:
         pairs = pairs.where(100 * F.least("n", "c.n") >= percent * F.greatest("n", "c.n"))
