@@ -8,7 +8,8 @@
 3. Bins are grouped into bands; classes that agree on a band share a bucket. A bucket links each
    member to its smallest member only, so a bucket of n gives n - 1 candidate edges, not n^2.
 4. Candidates are confirmed on the full sets. A bucket whose members then still lie in different
-   components gets further stars with other centres, until a round confirms nothing.
+   components gets further stars with other centres, while they confirm much. Members of buckets that are still not of one component are then joined exactly (``setjoin``), so a pair
+   that shares a bucket is never lost.
 5. Components are labelled by their smallest document id.
 """
 
@@ -24,6 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarterdeck.llm import bitfilter
+from quarterdeck.llm.setjoin import candidate_pairs
 from quarterdeck.llm.stars import confirmed_components
 from quarterdeck.llm.textbytes import NON_SPACE, distinct_sorted, gram_hashes, mix, pieces, word_hashes
 from quarterdeck.session import cut_lineage
@@ -163,9 +165,16 @@ def near_duplicates(
     buckets = cut_lineage(entries.join(shared.select("key"), "key").distinct())
     repeated = not named.groupBy("doc_id").count().where("count > 1").isEmpty()
 
-    labels = confirmed_components(
-        buckets, lambda edges: _verified(edges, source, shingle, percent, repeated), percent, max_rounds=max_rounds
-    )
+    def finish(rest: DataFrame) -> DataFrame:
+        sets = _item_sets(rest.select("node"), source, shingle, repeated)
+        edges = candidate_pairs(cut_lineage(sets.join(rest, "node")), percent)
+        return _verified(edges, sets, percent)
+
+    def confirm(edges: DataFrame) -> DataFrame:
+        ends = edges.select(F.col("a").alias("node")).unionByName(edges.select(F.col("b").alias("node"))).distinct()
+        return _verified(edges, _item_sets(ends, source, shingle, repeated), percent)
+
+    labels = confirmed_components(buckets, confirm, finish, percent, max_rounds=max_rounds)
     out = profile.join(classes, "digest", "left")
     if labels is not None:
         out = out.join(labels, "node", "left")
@@ -178,18 +187,19 @@ def near_duplicates(
     )
 
 
-def _verified(edges: DataFrame, source: DataFrame, shingle: int, percent: int, repeated: bool) -> DataFrame:
-    """Edges confirmed on full shingle sets, which are made for their ends only."""
-    ends = edges.select(F.col("a").alias("doc_id")).unionByName(edges.select(F.col("b").alias("doc_id"))).distinct()
+def _item_sets(nodes: DataFrame, source: DataFrame, shingle: int, repeated: bool) -> DataFrame:
+    """(node, items): full shingle sets of the wanted nodes, stored."""
     place = bitfilter.place_of(F.col("doc_id"), _FILTER_BITS).alias("place")
-    table = bitfilter.build(ends.select(place), "place", _FILTER_BITS)
+    table = bitfilter.build(nodes.select(F.col("node").alias("doc_id")).select(place), "place", _FILTER_BITS)
     shared = source.sparkSession.sparkContext.broadcast(table)  # 2^24 bits
     sets = source.where("doc_id IS NOT NULL").select("doc_id", place, "text").mapInArrow(
         _sets(shingle, shared), "node long, items binary"
-    ).join(ends.withColumnRenamed("doc_id", "node"), "node", "left_semi")
-    if repeated:
-        sets = sets.distinct()
-    sets = cut_lineage(sets)
+    ).join(nodes, "node", "left_semi")
+    return cut_lineage(sets.distinct() if repeated else sets)
+
+
+def _verified(edges: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Edges confirmed on full shingle sets."""
     left = sets.select(F.col("node").alias("a"), F.col("items").alias("left_items"))
     right = sets.select(F.col("node").alias("b"), F.col("items").alias("right_items"))
     return edges.join(left, "a").join(right, "b").select("a", "b", "left_items", "right_items").mapInArrow(

@@ -3,8 +3,10 @@
 A bucket of n nodes gives n - 1 candidate edges to one centre, not n^2. Candidates are confirmed
 exactly. A bucket whose nodes then still lie in different components gets further stars, with one
 centre from each of up to ``centres`` of its components, reaching only nodes of other components;
-pairs tried before are left out. Rounds with other centres follow until one confirms nothing. A
-bucket of n nodes gives at most n times ``centres`` edges a round.
+pairs tried before are left out. Rounds with other centres follow while one candidate in ten is
+confirmed. A bucket of n nodes gives at most n times ``centres`` edges a round. What stars leave
+is settled exactly, whenever they end: all nodes of buckets that may still hold untried pairs go to ``finish``, which returns
+every link between different components.
 """
 
 from __future__ import annotations
@@ -20,13 +22,14 @@ from quarterdeck.session import cut_lineage
 
 
 def confirmed_components(
-    buckets: DataFrame, confirm: Callable[[DataFrame], DataFrame], percent: int | None = None, centres: int = 1,
-    max_rounds: int = 40,
+    buckets: DataFrame, confirm: Callable[[DataFrame], DataFrame], finish: Callable[[DataFrame], DataFrame],
+    percent: int | None = None, centres: int = 1, max_rounds: int = 40,
 ) -> DataFrame | None:
     """(node, component) of linked nodes, or None without links.
 
     ``buckets`` has (key, node, n); with ``percent``, pairs whose sizes n alone rule the
     similarity out are not candidates. ``confirm`` maps candidates (a, b), a < b, to links.
+    ``finish`` maps nodes with their components (node, part) to all links between components.
     """
     tried, labels = None, None
     for turn in range(max_rounds):
@@ -35,13 +38,33 @@ def confirmed_components(
             edges = edges.join(tried, ["a", "b"], "left_anti")
         edges = cut_lineage(edges)
         if edges.isEmpty():
-            return labels
+            break
         tried = edges if tried is None else tried.unionByName(edges)
         found = cut_lineage(confirm(edges))
-        if found.isEmpty():
-            return labels
-        labels = cut_lineage(_merged(labels, found))
-    raise RuntimeError("Stars did not settle; raise max_rounds.")
+        links = found.count()
+        if links:
+            labels = cut_lineage(_merged(labels, found))
+        if 10 * links < edges.count():
+            break
+    rest = cut_lineage(_unsettled(buckets, labels))
+    if rest.isEmpty():
+        return labels
+    found = cut_lineage(finish(rest))
+    return labels if found.isEmpty() else cut_lineage(_merged(labels, found))
+
+
+def _with_parts(buckets: DataFrame, labels: DataFrame | None) -> DataFrame:
+    if labels is None:
+        return buckets.withColumn("part", F.col("node"))
+    return buckets.join(labels, "node", "left").select("key", "node", "n", F.coalesce("component", "node").alias("part"))
+
+
+def _unsettled(buckets: DataFrame, labels: DataFrame | None) -> DataFrame:
+    """(node, part) of buckets with several components; the one pair of a bucket of two was tried in the first round."""
+    members = _with_parts(buckets, labels)
+    several = members.groupBy("key").agg(F.min("part").alias("low"), F.max("part").alias("high"), F.count("*").alias("_count"))
+    several = several.where("low < high AND _count > 2").select("key")
+    return members.join(several, "key").select("node", "part").distinct()
 
 
 def _merged(labels: DataFrame | None, found: DataFrame) -> DataFrame:
@@ -63,11 +86,7 @@ def _merged(labels: DataFrame | None, found: DataFrame) -> DataFrame:
 
 def _stars(buckets: DataFrame, labels: DataFrame | None, turn: int, percent: int | None, most: int) -> DataFrame:
     """Candidate edges (a < b): nodes of a bucket to centres of other components."""
-    members = buckets.withColumn("part", F.col("node"))
-    if labels is not None:
-        members = buckets.join(labels, "node", "left").select(
-            "key", "node", "n", F.coalesce("component", "node").alias("part")
-        )
+    members = _with_parts(buckets, labels)
     # The smallest node is the first centre; later centres come in random order.
     rank = F.col("node") if turn == 0 else F.xxhash64("node", F.lit(turn))
     if turn == 0 or most == 1:

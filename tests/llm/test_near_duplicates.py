@@ -72,3 +72,21 @@ def test_signatures_estimate_similarity():
 def test_shingle_sets_have_plain_sizes():
     texts = [t for _, t, _ in awkward_documents()]
     assert [len(s) for s in shingle_sets(pa.array(texts), 5)] == [len(plain_set(t)) for t in texts]
+
+
+def test_a_hidden_pair_among_mid_similar_documents(spark):
+    """The pair shares its buckets with hundreds of documents that are like neither, and has the largest ids."""
+    draw = random.Random(8)
+    template = [f"t{i}" for i in range(400)]
+
+    def changed(doc, places, length):
+        words = list(template)
+        for at in places:
+            words[at : at + length] = [f"d{doc}x{at + i}" for i in range(length)]
+        return doc, " ".join(words), "s"
+
+    rows = [changed(i, draw.sample(range(5, 390, 8), 5), 2) for i in range(500)]
+    rows += [changed(900, [100], 6), changed(901, [250], 6)]
+    check(spark, rows)
+    found = {r["doc_id"]: r["component_id"] for r in near_duplicates(documents(spark, rows)).collect()}
+    assert found[901] == 900 and sum(i != c for i, c in found.items()) == 1
