@@ -4,7 +4,8 @@ Lines equal but for the case of A-Z are one class, named by a 64-bit digest, so
 nothing from there on (two of n different lines share a digest with probability n^2 / 2^65).
 A class has a one-permutation signature of its character shingles (empty bins take the value of
 the first full bin on a fixed probe sequence); bands of it are buckets. Star edges of the buckets
-are confirmed by the exact Jaccard similarity of the two lines' shingle sets, and components are
+are confirmed by the exact Jaccard similarity of the two lines' shingle sets; lines of buckets
+that are then still not of one component are joined exactly (``setjoin``). Components are
 labelled by rounds of large-star and small-star steps. The first line of a component, by
 document id and then place, is kept.
 """
@@ -22,6 +23,7 @@ from pyspark.sql.window import Window
 
 from quarterdeck.llm import bitfilter
 from quarterdeck.llm.near_dup import probe_table
+from quarterdeck.llm.setjoin import candidate_pairs
 from quarterdeck.llm.stars import confirmed_components
 from quarterdeck.llm.textbytes import distinct_sorted, lookup, mix, pieces, prefix_sums, span_hash
 from quarterdeck.session import cut_lineage
@@ -200,6 +202,17 @@ def _confirmed(size: int, percent: int):
     return run
 
 
+def _item_sets(size: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [_shingles(line, size).tobytes() for line in batch.column("line").to_pylist()]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("node"), batch.column("part"), pa.array(sets, pa.binary())], ["node", "part", "items"]
+            )
+
+    return run
+
+
 def fuzzy_lines(
     docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", size: int = 7, percent: int = 80,
     bands: int = 8, band_rows: int = 3,
@@ -243,7 +256,13 @@ def fuzzy_lines(
             _confirmed(size, percent), "a long, b long"
         )
 
-    labels = confirmed_components(buckets, confirm, centres=_CENTRES)
+    def finish(rest: DataFrame) -> DataFrame:
+        sets = texts.join(rest, "node").select("node", "part", "line").mapInArrow(
+            _item_sets(size), "node long, part long, items binary"
+        )
+        return confirm(candidate_pairs(cut_lineage(sets), percent))
+
+    labels = confirmed_components(buckets, confirm, finish, centres=_CENTRES)
     named = lines.select("doc_id", "_row", "line_no", F.col("class").alias("node"))
     if labels is not None:
         named = named.join(labels, "node", "left")

@@ -57,3 +57,22 @@ def test_repeated_rows_and_no_rows(spark):
     rows = [(106, "é ñ 日本 語 ß", "s")] * 3 + [(None, "é ñ 日本 語 ß", "s")]
     assert sorted(r["kept"] for r in fuzzy_lines(documents(spark, rows)).collect()) == [False, False, False, True]
     assert fuzzy_lines(spark.createDataFrame([], SHAPE)).count() == 0
+
+
+def test_a_hidden_pair_among_mid_similar_lines(spark):
+    """Two lines that are alike share their buckets with hundreds of lines that are like neither."""
+    draw = random.Random(9)
+    template = "".join(draw.choice("abcdefghijklmnopqrstuvwxyz     ") for _ in range(200))
+
+    def changed(doc, places):
+        line = list(template)
+        for at in places:
+            line[at] = chr(0x4E00 + doc)
+        return doc, "".join(line), "s"
+
+    places = draw.sample(list(itertools.combinations(range(10, 130, 8), 3)), 400)
+    rows = [changed(i, own) for i, own in enumerate(places)] + [changed(900, [150]), changed(901, [180])]
+    found = fuzzy_lines(documents(spark, rows)).collect()
+    got = sorted(((r["doc_id"], r["line_no"], r["component_doc"], r["component_line"]) for r in found), key=str)
+    assert got == plain(rows)
+    assert [r for r in got if r[:2] != r[2:]] == [(901, 0, 900, 0)]
