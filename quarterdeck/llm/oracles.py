@@ -59,4 +59,49 @@ SELECT d.doc_id, CAST(len(ws) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit
 FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN items USING (doc_id)
 """
 
-ORACLES = {"op3_decontaminate": DECONTAMINATION, "op9_near_duplicates": NEAR_DUPLICATES}
+PREFIX_TRIE = """
+WITH RECURSIVE t AS (
+    SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
+        row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS place
+    FROM conversations WHERE conv_id IS NOT NULL
+), c AS (
+    SELECT conv_id, conv_id - conv_id % 100 AS base, xor(4294967295, list_reduce(
+        list_prepend(4294967295, flatten(list_transform(string_split(CAST(conv_id AS VARCHAR), ''),
+            lambda x: [CAST(ascii(x) AS BIGINT), 0, 0, 0, 0, 0, 0, 0]))),
+        lambda a, x: xor(xor(a, x) >> 1, CASE WHEN xor(a, x) & 1 = 1 THEN 3988292384 ELSE 0 END))) % 6 AS h
+    FROM (SELECT DISTINCT conv_id FROM t)
+), r AS (
+    SELECT c.conv_id, row_number() OVER (PARTITION BY c.conv_id ORDER BY part, place) AS place, role, text FROM (
+        SELECT c.conv_id, 0 AS part, place, role, text FROM c JOIN t ON t.conv_id = c.base AND t.place <= c.h
+        UNION ALL
+        SELECT c.conv_id, 1, place, role, text FROM c JOIN t ON t.conv_id = c.conv_id AND t.place > c.h
+    ) c
+), n(conv_id, place, name, chars) AS (
+    SELECT conv_id, CAST(0 AS BIGINT), '', CAST(0 AS BIGINT) FROM c
+    UNION ALL
+    SELECT r.conv_id, r.place, sha256(n.name || ':' || length(r.role) || ':' || r.role || r.text), length(r.text)
+    FROM n JOIN r ON r.conv_id = n.conv_id AND r.place = n.place + 1
+), m AS (
+    SELECT place, name, min(conv_id) AS conv_id, count(*) AS n_convs, min(chars) AS chars FROM n GROUP BY 1, 2
+), e AS (
+    SELECT n.conv_id, n.place, m.conv_id AS node FROM n JOIN m ON m.place = n.place AND m.name = n.name
+), k AS (
+    SELECT m.conv_id, m.place, p.node AS parent FROM m LEFT JOIN e p ON p.conv_id = m.conv_id AND p.place = m.place - 1
+), kids AS (
+    SELECT parent AS conv_id, place - 1 AS place, count(*) AS n_children FROM k WHERE place > 0 GROUP BY 1, 2
+), v AS (
+    SELECT m.conv_id, m.place, k.parent, n_convs, coalesce(n_children, 0) AS n_children, (n_convs - 1) * chars AS saved
+    FROM m JOIN k USING (conv_id, place) LEFT JOIN kids USING (conv_id, place)
+), s AS (
+    SELECT e.node AS conv_id, e.place, sum(CAST(v.n_children = 0 AS BIGINT)) AS n_leaves, sum(v.saved) AS saved_tokens
+    FROM v JOIN e ON e.conv_id = v.conv_id AND e.place <= v.place GROUP BY 1, 2
+), f AS (
+    SELECT node AS conv_id, place, string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) AS ends
+    FROM e WHERE NOT EXISTS (SELECT 1 FROM e x WHERE x.conv_id = e.conv_id AND x.place = e.place + 1) GROUP BY 1, 2
+)
+SELECT v.conv_id, v.place AS depth, v.parent AS parent_conv_id, n_convs, n_children, CAST(n_leaves AS BIGINT) AS n_leaves,
+    CAST(saved_tokens AS BIGINT) AS saved_tokens, sha256(coalesce(ends, '')) AS ends_sha256
+FROM v JOIN s USING (conv_id, place) LEFT JOIN f USING (conv_id, place)
+"""
+
+ORACLES = {"op3_decontaminate": DECONTAMINATION, "op9_near_duplicates": NEAR_DUPLICATES, "op11_prefix_trie": PREFIX_TRIE}

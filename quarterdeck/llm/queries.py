@@ -12,6 +12,7 @@ from quarterdeck.llm.main_text import extract_main_text
 from quarterdeck.llm.mixing import mix_to_targets
 from quarterdeck.llm.near_dup import near_duplicates
 from quarterdeck.llm.neighbors import nearest
+from quarterdeck.llm.prefix_trie import ordered_turns, prefix_trie, share_openings
 from quarterdeck.llm.secrets import find_secrets
 from quarterdeck.llm.sharding import byte_shards, measured
 from quarterdeck.llm.tables import table
@@ -65,6 +66,10 @@ def op10_fuzzy_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fuzzy_lines(table(spark, sf_dir, "documents"))
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie(share_openings(ordered_turns(table(spark, sf_dir, "conversations"))))
+
+
 QUERIES = {
     "op1_neighbors": op1_neighbors,
     "op2_shards": op2_shards,
@@ -76,4 +81,5 @@ QUERIES = {
     "op8_main_text": op8_main_text,
     "op9_near_duplicates": op9_near_duplicates,
     "op10_fuzzy_lines": op10_fuzzy_lines,
+    "op11_prefix_trie": op11_prefix_trie,
 }
