@@ -104,4 +104,44 @@ SELECT v.conv_id, v.place AS depth, v.parent AS parent_conv_id, n_convs, n_child
 FROM v JOIN s USING (conv_id, place) LEFT JOIN f USING (conv_id, place)
 """
 
-ORACLES = {"op3_decontaminate": DECONTAMINATION, "op9_near_duplicates": NEAR_DUPLICATES, "op11_prefix_trie": PREFIX_TRIE}
+COLLOCATIONS = f"""
+WITH p AS (
+    SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(
+        translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[.,;:!?\\x0A-\\x0D]')) AS piece FROM documents
+), w AS (
+    SELECT lang, regexp_extract_all(piece, '[^\\x20\\x09]+') AS ws FROM p
+), g AS (
+    SELECT lang, size, ws[i:i + size - 1] AS g, count(*) AS f
+    FROM (SELECT lang, ws, size, unnest(range(1, len(ws) - size + 2)) AS i FROM w, (SELECT unnest([1, 2, 3]) AS size))
+    GROUP BY 1, 2, 3
+), totals AS (
+    SELECT lang, CAST(sum(f) AS BIGINT) AS n FROM g WHERE size = 1 GROUP BY 1
+), c AS (
+    SELECT * FROM g WHERE size > 1 AND f >= 10
+), around AS (
+    SELECT lang, g, max(f) AS f FROM (
+        SELECT lang, g[1:2] AS g, f FROM c WHERE size = 3 UNION ALL SELECT lang, g[2:3], f FROM c WHERE size = 3
+    ) GROUP BY 1, 2
+), kept AS (
+    SELECT c.* FROM c LEFT JOIN around a ON a.lang = c.lang AND a.g = c.g AND c.size = 2
+    WHERE a.f IS NULL OR 100 * a.f < 50 * c.f
+), cuts AS (
+    SELECT kept.lang, kept.g, kept.f AS a, k, l.f AS l, r.f AS r,
+        CAST(1000000 AS HUGEINT) * kept.f * kept.f // (CAST(l.f AS HUGEINT) * r.f) AS score
+    FROM (SELECT *, unnest(range(1, size)) AS k FROM kept) kept
+    JOIN g l ON l.lang = kept.lang AND l.g = kept.g[1:k] JOIN g r ON r.lang = kept.lang AND r.g = kept.g[k + 1:]
+), best AS (
+    SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, g ORDER BY score, k) = 1
+), ranked AS (
+    SELECT *, array_to_string(g, ' ') AS phrase,
+        row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, array_to_string(g, ' ')) AS rank FROM best
+)
+SELECT lang, rank, phrase, a, l, r, n, CAST(score AS BIGINT) AS score FROM ranked JOIN totals USING (lang) WHERE rank <= 2000
+"""
+
+ORACLES = {
+    "op3_decontaminate": DECONTAMINATION,
+    "op9_near_duplicates": NEAR_DUPLICATES,
+    "op11_prefix_trie": PREFIX_TRIE,
+    "op12_collocations": COLLOCATIONS,
+}

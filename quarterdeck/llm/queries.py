@@ -6,6 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quarterdeck.llm.collocations import collocations
 from quarterdeck.llm.decontaminate import contamination
 from quarterdeck.llm.line_dedup import fuzzy_lines
 from quarterdeck.llm.main_text import extract_main_text
@@ -70,6 +71,10 @@ def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_trie(share_openings(ordered_turns(table(spark, sf_dir, "conversations"))))
 
 
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_neighbors": op1_neighbors,
     "op2_shards": op2_shards,
@@ -82,4 +87,5 @@ QUERIES = {
     "op9_near_duplicates": op9_near_duplicates,
     "op10_fuzzy_lines": op10_fuzzy_lines,
     "op11_prefix_trie": op11_prefix_trie,
+    "op12_collocations": op12_collocations,
 }
