@@ -139,9 +139,36 @@ WITH p AS (
 SELECT lang, rank, phrase, a, l, r, n, CAST(score AS BIGINT) AS score FROM ranked JOIN totals USING (lang) WHERE rank <= 2000
 """
 
+REPEATED_SPANS = """
+WITH d AS (
+    SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents
+), g AS (
+    SELECT doc_id, i, md5(substring(h, CAST(2 * i + 1 AS BIGINT), 200)) AS s
+    FROM (SELECT doc_id, h, unnest(range(0, length(h) // 2 - 99)) AS i FROM d)
+), later AS (
+    SELECT doc_id, i FROM g QUALIFY row_number() OVER (PARTITION BY s ORDER BY doc_id, i) > 1
+), marked AS (
+    SELECT doc_id, i, coalesce(i - lag(i) OVER (PARTITION BY doc_id ORDER BY i) > 100, TRUE) AS new FROM later
+), runs AS (
+    SELECT doc_id, min(i) AS a, max(i) + 100 AS b FROM (
+        SELECT doc_id, i, sum(CAST(new AS INT)) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM marked
+    ) GROUP BY doc_id, run
+), cut AS (
+    SELECT r.doc_id, sum(b - a) AS n_removed, count(*) AS n_spans,
+        string_agg(substring(h, CAST(2 * before + 1 AS BIGINT), CAST(2 * (a - before) AS BIGINT)), '' ORDER BY a) AS kept, max(b) AS last
+    FROM (SELECT *, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS before FROM runs) r JOIN d ON d.doc_id = r.doc_id
+    GROUP BY 1
+)
+SELECT d.doc_id, CAST(length(h) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed,
+    CAST(coalesce(n_spans, 0) AS BIGINT) AS n_spans,
+    sha256(unhex(coalesce(kept, '') || substring(h, CAST(2 * coalesce(last, 0) + 1 AS BIGINT)))) AS kept_sha256
+FROM d LEFT JOIN cut ON cut.doc_id = d.doc_id
+"""
+
 ORACLES = {
     "op3_decontaminate": DECONTAMINATION,
     "op9_near_duplicates": NEAR_DUPLICATES,
     "op11_prefix_trie": PREFIX_TRIE,
     "op12_collocations": COLLOCATIONS,
+    "op13_repeated_spans": REPEATED_SPANS,
 }

@@ -14,6 +14,7 @@ from quarterdeck.llm.mixing import mix_to_targets
 from quarterdeck.llm.near_dup import near_duplicates
 from quarterdeck.llm.neighbors import nearest
 from quarterdeck.llm.prefix_trie import ordered_turns, prefix_trie, share_openings
+from quarterdeck.llm.repeated_spans import repeat_digests
 from quarterdeck.llm.secrets import find_secrets
 from quarterdeck.llm.sharding import byte_shards, measured
 from quarterdeck.llm.tables import table
@@ -75,6 +76,10 @@ def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations(table(spark, sf_dir, "documents"))
 
 
+def op13_repeated_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeat_digests(table(spark, sf_dir, "documents"), length=100)
+
+
 QUERIES = {
     "op1_neighbors": op1_neighbors,
     "op2_shards": op2_shards,
@@ -88,4 +93,5 @@ QUERIES = {
     "op10_fuzzy_lines": op10_fuzzy_lines,
     "op11_prefix_trie": op11_prefix_trie,
     "op12_collocations": op12_collocations,
+    "op13_repeated_spans": op13_repeated_spans,
 }
