@@ -6,14 +6,16 @@ import math
 from collections.abc import Mapping, Sequence
 
 import numpy as np
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.regression import GBTRegressor
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quarterdeck.functions import order
 from quarterdeck.functions.scalars import clip
-from quarterdeck.plans.evaluation import error_metrics
+from quarterdeck.plans.boosting import (
+    BOOSTED_GRID, MAX_ROUNDS, PATIENCE, Specification, boosting_history, fit_boosted, grid_specifications, score_boosted,
+)
+from quarterdeck.plans.evaluation import error_metrics, performance
+from quarterdeck.session import cut_lineage
 
 # The regularisation grid and the quantiles used to bound features.
 RIDGE_ALPHAS = (0.01, 0.1, 1.0, 10.0, 100.0)
@@ -127,17 +129,19 @@ def tune_ridge(
     """Validation errors of every penalty; the smallest MAE is marked as selected.
 
     The Gram matrix is aggregated once and solved for each penalty; all candidates are then
-    scored in a single pass over the validation sample.
+    scored together over the validation sample. Rank correlations need a column report_period.
     """
     gram, cross, _, _ = gram_sums(train, features, target)
-    structs = []
-    for alpha in alphas:
-        prediction = linear_prediction(solve_ridge(gram, cross, alpha), features)
-        metrics = error_metrics(F.col(target), prediction)
-        structs.append(
-            F.struct(F.lit(float(alpha)).alias("alpha"), *[c.alias(n) for n, c in metrics.items()])
-        )
-    table = validation.agg(F.array(*structs).alias("_c")).select(F.inline("_c"))
+    structs = [
+        F.struct(F.lit(float(alpha)).alias("alpha"), linear_prediction(solve_ridge(gram, cross, alpha), features).alias("_p"))
+        for alpha in alphas
+    ]
+    period = [c for c in ("report_period",) if c in validation.columns]
+    rows = validation.select(*period, target, F.inline(F.array(*structs)))
+    if period:
+        table = performance(rows, target, "_p", by=["alpha"]).select("alpha", "mae", "rmse", "r2", "mean_quarterly_spearman")
+    else:
+        table = rows.groupBy("alpha").agg(*[c.alias(n) for n, c in error_metrics(F.col(target), F.col("_p")).items()])
     best = table.agg(F.min(F.struct("mae", "alpha")).alias("b")).scalar()
     return table.withColumn("selected", F.col("alpha") == best["alpha"])
 
@@ -181,43 +185,35 @@ def best_candidate(table: DataFrame, metric: str, tie: str) -> DataFrame:
     return table.orderBy(F.col(metric), F.col(tie)).limit(1)
 
 
-def _assembled(frame: DataFrame, features: Sequence[str]) -> DataFrame:
-    return VectorAssembler(inputCols=list(features), outputCol="_features").transform(frame)
+def tune_boosted_trees(
+    frame: DataFrame, features: Sequence[str], target: str, grid: Sequence[tuple[int, int, float]] = BOOSTED_GRID,
+    rounds: int = MAX_ROUNDS, patience: int = PATIENCE, seed: int = 13, max_rows: int = 200_000,
+) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(candidates, history, fits) of the whole grid, fitted on train and stopped by validation.
 
+    A candidate row has its settings, its best round and the errors of the model cut there over all
+    validation rows; the smallest MAE is selected, ties by name.
+    """
+    specs = grid_specifications(features, grid, rounds, patience)
+    train, validation = (frame.where(F.col("sample_split") == s) for s in ("train", "validation"))
+    fits = fit_boosted(train, validation, target, specs, max_rows=max_rows, seed=seed)
+    table = _scored_candidates(validation, fits, target)
+    settings = F.map_from_entries(F.array(*[
+        F.struct(F.lit(s.name), F.struct(
+            F.lit(s.depth).alias("max_depth"), F.lit(s.child).alias("min_child_rows"), F.lit(float(s.subsample)).alias("subsample")
+        )) for s in specs
+    ]))
+    table = table.join(fits.select("candidate", F.col("best_round").alias("rounds")), "candidate").withColumn("_s", settings[F.col("candidate")])
+    table = cut_lineage(table.select("candidate", "_s.*", "rounds", "mae", "rmse", "r2", "mean_quarterly_spearman"))
+    best = table.agg(F.min(F.struct("mae", "candidate")).alias("b")).scalar()
+    return table.withColumn("selected", F.col("candidate") == best["candidate"]), boosting_history(fits), fits
 
-def _boosted(depth: int, child: int, subsample: float, rounds: int, seed: int, target: str) -> GBTRegressor:
-    return GBTRegressor(
-        featuresCol="_features", labelCol=target, predictionCol="_raw", maxDepth=depth, maxIter=rounds,
-        minInstancesPerNode=max(1, child), subsamplingRate=subsample, stepSize=0.1, seed=seed,
-        featureSubsetStrategy="0.8", validationIndicatorCol="_is_validation", validationTol=0.0,
-    )
 
-
-def tune_boosted_trees(
-    frame: DataFrame,
-    features: Sequence[str],
-    target: str,
-    grid: Sequence[tuple[int, int, float]],
-    rounds: int = 200,
-    seed: int = 13,
-) -> DataFrame:
-    """Train each grid point with early stopping on the validation split; report its errors."""
-    assembled = _assembled(frame, features).withColumn("_is_validation", F.col("sample_split") == "validation")
-    fitting = assembled.where(F.col("sample_split").isin("train", "validation"))
-    validation = assembled.where(F.col("sample_split") == "validation")
-    table = None
-    for index, (depth, child, subsample) in enumerate(grid, start=1):
-        model = _boosted(depth, child, subsample, rounds, seed, target).fit(fitting)
-        predicted = model.transform(validation).withColumn("_p", clip(F.col("_raw"), 0.0, 1.0))
-        row = predicted.agg(
-            F.lit(f"trees_{index:02d}").alias("candidate"), F.lit(depth).alias("max_depth"),
-            F.lit(child).alias("min_child_rows"), F.lit(float(subsample)).alias("subsample"),
-            F.lit(model.getNumTrees).alias("rounds"),
-            *[c.alias(n) for n, c in error_metrics(F.col(target), F.col("_p")).items()],
-        )
-        table = row if table is None else table.unionByName(row)
-    best = table.agg(F.min(F.struct("mae", "candidate")).alias("b")).scalar()
-    return table.withColumn("selected", F.col("candidate") == best["candidate"])
+def _scored_candidates(validation: DataFrame, fits: DataFrame, target: str) -> DataFrame:
+    rows = validation.where(F.col(target).isNotNull())
+    features = sorted({f for f in rows.columns if dict(rows.dtypes)[f] in ("double", "float", "int", "bigint")} | {target})
+    scored = score_boosted(rows.select("report_period", *features), fits, "_prediction")
+    return performance(scored.select("candidate", "report_period", target, "_prediction"), target, "_prediction", by=["candidate"])
 
 
 def fit_ridge(fitting: DataFrame, features: Sequence[str], target: str, alpha: float) -> np.ndarray:
@@ -226,11 +222,29 @@ def fit_ridge(fitting: DataFrame, features: Sequence[str], target: str, alpha: f
 
 
 def refit_feature_groups(
-    frame: DataFrame, groups: Mapping[str, Sequence[str]], target: str, alpha: float
+    frame: DataFrame, groups: Mapping[str, Sequence[str]], target: str, alpha: float = 1.0,
+    trees: Mapping[str, float] | None = None, logged: Sequence[str] = (), model_class: str = "ridge", seed: int = 13,
 ) -> DataFrame:
-    """Refit a fixed specification on train plus validation and predict the test rows."""
+    """Refit a fixed specification on train plus validation and predict the test rows.
+
+    ``frame`` has raw features: bounds, medians, means and deviations are fitted anew on the fitting
+    rows. ``model_class`` is ridge (penalty ``alpha``) or trees (``trees``: depth, child, subsample, rounds).
+    """
+    union = list(dict.fromkeys(f for features in groups.values() for f in features))
     fitting = frame.where(F.col("sample_split").isin("train", "validation"))
-    test = frame.where(F.col("sample_split") == "test")
+    parameters = cut_lineage(fit_preprocessing(fitting, union, logged))
+    ready = cut_lineage(apply_preprocessing(
+        frame.where(F.col("sample_split").isin("train", "validation", "test")), parameters, union, logged,
+        standardize=model_class == "ridge",
+    ))
+    fitting, test = ready.where("sample_split <> 'test'"), ready.where("sample_split = 'test'")
+    keys = ["report_period", "information_date", "permno", target]
+    if model_class == "trees":
+        specs = [Specification(name, tuple(f), patience=None, **(trees or {})) for name, f in groups.items()]
+        fits = fit_boosted(fitting, None, target, specs, seed=seed)
+        return score_boosted(test.select(*keys, *union), fits).select(
+            *keys[:3], target, F.col("candidate").alias("feature_group"), "prediction"
+        )
     predictions = [
         F.struct(
             F.lit(name).alias("feature_group"),
@@ -238,48 +252,74 @@ def refit_feature_groups(
         )
         for name, features in groups.items()
     ]
-    return test.select("report_period", "information_date", "permno", target, F.inline(F.array(*predictions)))
+    return test.select(*keys, F.inline(F.array(*predictions)))
 
 
 def staged_selection(
-    frame: DataFrame, groups: Mapping[str, Sequence[str]], target: str, rounds: int = 50, seed: int = 13
+    frame: DataFrame, groups: Mapping[str, Sequence[str]], target: str, logged: Sequence[str] = (),
+    rival: tuple[str, str] | None = None, initial: Mapping[str, float] | None = None,
+    grid: Sequence[tuple[int, int, float]] = BOOSTED_GRID, alphas: Sequence[float] = RIDGE_ALPHAS,
+    rounds: int = MAX_ROUNDS, patience: int = PATIENCE, seed: int = 13,
 ) -> DataFrame:
-    """Model class on the first group, then feature set, then tuning; each by validation MAE."""
-    train = frame.where(F.col("sample_split") == "train")
-    validation = frame.where(F.col("sample_split") == "validation")
+    """Validation errors of each stage's candidates: model class, feature set, tuning, overall.
+
+    The model class is decided on the first group with initial settings, the feature set for that
+    class, then its tuning grid; overall, the tuned model meets a ``rival`` (name, column of its
+    predictions). ``frame`` has raw features; preprocessing is fitted on train, standardised for ridge only.
+    """
+    union = list(dict.fromkeys(f for features in groups.values() for f in features))
+    parameters = cut_lineage(fit_preprocessing(frame.where("sample_split = 'train'"), union, logged))
+    rows = frame.where(F.col("sample_split").isin("train", "validation"))
+    ready = {
+        model: cut_lineage(apply_preprocessing(rows, parameters, union, logged, standardize=model == "ridge"))
+        for model in ("ridge", "trees")
+    }
+    split = {
+        (m, s): ready[m].where(F.col("sample_split") == s) for m in ready for s in ("train", "validation")
+    }
     first = next(iter(groups))
-    mae = {}
-    mean = train.agg(F.avg(target).alias("m")).first()["m"]
-    mae["model_class", "naive", "none"] = _mae(validation, target, F.lit(mean))
-    mae["model_class", "ridge", first] = _ridge_mae(train, validation, groups[first], target, 1.0)
-    mae["model_class", "trees", first] = _trees_mae(frame, groups[first], target, (3, 1, 0.8), rounds, seed)
-    model = min(("ridge", "trees"), key=lambda m: mae["model_class", m, first])
-    for name, features in groups.items():
-        mae["feature_set", model, name] = (
-            _ridge_mae(train, validation, features, target, 1.0)
-            if model == "ridge"
-            else _trees_mae(frame, features, target, (3, 1, 0.8), rounds, seed)
-        )
-    chosen = min(groups, key=lambda g: mae["feature_set", model, g])
+    initial = {"depth": 3, "child": 1, "subsample": 0.8, "rounds": 400} | dict(initial or {})
+    specs = [Specification(name, tuple(f), patience=None, **initial) for name, f in groups.items()]
+    fits = fit_boosted(split["trees", "train"], None, target, specs, seed=seed)
+    trees = _scored_candidates(split["trees", "validation"], fits, target).withColumnRenamed("candidate", "feature_group")
+    ridge = _ridge_groups(split["ridge", "train"], split["ridge", "validation"], groups, target)
+    mean = split["ridge", "train"].agg(F.avg(target).alias("m")).first()["m"]
+    naive = performance(
+        split["ridge", "validation"].select("report_period", target).withColumn("_prediction", F.lit(mean)), target, "_prediction"
+    ).withColumn("feature_group", F.lit("none"))
+    names = ["feature_group", "mae", "rmse", "r2", "mean_quarterly_spearman"]
+    fixed = {m: {r["feature_group"]: tuple(r)[1:] for r in t.select(*names).collect()} for m, t in
+             (("naive", naive), ("ridge", ridge), ("trees", trees))}
+    out = [("model_class", "naive", "none", "initial", *fixed["naive"]["none"], False)]
+    model = min(("ridge", "trees"), key=lambda m: fixed[m][first][0])
+    out += [("model_class", m, first, "initial", *fixed[m][first], m == model) for m in ("ridge", "trees")]
+    chosen = min(groups, key=lambda g: fixed[model][g][0])
+    out += [("feature_set", model, g, "initial", *fixed[model][g], g == chosen) for g in groups]
     if model == "ridge":
-        tuned = tune_ridge(train, validation, groups[chosen], target)
+        tuned = tune_ridge(split["ridge", "train"], split["ridge", "validation"], groups[chosen], target, alphas)
+        tuned = tuned.withColumn("candidate", F.concat(F.lit("alpha_"), F.col("alpha").cast("string")))
     else:
-        tuned = tune_boosted_trees(frame, groups[chosen], target, [(2, 1, 0.8), (3, 1, 0.8)], rounds, seed)
-    mae["tuning", model, chosen] = tuned.agg(F.min("mae").alias("m")).first()["m"]
-    selected = {("model_class", model, first), ("feature_set", model, chosen), ("tuning", model, chosen)}
-    rows = [(*key, float(value), key in selected) for key, value in mae.items()]
+        tuned = tune_boosted_trees(ready["trees"], groups[chosen], target, grid, rounds, patience, seed)[0]
+    measured = [r for r in tuned.select("candidate", "mae", "rmse", "r2", "mean_quarterly_spearman", "selected").collect()]
+    out += [("tuning", model, chosen, *tuple(r)) for r in measured]
+    if rival is not None:
+        best = next(tuple(r)[1:5] for r in measured if r["selected"])
+        other = performance(
+            split["ridge", "validation"].select("report_period", target, rival[1]), target, rival[1]
+        ).select(*names[1:]).first()
+        wins = best[0] <= other[0]
+        out += [("overall", model, chosen, "selected", *best, wins), ("overall", rival[0], "own", "selected", *tuple(other), not wins)]
     return frame.sparkSession.createDataFrame(
-        rows, "stage string, model_class string, feature_group string, validation_mae double, selected boolean"
+        [(*r[:4], *[None if v is None else float(v) for v in r[4:8]], bool(r[8])) for r in out],
+        "stage string, model_class string, feature_group string, candidate string, mae double, rmse double, r2 double, "
+        "mean_quarterly_spearman double, selected boolean",
     )
 
 
-def _mae(frame: DataFrame, target: str, prediction: Column) -> float:
-    return frame.agg(F.avg(F.abs(F.col(target) - prediction)).alias("m")).first()["m"]
-
-
-def _ridge_mae(train: DataFrame, validation: DataFrame, features: Sequence[str], target: str, alpha: float) -> float:
-    return _mae(validation, target, linear_prediction(fit_ridge(train, features, target, alpha), features))
-
-
-def _trees_mae(frame: DataFrame, features: Sequence[str], target: str, point: tuple, rounds: int, seed: int) -> float:
-    return tune_boosted_trees(frame, features, target, [point], rounds, seed).first()["mae"]
+def _ridge_groups(train: DataFrame, validation: DataFrame, groups: Mapping[str, Sequence[str]], target: str, alpha: float = 1.0) -> DataFrame:
+    predictions = [
+        F.struct(F.lit(name).alias("feature_group"), linear_prediction(fit_ridge(train, f, target, alpha), f).alias("_prediction"))
+        for name, f in groups.items()
+    ]
+    rows = validation.select("report_period", target, F.inline(F.array(*predictions)))
+    return performance(rows, target, "_prediction", by=["feature_group"])

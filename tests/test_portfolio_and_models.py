@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from quarterdeck.operators.regression import hac_regression
 from quarterdeck.plans import evaluation as ev
+from quarterdeck.plans import boosting
 from quarterdeck.plans import models as md
 from quarterdeck.plans import panel as pn
 from quarterdeck.plans import portfolio as pf
@@ -84,15 +85,77 @@ def test_ridge_and_complexity_match_closed_form(spark):
     assert table.where("selected").count() == 1
 
 
-def test_boosted_trees_beat_the_mean(spark):
+def _curved(spark, n=400):
     rng = np.random.default_rng(4)
-    rows = [
-        (float(v), float(w), 0.9 if v > 0.5 else 0.1, "train" if i % 4 else "validation")
-        for i, (v, w) in enumerate(rng.random((200, 2)))
-    ]
-    frame = spark.createDataFrame(rows, "a double, b double, t double, sample_split string")
-    row = md.tune_boosted_trees(frame, ["a", "b"], "t", [(2, 1, 1.0)], rounds=5).first()
-    assert row["mae"] < 0.2 and row["selected"]
+    rows = []
+    for i, (v, w) in enumerate(rng.random((n, 2))):
+        t = 0.3 + 0.25 * (v > 0.5) + 0.2 * (w > 0.3) + 0.03 * rng.standard_normal()
+        split = ("train", "train", "validation", "test")[i % 4]
+        rows.append((date(2020, 3 * (1 + i % 4), 28), date(2021, 1, 1), i, float(v), float(w), float(t), split))
+    return spark.createDataFrame(
+        rows, "report_period date, information_date date, permno int, a double, b double, t double, sample_split string"
+    )
+
+
+def test_boosted_trees_follow_their_history(spark):
+    frame = _curved(spark)
+    table, history, fits = md.tune_boosted_trees(frame, ["a", "b"], "t")
+    rows = {r["candidate"]: r for r in table.collect()}
+    assert len(rows) == 12 and sum(r["selected"] for r in rows.values()) == 1
+    history.createOrReplaceTempView("rounds")
+    # The chosen round follows from the history alone: the first of the smallest errors, 30 rounds from the end or at it.
+    chosen = spark.sql(
+        "SELECT candidate, min_by(boosting_round, struct(validation_mae, boosting_round)) AS best, max(boosting_round) AS last "
+        "FROM rounds GROUP BY candidate"
+    ).collect()
+    for r in chosen:
+        assert rows[r["candidate"]]["rounds"] == r["best"] and r["last"] == min(r["best"] + 30, 1000)
+    best = next(r for r in rows.values() if r["selected"])
+    assert best["mae"] == min(r["mae"] for r in rows.values()) < 0.06
+    at_best = {(r["candidate"], r["boosting_round"]): r["validation_mae"] for r in history.collect()}
+    for name, r in rows.items():  # targets lie in 0..1, so bounding predictions changes little
+        assert r["mae"] == pytest.approx(at_best[name, r["rounds"]], abs=2e-3)
+    again = md.tune_boosted_trees(frame.repartition(7), ["a", "b"], "t")[1]
+    assert sorted(map(tuple, again.collect())) == sorted(map(tuple, history.collect()))
+
+
+def test_one_tree_splits_like_a_search_over_all_bounds():
+    rng = np.random.default_rng(9)
+    x, y = rng.random((60, 2)).round(2), rng.random(60)
+    spec = boosting.Specification("one", ("a", "b"), depth=1, child=5, subsample=1.0, rounds=1, patience=None)
+    trees, rounds, history = boosting._boost(spec, x, y, x[:0], y[:0], 1)
+    slope = y.mean() - y
+    used = trees.column[0, 0]
+    gains = []
+    for bound in np.unique(x[:, used]):
+        left = x[:, used] <= bound
+        if min(left.sum(), (~left).sum()) >= 5:
+            gains.append((sum(slope[s].sum() ** 2 / (s.sum() + 1) for s in (left, ~left)), bound))
+    left = x[:, used] <= max(gains)[1]
+    want = np.where(left, -0.05 * slope[left].sum() / (left.sum() + 1), -0.05 * slope[~left].sum() / ((~left).sum() + 1))
+    assert rounds == 1 and len(history) == 1
+    assert trees.predict(x) == pytest.approx(y.mean() + want)
+
+
+def test_refits_and_stages(spark):
+    frame = _curved(spark).withColumn("prediction", F.lit(0.5))
+    groups = {"one": ["a"], "two": ["a", "b"]}
+    for model in ("ridge", "trees"):
+        out = md.refit_feature_groups(frame, groups, "t", model_class=model, trees={"depth": 3, "rounds": 60})
+        assert out.count() == 2 * frame.where("sample_split = 'test'").count()
+        error = {r["feature_group"]: r["e"] for r in out.groupBy("feature_group").agg(F.avg(F.abs(F.col("t") - F.col("prediction"))).alias("e")).collect()}
+        assert error["two"] < error["one"]
+    stages = md.staged_selection(frame, groups, "t", rival=("constant", "prediction"), grid=[(3, 1, 0.8), (2, 1, 1.0)]).collect()
+    chosen = {r["stage"]: r for r in stages if r["selected"]}
+    assert set(chosen) == {"model_class", "feature_set", "tuning", "overall"} and chosen["feature_set"]["feature_group"] == "two"
+    assert chosen["overall"]["mae"] == chosen["tuning"]["mae"] <= min(r["mae"] for r in stages if r["stage"] == "overall")
+    assert sum(r["stage"] == "tuning" for r in stages) == (2 if chosen["model_class"]["model_class"] == "trees" else 5)
+
+
+def test_fits_read_at_most_the_stated_sample(spark):
+    frame = _curved(spark)
+    assert boosting.bounded_sample(frame, ["permno"], 400) is frame
+    assert 50 < boosting.bounded_sample(frame, ["permno"], 100).count() < 160
 
 
 def test_split_ranges_and_chronology(spark):

@@ -578,26 +578,39 @@ def _(spark, sf):
     )
 
 
+GROUPS = {"market": MODEL_FEATURES[:2], "augmented": MODEL_FEATURES[:3], "network_augmented": MODEL_FEATURES}
+
+
+def raw_features(spark, sf):
+    sample = R.sample(spark, sf)
+    parameters = md.fit_preprocessing(sample.where("sample_split = 'train'"), MODEL_FEATURES, LOGGED)
+    return cut_lineage(md.apply_preprocessing(sample, parameters, MODEL_FEATURES, LOGGED, standardize=False))
+
+
 @case("m5_boosted_tree_tuning")
 def _(spark, sf):
-    frame = prepared(spark, sf)
-    return md.tune_boosted_trees(
-        frame, MODEL_FEATURES, "target", grid=[(2, 1, 0.8), (3, 1, 0.8)], rounds=8
-    )
+    return md.tune_boosted_trees(raw_features(spark, sf), MODEL_FEATURES, "target")[0]
+
+
+@case("m5_boosting_history")
+def _(spark, sf):
+    return md.tune_boosted_trees(raw_features(spark, sf), MODEL_FEATURES, "target")[1]
 
 
 @case("m6_fixed_specification_refit")
 def _(spark, sf):
-    frame = prepared(spark, sf)
-    groups = {"market": MODEL_FEATURES[:2], "augmented": MODEL_FEATURES[:3], "network_augmented": MODEL_FEATURES}
-    return md.refit_feature_groups(frame, groups, "target", alpha=1.0)
+    return md.refit_feature_groups(R.sample(spark, sf), GROUPS, "target", alpha=1.0, logged=LOGGED)
+
+
+@case("m6_boosted_refit")
+def _(spark, sf):
+    fixed = {"depth": 3, "child": 1, "subsample": 0.8, "rounds": 400}
+    return md.refit_feature_groups(R.sample(spark, sf), GROUPS, "target", trees=fixed, logged=LOGGED, model_class="trees")
 
 
 @case("m9_staged_selection")
 def _(spark, sf):
-    frame = prepared(spark, sf)
-    groups = {"market": MODEL_FEATURES[:2], "augmented": MODEL_FEATURES[:3], "network_augmented": MODEL_FEATURES}
-    return md.staged_selection(frame, groups, "target", rounds=5)
+    return md.staged_selection(R.sample(spark, sf), GROUPS, "target", LOGGED, rival=("score", "prediction"))
 
 
 @case("m15_ridge_complexity")
