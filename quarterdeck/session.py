@@ -49,16 +49,18 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def cut_lineage(frame: DataFrame) -> DataFrame:
+def cut_lineage(frame: DataFrame, codec: str | None = None) -> DataFrame:
     """Store a frame as a table in the shared folder and continue from the stored files.
 
     A stored table survives the loss of executors, is computed once, can be pruned by column
     and has file sizes the planner can rely on. Unlike a checkpointed plan it also carries no
-    inferred constraints forward, which grow without bound over the rounds of a loop.
+    inferred constraints forward, which grow without bound over the rounds of a loop. ``codec``
+    replaces the session's compression for tables that gain much from another one.
     """
     spark = frame.sparkSession
     path = scratch_path(spark, "stage")
-    frame.write.mode("errorifexists").parquet(path)
+    writer = frame.write.mode("errorifexists")
+    (writer.option("compression", codec) if codec else writer).parquet(path)
     table = spark.read.schema(frame.schema).parquet(path)
     table.__dict__[_STORED_AT] = path
     return table
