@@ -142,9 +142,12 @@ SELECT lang, rank, phrase, a, l, r, n, CAST(score AS BIGINT) AS score FROM ranke
 REPEATED_SPANS = """
 WITH d AS (
     SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents
+), blocks AS (
+    SELECT doc_id, 256 * b AS base, substring(h, CAST(512 * b + 1 AS BIGINT), 710) AS part
+    FROM (SELECT doc_id, h, unnest(range(0, length(h) // 512 + 1)) AS b FROM d)
 ), g AS (
-    SELECT doc_id, i, md5(substring(h, CAST(2 * i + 1 AS BIGINT), 200)) AS s
-    FROM (SELECT doc_id, h, unnest(range(0, length(h) // 2 - 99)) AS i FROM d)
+    SELECT doc_id, base + i AS i, md5(substring(part, CAST(2 * i + 1 AS BIGINT), 200)) AS s
+    FROM (SELECT doc_id, base, part, unnest(range(0, least(length(part) // 2 - 99, 256))) AS i FROM blocks)
 ), later AS (
     SELECT doc_id, i FROM g QUALIFY row_number() OVER (PARTITION BY s ORDER BY doc_id, i) > 1
 ), marked AS (

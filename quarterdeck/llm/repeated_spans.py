@@ -32,12 +32,12 @@ _GRAM = 32
 _BYTES = np.arange(256, dtype=np.uint8)
 _FILTER_BITS = 25
 _DOC_BITS = 24
-_BLOCK = 1 << 20
-_HELD_ANCHORS = 4_000_000
-_HELD_REGIONS = 300_000
-_SORTED_STARTS = 400_000
+_BLOCK = 1 << 18
+_HELD_ANCHORS = 1_000_000
+_HELD_REGIONS = 100_000
+_SORTED_STARTS = 200_000
 #: Different stretches of one anchor that a task sorts together.
-TASK_REGIONS = 50_000
+TASK_REGIONS = 10_000
 _LAST_ID = 2**63 - 1
 
 _REGION = "key long, d1 long, d2 long, doc long, row long, at long, n long, region binary"
@@ -74,7 +74,7 @@ def anchored_runs(data: np.ndarray, offsets: np.ndarray, length: int, gram: int)
 
 def _blocks(column: pa.Array, length: int):
     """(first row, bytes, offsets, place of the first byte) of whole texts, or of overlapping parts of a very long one."""
-    for first, _, data, offsets in pieces(column):
+    for first, _, data, offsets in pieces(column, _BLOCK):
         if len(offsets) > 2 or len(data) <= 2 * _BLOCK:
             yield first, data, offsets, 0
             continue
@@ -373,7 +373,7 @@ def repeated_starts(
     gram = min(gram, length)
     spark = source.sparkSession
     shared = spark.sparkContext.broadcast(_repeated_anchors(source, length, gram))  # 2^25 bits
-    regions = cut_lineage(source.select("doc", "row", "text").mapInArrow(_candidate_regions(length, gram, shared), _REGION))
+    regions = cut_lineage(source.select("doc", "row", "text").mapInArrow(_candidate_regions(length, gram, shared), _REGION), codec="zstd")
     known = regions.where("key IS NULL")
     order = ["key", "d1", "d2", "doc", "row", "at"]
     dealt = regions.where("key IS NOT NULL").repartition("key").sortWithinPartitions(*order)
