@@ -19,20 +19,19 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from quarterdeck.llm import bitfilter
 from quarterdeck.llm.near_dup import probe_table
 from quarterdeck.llm.setjoin import candidate_pairs
 from quarterdeck.llm.stars import confirmed_components
 from quarterdeck.llm.textbytes import distinct_sorted, lookup, mix, pieces, prefix_sums, span_hash
-from quarterdeck.session import cut_lineage
+from quarterdeck.session import cut_lineage, release
 
 _FOLD = lookup(lambda b: not (b == 0x20 or 0x09 <= b <= 0x0D))
 _BAND = np.uint64(0xA0761D6478BD642F)
 _FILTER_BITS = 24
 _SEEN = 500_000
-_CACHED_SETS = 20_000
+_BAND_BITS = 24
 _CENTRES = 8
 
 
@@ -93,6 +92,15 @@ def signatures(line: np.ndarray, hashes: np.ndarray, lines: int, bins: int) -> n
     return out.reshape(lines, bins)
 
 
+def _distinct_counts(line: np.ndarray, hashes: np.ndarray, lines: int) -> np.ndarray:
+    """Number of different shingles of each line; ``line`` is sorted."""
+    order = np.lexsort((hashes, line))
+    line, hashes = line[order], hashes[order]
+    new = np.ones(len(line), bool)
+    new[1:] = (line[1:] != line[:-1]) | (hashes[1:] != hashes[:-1])
+    return np.bincount(line[new], minlength=lines)
+
+
 def _lines(size: int, bands: int, band_rows: int):
     bins = bands * band_rows
 
@@ -118,15 +126,17 @@ def _lines(size: int, bands: int, band_rows: int):
                 for r in range(band_rows):
                     keys = mix(keys * _BAND + rows[:, r::band_rows])
                 keys = mix(keys + numbers).view(np.int64)
+                sizes = np.zeros(len(classes), np.int64)
+                sizes[new] = _distinct_counts(line, hashes, len(rows))
                 cuts = np.concatenate(([0], np.cumsum(np.where(new, bands, 0)))).astype(np.int32)
                 ids = batch.column("doc_id").take(pa.array(first + owner))
                 docs = batch.column("_row").take(pa.array(first + owner))
                 yield pa.RecordBatch.from_arrays(
                     [
-                        ids, docs, pa.array(place, pa.int64()), pa.array(classes),
+                        ids, docs, pa.array(place, pa.int64()), pa.array(classes), pa.array(sizes),
                         pa.ListArray.from_arrays(pa.array(cuts), pa.array(keys.ravel())),
                     ],
-                    ["doc_id", "_row", "line_no", "class", "bands"],
+                    ["doc_id", "_row", "line_no", "class", "n", "bands"],
                 )
 
     return run
@@ -156,6 +166,27 @@ def _class_texts(shared):
     return run
 
 
+def _band_arrays(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
+    yield batch.column("bands").flatten().to_numpy().view(np.uint64)
+
+
+def _shared_bands(shared):
+    """(key, node, n) of bands that may lie in a bucket with another line."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            bands = batch.column("bands")
+            keys = bands.flatten().to_numpy()
+            rows = np.repeat(np.arange(batch.num_rows), np.diff(bands.offsets.to_numpy()))
+            may = bitfilter.contains(shared.value, (keys.view(np.uint64) >> np.uint64(64 - _BAND_BITS)).astype(np.int64))
+            rows = pa.array(rows[may])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(keys[may]), batch.column("class").take(rows), batch.column("n").take(rows)], ["key", "node", "n"]
+            )
+
+    return run
+
+
 def _places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         place = mix(batch.column("node").to_numpy().view(np.uint64).copy()) >> np.uint64(64 - _FILTER_BITS)
@@ -168,35 +199,52 @@ def _shingles(line: bytes, size: int) -> np.ndarray:
     return distinct_sorted(span_hash(prefix_sums(data, _FOLD[1]), a, b))
 
 
-class _Sets:
-    """Shingle sets of lines met lately; the cache is emptied when it is full."""
+def _distinct_lines(column: pa.Array, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(number of each row's line, offsets, shingle hashes) of the different lines of a column, sorted and distinct in each."""
+    coded = column.dictionary_encode()
+    data = b"".join(coded.dictionary.to_pylist())
+    ends = np.cumsum([len(x) for x in coded.dictionary.to_pylist()], dtype=np.int64)
+    starts = np.concatenate(([0], ends[:-1])).astype(np.int64)
+    data = np.frombuffer(data, np.uint8)
+    line, a, b = shingle_spans(data, starts, ends, size)
+    hashes = span_hash(prefix_sums(data, _FOLD[1]), a, b)
+    order = np.lexsort((hashes, line))
+    line, hashes = line[order], hashes[order]
+    new = np.ones(len(line), bool)
+    new[1:] = (line[1:] != line[:-1]) | (hashes[1:] != hashes[:-1])
+    return coded.indices.to_numpy(), np.searchsorted(line[new], np.arange(len(ends) + 1)), hashes[new]
 
-    def __init__(self, size: int):
-        self.size, self.known = size, {}
 
-    def __getitem__(self, line: bytes) -> np.ndarray:
-        found = self.known.get(line)
-        if found is None:
-            if len(self.known) >= _CACHED_SETS:
-                self.known.clear()
-            found = self.known[line] = _shingles(line, self.size)
-        return found
+def _expanded(rows: np.ndarray, offsets: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """Shingles of each row's line, with the row's number in the low bits."""
+    lengths = (offsets[1:] - offsets[:-1])[rows]
+    at = np.repeat(offsets[rows] - np.cumsum(lengths) + lengths, lengths) + np.arange(lengths.sum())
+    bits = np.uint64(max(len(rows).bit_length(), 1))
+    return hashes[at] >> bits << bits | np.repeat(np.arange(len(rows), dtype=np.uint64), lengths)
 
 
 def _confirmed(size: int, percent: int):
+    """Pairs of lines that reach the similarity: counted for a whole batch at once, then held against the full hashes."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sets = _Sets(size)
         for batch in batches:
-            keep = []
-            for left, right in zip(batch.column("left_line").to_pylist(), batch.column("right_line").to_pylist(), strict=True):
-                x, y = sets[left], sets[right]
-                if 100 * min(len(x), len(y)) < percent * max(len(x), len(y)):
-                    keep.append(False)
-                    continue
-                both = np.concatenate((x, y))
-                both.sort()
-                shared = int(np.count_nonzero(both[1:] == both[:-1]))
-                keep.append(100 * shared >= percent * (len(x) + len(y) - shared))
+            n = batch.num_rows
+            if not n:
+                continue
+            both = pa.concat_arrays([batch.column("left_line"), batch.column("right_line")])
+            number, offsets, hashes = _distinct_lines(both, size)
+            counts = np.diff(offsets)
+            x, y = number[:n], number[n:]
+            keys = np.concatenate((_expanded(x, offsets, hashes), _expanded(y, offsets, hashes)))
+            keys.sort()
+            twice = keys[1:][keys[1:] == keys[:-1]]
+            low = np.uint64((1 << max(n.bit_length(), 1)) - 1)
+            shared = np.bincount((twice & low).astype(np.int64), minlength=n)[:n]
+            keep = 100 * shared >= percent * (counts[x] + counts[y] - shared)
+            for i in np.flatnonzero(keep).tolist():  # shortened hashes only count too much
+                one, two = (hashes[offsets[k] : offsets[k + 1]] for k in (x[i], y[i]))
+                common = len(np.intersect1d(one, two, assume_unique=True))
+                keep[i] = 100 * common >= percent * (len(one) + len(two) - common)
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     return run
@@ -232,15 +280,17 @@ def fuzzy_lines(
     )
     lines = cut_lineage(
         source.mapInArrow(
-            _lines(size, bands, band_rows), "doc_id long, _row long, line_no long, class long, bands array<long>"
+            _lines(size, bands, band_rows), "doc_id long, _row long, line_no long, class long, n long, bands array<long>"
         )
     )
-    entries = lines.where(F.size("bands") > 0).select(F.explode("bands").alias("key"), F.col("class").alias("node"))
-    # Running first member of the sorted bucket: nothing is held for a bucket of any size.
-    first = F.first("node").over(Window.partitionBy("key").orderBy("node").rowsBetween(Window.unboundedPreceding, 0))
-    rest = cut_lineage(entries.withColumn("low", first).where("node != low").distinct())
-    buckets = rest.select("key", "node").unionByName(rest.select("key", F.col("low").alias("node")).distinct())
-    buckets = buckets.withColumn("n", F.lit(0))
+    banded = lines.where(F.size("bands") > 0).select("class", "n", "bands")
+    table = bitfilter.build_repeated(banded.select("bands"), _band_arrays, _BAND_BITS)
+    shared = spark.sparkContext.broadcast(table)  # 2^24 bits
+    entries = banded.mapInArrow(_shared_bands(shared), "key long, node long, n long")
+    # One exchange by key serves all three steps.
+    dealt = entries.repartition("key").groupBy("key", "node").agg(F.min("n").alias("n"))
+    several = dealt.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high")
+    buckets = cut_lineage(dealt.join(several.select("key"), "key"))
 
     # The texts of all lines that share a bucket with another, fetched in one further pass.
     ends = cut_lineage(buckets.select("node").distinct())
@@ -257,12 +307,18 @@ def fuzzy_lines(
         )
 
     def finish(rest: DataFrame) -> DataFrame:
-        sets = texts.join(rest, "node").select("node", "part", "line").mapInArrow(
-            _item_sets(size), "node long, part long, items binary"
+        sets = cut_lineage(
+            texts.join(rest, "node").select("node", "part", "line").mapInArrow(
+                _item_sets(size), "node long, part long, items binary"
+            )
         )
-        return confirm(candidate_pairs(cut_lineage(sets), percent))
+        pairs = candidate_pairs(sets, percent)
+        release(sets)
+        return confirm(pairs)
 
-    labels = confirmed_components(buckets, confirm, finish, centres=_CENTRES)
+    labels = confirmed_components(buckets, confirm, finish, percent, centres=_CENTRES)
+    for stage in (buckets, ends, texts):
+        release(stage)
     named = lines.select("doc_id", "_row", "line_no", F.col("class").alias("node"))
     if labels is not None:
         named = named.join(labels, "node", "left")

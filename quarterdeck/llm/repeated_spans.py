@@ -33,7 +33,6 @@ _BYTES = np.arange(256, dtype=np.uint8)
 _FILTER_BITS = 25
 _DOC_BITS = 24
 _BLOCK = 1 << 18
-_HELD_ANCHORS = 1_000_000
 _HELD_REGIONS = 100_000
 _SORTED_STARTS = 200_000
 #: Different stretches of one anchor that a task sorts together.
@@ -83,81 +82,12 @@ def _blocks(column: pa.Array, length: int):
             yield first, part, np.array([0, len(part)]), at
 
 
-def _anchor_slices(length: int, gram: int, bits: int):
-    """Sorted anchors of a stretch of texts by slice of the hash range: those met once, and those met again."""
+def _anchors(length: int, gram: int):
+    def arrays(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
+        for _, data, offsets, _ in _blocks(batch.column("text"), length):
+            yield anchored_runs(data, offsets, length, gram)[2]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size = [], 0
-
-        def out():
-            keys = np.sort(np.concatenate(held))
-            first = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
-            again = np.diff(np.append(first, len(keys))) > 1
-            keys = keys[first]
-            edges = np.searchsorted(keys, np.arange(1, 1 << bits, dtype=np.uint64) << np.uint64(64 - bits))
-            edges = [0, *edges.tolist(), len(keys)]
-            rows = [
-                (s, keys[a:b][~again[a:b]].tobytes(), keys[a:b][again[a:b]].tobytes())
-                for s, (a, b) in enumerate(zip(edges, edges[1:])) if b > a
-            ]
-            return pa.RecordBatch.from_arrays(
-                [pa.array([r[0] for r in rows], pa.int64()), *[pa.array([r[i] for r in rows], pa.binary()) for i in (1, 2)]],
-                ["slice", "once", "again"],
-            )
-
-        for batch in batches:
-            for _, data, offsets, _ in _blocks(batch.column("text"), length):
-                held.append(anchored_runs(data, offsets, length, gram)[2])
-                size += len(held[-1])
-                if size > _HELD_ANCHORS:
-                    yield out()
-                    held, size = [], 0
-        if size:
-            yield out()
-
-    return run
-
-
-def _bit_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(word, bits) of anchors that occur twice, one slice of the hash range after the other."""
-    number, once, again = None, [], []
-
-    def out():
-        keys = np.sort(np.concatenate(once)) if once else np.zeros(0, np.uint64)
-        keys = np.concatenate((keys[1:][keys[1:] == keys[:-1]], *again))
-        place = np.unique(keys >> np.uint64(64 - _FILTER_BITS))
-        word, first = np.unique(place >> np.uint64(6), return_index=True)
-        bits = np.bitwise_or.reduceat(np.uint64(1) << (place & np.uint64(63)), first) if len(first) else place
-        return pa.RecordBatch.from_arrays([pa.array(word.astype(np.int64)), pa.array(bits.view(np.int64))], ["word", "bits"])
-
-    for batch in batches:
-        for s, a, b in zip(batch.column("slice").to_pylist(), batch.column("once"), batch.column("again"), strict=True):
-            if s != number:
-                if number is not None:
-                    yield out()
-                number, once, again = s, [], []
-            # Repeats among what has come so far are set apart; a key is held once as "once" and once as "again" at most.
-            fresh, twice = np.frombuffer(a.as_buffer(), np.uint64), np.frombuffer(b.as_buffer(), np.uint64)
-            once.append(np.concatenate((fresh, twice)))
-            again.append(twice)
-            if len(once) > 64:
-                keys = np.sort(np.concatenate(once))
-                repeated = keys[1:] == keys[:-1]
-                again = [np.unique(np.concatenate((keys[1:][repeated], *again)))]
-                once = [np.unique(keys)]
-    if number is not None:
-        yield out()
-
-
-def _repeated_anchors(source: DataFrame, length: int, gram: int) -> np.ndarray:
-    """Bit table of fixed size with the places of anchors that occur at least twice."""
-    # More partitions give smaller slices; a slice never shares a word of the table with another.
-    bits = min(max(8, int(source.sparkSession.conf.get("spark.sql.shuffle.partitions")).bit_length() + 1), _FILTER_BITS - 6)
-    slices = source.select("text").mapInArrow(_anchor_slices(length, gram, bits), "slice long, once binary, again binary")
-    rows = slices.repartition("slice").sortWithinPartitions("slice").mapInArrow(_bit_words, "word long, bits long").toPandas()
-    table = np.zeros(1 << (_FILTER_BITS - 6), np.int64)
-    table[rows["word"].to_numpy(np.int64)] = rows["bits"].to_numpy(np.int64)
-    return table
+    return arrays
 
 
 def _digest(raw: bytes) -> bytes:
@@ -372,7 +302,8 @@ def repeated_starts(
     """
     gram = min(gram, length)
     spark = source.sparkSession
-    shared = spark.sparkContext.broadcast(_repeated_anchors(source, length, gram))  # 2^25 bits
+    table = bitfilter.build_repeated(source.select("text"), _anchors(length, gram), _FILTER_BITS)
+    shared = spark.sparkContext.broadcast(table)  # 2^25 bits: places of anchors that occur at least twice
     regions = cut_lineage(source.select("doc", "row", "text").mapInArrow(_candidate_regions(length, gram, shared), _REGION), codec="zstd")
     known = regions.where("key IS NULL")
     order = ["key", "d1", "d2", "doc", "row", "at"]

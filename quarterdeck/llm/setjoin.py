@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarterdeck.session import cut_lineage
+from quarterdeck.session import cut_lineage, release
 
 _BITS = 18
 _TILE = 512
@@ -125,6 +125,10 @@ def candidate_pairs(sets: DataFrame, percent: int) -> DataFrame:
     groups = dealt.groupBy("token", F.least("tile", "other").alias("one"), F.greatest("tile", "other").alias("two")).agg(
         F.collect_list(member).alias("members"), F.min("part").alias("low"), F.max("part").alias("high")
     ).where("low < high")
-    return groups.select("members", (F.col("one") != F.col("two")).alias("crossed")).mapInArrow(
-        _group_pairs(percent), "a long, b long"
-    ).distinct()
+    pairs = cut_lineage(
+        groups.select("members", (F.col("one") != F.col("two")).alias("crossed")).mapInArrow(
+            _group_pairs(percent), "a long, b long"
+        ).distinct()
+    )
+    release(entries)
+    return pairs

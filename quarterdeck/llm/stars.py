@@ -5,8 +5,8 @@ exactly. A bucket whose nodes then still lie in different components gets furthe
 centre from each of up to ``centres`` of its components, reaching only nodes of other components;
 pairs tried before are left out. Rounds with other centres follow while one candidate in ten is
 confirmed. A bucket of n nodes gives at most n times ``centres`` edges a round. What stars leave
-is settled exactly, whenever they end: all nodes of buckets that may still hold untried pairs go to ``finish``, which returns
-every link between different components.
+is settled exactly, whenever they end: all nodes of buckets that may still hold untried pairs go to
+``finish``, which returns every link between different components.
 """
 
 from __future__ import annotations
@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from quarterdeck.operators.graph import connected_components
-from quarterdeck.session import cut_lineage
+from quarterdeck.session import cut_lineage, release
 
 
 def confirmed_components(
@@ -31,26 +31,39 @@ def confirmed_components(
     similarity out are not candidates. ``confirm`` maps candidates (a, b), a < b, to links.
     ``finish`` maps nodes with their components (node, part) to all links between components.
     """
-    tried, labels = None, None
+    tried, labels, stages = None, None, []
     for turn in range(max_rounds):
         edges = _stars(buckets, labels, turn, percent, centres)
         if tried is not None:
             edges = edges.join(tried, ["a", "b"], "left_anti")
         edges = cut_lineage(edges)
+        stages.append(edges)
         if edges.isEmpty():
             break
         tried = edges if tried is None else tried.unionByName(edges)
         found = cut_lineage(confirm(edges))
         links = found.count()
         if links:
-            labels = cut_lineage(_merged(labels, found))
+            labels = _relabelled(labels, found)
+        release(found)
         if 10 * links < edges.count():
             break
+    for stage in stages:
+        release(stage)
     rest = cut_lineage(_unsettled(buckets, labels))
-    if rest.isEmpty():
-        return labels
-    found = cut_lineage(finish(rest))
-    return labels if found.isEmpty() else cut_lineage(_merged(labels, found))
+    if not rest.isEmpty():
+        found = cut_lineage(finish(rest))
+        if not found.isEmpty():
+            labels = _relabelled(labels, found)
+        release(found)
+    release(rest)
+    return labels
+
+
+def _relabelled(labels: DataFrame | None, found: DataFrame) -> DataFrame:
+    merged = cut_lineage(_merged(labels, found))
+    release(labels)
+    return merged
 
 
 def _with_parts(buckets: DataFrame, labels: DataFrame | None) -> DataFrame:

@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from quarterdeck.llm import bitfilter
 from quarterdeck.llm import repeated_spans as module
 from quarterdeck.llm.deep_shallow import deep_shallow_order
 from quarterdeck.llm.repeated_spans import repeat_digests, without_repeats
@@ -49,7 +50,7 @@ def _plain(rows, length=100):
 @pytest.mark.parametrize("held, block, task_regions", [(300_000, 1 << 20, 50_000), (40, 4096, 50_000), (300_000, 1 << 20, 3)])
 def test_equals_a_plain_search(spark, monkeypatch, held, block, task_regions):
     monkeypatch.setattr(module, "_HELD_REGIONS", held)
-    monkeypatch.setattr(module, "_HELD_ANCHORS", held)
+    monkeypatch.setattr(bitfilter, "HELD_KEYS", held)
     monkeypatch.setattr(module, "_BLOCK", block)
     rows = _rows()
     frame = spark.createDataFrame(rows, SHAPE).repartition(4).select("*", *[F.lit(1).alias(c) for c in ("row", "doc", "place", "key", "at", "n")])
