@@ -74,47 +74,27 @@ def cosine_neighbors(
     item: str,
     weight: str,
     neighbors: int,
-    tile_rows: int = 256,
+    tile_rows: int = 2048,
     column_blocks: int = 64,
     digits: int = 12,
 ) -> DataFrame:
     """The ``neighbors`` most similar sources of each source within its group, exactly.
 
     Joining on the item would emit every pair of sources that share one, which is quadratic in
-    the holders of a popular item. Instead the sources of a group are cut into tiles; a tile
-    pair is one unit of work to which both tiles' unit vectors are sent, sorted by item block.
-    The task multiplies block by block into one small matrix and emits only each row's best
-    ``neighbors``, so what is shuffled afterwards grows with sources times tiles, not pairs.
-    Memory per task is two tile matrices of one item block, whatever the size of a portfolio.
+    the holders of a popular item. Instead the sources of a group are cut into tiles of about
+    ``tile_rows``, those with the same largest item next to each other, and a task multiplies a
+    pair of tiles block by block into one matrix and emits only each row's best ``neighbors``.
+
+    First every tile meets itself, which sends each row once and gives every source a lower bound
+    for its last neighbour. A group of one tile is done then. In larger groups a source meets
+    another tile only if the tile's greatest weights, item by item, allow a similarity above that
+    bound; rows and tiles that cannot are never sent. Memory per task is two tile matrices of one
+    item block and the similarities of a tile pair, whatever the size of a portfolio.
 
     Similar values are ordered by similarity rounded to ``digits``, then by id; pairs without
     positive similarity are not neighbours. Ids must be integers.
     """
-    rows = (
-        weights.where(F.col(weight).isNotNull() & (F.col(weight) != 0))
-        .groupBy(F.col(group).alias("g"), F.col(source).cast("bigint").alias("s"), F.col(item).alias("i"))
-        .agg(F.sum(F.col(weight).cast("double")).alias("w"))
-    )
-    norms = rows.groupBy("g", "s").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    unit = rows.join(norms, ["g", "s"]).select("g", "s", "i", (F.col("w") / F.col("norm")).alias("w"))
-    # The number of tiles follows from the group's size, known before the expansion.
-    sizes = norms.groupBy("g").agg(
-        F.ceil(F.count(F.lit(1)) / F.lit(float(tile_rows))).cast("int").alias("tiles")
-    )
-    tiled = unit.join(sizes, "g").select(
-        "g", "s", "w", "tiles",
-        F.pmod(F.xxhash64("s"), F.col("tiles")).cast("int").alias("tile"),
-        F.xxhash64("i").alias("i"),
-    )
-    partner = F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("partner")
-    placed = tiled.select("g", "s", "i", "w", "tile", partner).select(
-        "g", "s", "i", "w",
-        F.least("tile", "partner").alias("a"),
-        F.greatest("tile", "partner").alias("b"),
-        (F.col("tile") <= F.col("partner")).alias("in_a"),
-        (F.col("tile") >= F.col("partner")).alias("in_b"),
-        F.pmod(F.col("i"), F.lit(column_blocks)).cast("int").alias("block"),
-    )
+    unit, tiles = _tiled_unit_rows(weights, group, source, item, weight, tile_rows, column_blocks)
     key_type = weights.schema[group].dataType
     schema = T.StructType(
         [
@@ -124,14 +104,23 @@ def cosine_neighbors(
             T.StructField("similarity", T.DoubleType()),
         ]
     )
-    candidates = (
-        placed.repartition("g", "a", "b")
-        .sortWithinPartitions("g", "a", "b", "block")
-        .mapInPandas(_TileMultiplier(neighbors, digits), schema)
-    )
+
+    def multiplied(placed: DataFrame, directed: bool) -> DataFrame:
+        return (
+            placed.repartition("g", "a", "b")
+            .sortWithinPartitions("g", "a", "b", "block")
+            .mapInPandas(_TileMultiplier(neighbors, digits, directed), schema)
+        )
+
+    both = [F.lit(True).alias("in_a"), F.lit(True).alias("in_b")]
+    found = multiplied(unit.select("g", "s", "i", "w", F.col("tile").alias("a"), F.col("tile").alias("b"), *both, "block"), False)
+    if tiles > 1:
+        found = cut_lineage(found)
+        queries, bases = _allowed_meetings(unit, found, neighbors, digits)
+        found = found.unionByName(multiplied(queries.unionByName(bases), True))
     best = Window.partitionBy("g", "s").orderBy(F.col("similarity").desc(), F.col("t"))
     return (
-        candidates.withColumn("neighbor_rank", F.row_number().over(best))
+        found.withColumn("neighbor_rank", F.row_number().over(best))
         .where(F.col("neighbor_rank") <= neighbors)
         .select(
             F.col("g").alias(group),
@@ -143,12 +132,72 @@ def cosine_neighbors(
     )
 
 
+def _tiled_unit_rows(
+    weights: DataFrame, group: str, source: str, item: str, weight: str, tile_rows: int, column_blocks: int
+) -> tuple[DataFrame, int]:
+    """Stored (g, s, i, w, tile, block) of unit vectors, and the largest number of tiles of a group."""
+    chosen = weights.where(F.col(weight).isNotNull() & (F.col(weight) != 0)).select(
+        F.col(group).alias("g"), F.col(source).cast("bigint").alias("s"), F.col(item).alias("i"), F.col(weight).cast("double").alias("w")
+    )
+    if not isinstance(weights.schema[item].dataType, T.IntegralType):
+        # Items of other types are numbered, so that no two are taken for one.
+        numbers = cut_lineage(chosen.select("i").distinct().withColumn("_number", F.monotonically_increasing_id()))
+        chosen = chosen.join(numbers, "i").select("g", "s", F.col("_number").alias("i"), "w")
+    rows = chosen.groupBy("g", "s", F.col("i").cast("bigint").alias("i")).agg(F.sum("w").alias("w"))
+    heads = rows.groupBy("g", "s").agg(
+        F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"), F.max(F.struct(F.abs("w"), "i"))["i"].alias("largest")
+    )
+    lined = Window.partitionBy("g").orderBy("largest").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = heads.groupBy("g", "largest").agg(F.count(F.lit(1)).alias("n")).withColumn(
+        "before", F.coalesce(F.sum("n").over(lined), F.lit(0))
+    )
+    # Sources with the same largest item fill neighbouring places in an order of their own.
+    place = F.col("before") + F.pmod(F.xxhash64("s"), F.col("n"))
+    sources = heads.join(blocks, ["g", "largest"]).select("g", "s", "norm", F.floor(place / tile_rows).cast("int").alias("tile"))
+    unit = cut_lineage(
+        rows.join(sources, ["g", "s"]).where("norm > 0").select(
+            "g", "s", "i", (F.col("w") / F.col("norm")).alias("w"), "tile",
+            F.pmod(F.xxhash64("i"), F.lit(column_blocks)).cast("int").alias("block"),
+        )
+    )
+    return unit, (unit.agg(F.max("tile")).first()[0] or 0) + 1
+
+
+def _allowed_meetings(unit: DataFrame, found: DataFrame, neighbors: int, digits: int) -> tuple[DataFrame, DataFrame]:
+    """Rows of sources and of tiles that they have to meet beyond their own.
+
+    A source's similarity to any row of a tile is at most the sum, over its items, of its weight
+    times the tile's greatest (for negative weights, smallest) weight of the item.
+    """
+    rank = Window.partitionBy("g", "s").orderBy(F.col("similarity").desc(), "t")
+    floor = found.withColumn("_r", F.row_number().over(rank)).where(F.col("_r") == neighbors).select(
+        "g", "s", F.col("similarity").alias("last")
+    )
+    zero = F.lit(0.0)
+    reach = unit.groupBy("g", "i", F.col("tile").alias("b")).agg(
+        F.greatest(F.max("w"), zero).alias("high"), F.least(F.min("w"), zero).alias("low")
+    )
+    most = F.greatest(F.col("w") * F.col("high"), F.col("w") * F.col("low"))
+    bounds = unit.join(reach, ["g", "i"]).where("tile <> b").groupBy("g", "s", "tile", "b").agg(F.sum(most).alias("bound"))
+    slack = 10.0**-digits + 1e-9
+    needed = bounds.join(floor, ["g", "s"], "left").where(F.col("bound") + slack >= F.coalesce("last", zero)).where("bound > 0")
+    needed = cut_lineage(needed.select("g", "s", F.col("tile").alias("a"), "b"))
+    columns = ["g", "s", "i", "w", "a", "b"]
+    queries = unit.join(needed, ["g", "s"]).select(*columns, F.lit(True).alias("in_a"), F.lit(False).alias("in_b"), "block")
+    pairs = needed.select("g", "a", "b").distinct()
+    bases = unit.withColumnRenamed("tile", "b").join(pairs, ["g", "b"]).select(
+        *columns, F.lit(False).alias("in_a"), F.lit(True).alias("in_b"), "block"
+    )
+    return queries, bases
+
+
 class _TileMultiplier:
-    """Streams the sorted rows of tile pairs and emits each tile pair's best neighbours."""
+    """Streams the sorted rows of tile pairs and emits each tile pair's best neighbours (of its first tile if ``directed``)."""
 
-    def __init__(self, neighbors: int, digits: int) -> None:
+    def __init__(self, neighbors: int, digits: int, directed: bool = False) -> None:
         self.neighbors = neighbors
         self.digits = digits
+        self.directed = directed
 
     def __call__(self, batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         open_key, tile = None, None
@@ -223,7 +272,7 @@ class _TilePair:
         ids_b = np.fromiter(self.index_b, dtype=np.int64, count=len(self.index_b))
         similar = np.clip(np.round(self.sums, self.owner.digits), None, 1.0)
         yield self._best(g, ids_a, ids_b, similar)
-        if not self.same:
+        if not self.same and not self.owner.directed:
             yield self._best(g, ids_b, ids_a, similar.T)
 
     def _best(self, g, ids: np.ndarray, others: np.ndarray, similar: np.ndarray) -> pd.DataFrame:

@@ -129,3 +129,38 @@ def test_carried_state_is_reset_after_a_gap(spark):
     found = graph.carried_state(frame, "entity", F.col("period"), "value", 0.5).collect()
     got = {(r["entity"], r["period"]): r["state"] for r in found}
     assert got == {("a", 1): 1.0, ("a", 2): 2.5, ("a", 5): 4.0, ("b", 3): 0.5}
+
+
+def test_bounds_leave_out_tiles_that_cannot_hold_neighbours(spark):
+    """Sectors hardly share items: sources meet few other tiles, and results stay those of a full search."""
+    rng = np.random.default_rng(8)
+    matrix = np.zeros((160, 60))
+    for i in range(160):
+        own = i % 4 * 15
+        matrix[i, own : own + 15] = rng.random(15) * (rng.random(15) < 0.7)
+        matrix[i, (own + 17) % 60] = 0.02
+        matrix[i, own] = 1.5 + rng.random()
+    rows = [(1, i, f"item {j}", float(matrix[i, j])) for i in range(160) for j in range(60) if matrix[i, j]]
+    weights = spark.createDataFrame(rows, "g int, s long, i string, w double")
+    got = graph.cosine_neighbors(weights, "g", "s", "i", "w", 5, tile_rows=20)
+    assert {(r["source"], r["target"], r["neighbor_rank"]) for r in got.collect()} == brute_neighbors(matrix, 5)
+    unit, tiles = graph._tiled_unit_rows(weights, "g", "s", "i", "w", 20, 4)
+    own = [F.lit(True).alias("in_a"), F.lit(True).alias("in_b")]
+    placed = unit.select("g", "s", "i", "w", F.col("tile").alias("a"), F.col("tile").alias("b"), *own, "block")
+    found = placed.repartition("g", "a", "b").sortWithinPartitions("g", "a", "b", "block").mapInPandas(
+        graph._TileMultiplier(5, 12), "g int, s long, t long, similarity double"
+    )
+    queries, bases = graph._allowed_meetings(unit, found, 5, 12)
+    meetings = queries.select("s", "b").distinct().count()
+    assert tiles == 8 and 0 < meetings < 160 * (tiles - 1) / 2
+    assert bases.select("a", "b").distinct().count() < tiles * (tiles - 1) / 2
+
+
+def test_neighbours_with_negative_weights_and_many_tiles(spark):
+    rng = np.random.default_rng(5)
+    matrix = rng.standard_normal((70, 6)).round(3)
+    rows = [(1, i, j, float(matrix[i, j])) for i in range(70) for j in range(6) if matrix[i, j]]
+    weights = spark.createDataFrame(rows, "g int, s long, i int, w double")
+    got = graph.cosine_neighbors(weights, "g", "s", "i", "w", 4, tile_rows=9, column_blocks=2)
+    assert {(r["source"], r["target"], r["neighbor_rank"]) for r in got.collect()} == brute_neighbors(matrix, 4)
+    assert graph.cosine_neighbors(weights.limit(0), "g", "s", "i", "w", 4).collect() == []
