@@ -15,7 +15,6 @@ from quarterdeck.session import cut_lineage, release
 
 _MAX_ROUNDS = 60
 _MAX_MOVES = 1000
-_FREE_ROUNDS = 6
 _ROWS_PER_PRODUCT = 100_000
 
 
@@ -363,15 +362,15 @@ def modularity_communities(
 ) -> DataFrame:
     """Weighted communities per group by distributed local moving and contraction.
 
-    In a round every node weighs its neighbouring communities by modularity gain. In the first
-    rounds about half of the nodes, chosen by a hash, take their best move. Then a community may
-    be left or entered by one node a round: such moves do not touch each other, each raises
-    modularity, and so rounds end, when no node of any group wants to move; nodes of finished
-    groups stay where they are. Communities are then contracted
-    to nodes and moving starts again. Each group decides for itself: a level that does not raise
-    its modularity is not taken, and the group leaves the later levels. A group's labels do not
-    depend on the other groups of the frame. Labels are numbered by falling size, then smallest
-    member. Rounds and levels have a high limit only to end a fault, and then raise.
+    In a round every node weighs its neighbouring communities by modularity gain, and all moves
+    are made that raise modularity whatever the moves before them in a random order do
+    (``_moves_that_add_up``), so each round raises it and rounds end when no node wants to move;
+    nodes of finished groups stay where they are. Communities are then contracted to nodes and
+    moving starts again. Each group decides for itself: a level that does not raise its modularity
+    is not taken, and the group leaves the later levels. At the end communities without a path
+    between their parts are split (``connected_parts``). A group's labels do not depend on the
+    other groups of the frame. Labels are numbered by falling size, then smallest member. Rounds
+    and levels have a high limit only to end a fault, and then raise.
     """
     base = cut_lineage(
         edges.select(group, F.col(first).alias("u"), F.col(second).alias("v"), F.col(weight).cast("double").alias("w"))
@@ -397,7 +396,7 @@ def modularity_communities(
         compared = cut_lineage(reached.join(score, group))
         better = compared.where(F.col("_new") > F.col("modularity") + tolerance).select(group)
         if better.isEmpty():
-            return number_communities(assignment, group)
+            return number_communities(connected_parts(assignment, base, group), group)
         kept = assignment.join(better, group, "left_anti")
         previous, assignment = assignment, cut_lineage(
             merged.join(better, group, "left_semi").unionByName(kept)
@@ -445,41 +444,69 @@ def _local_moving(edges: DataFrame, group: str, resolution: float, level: int) -
         choice = options.groupBy(group, "u").agg(
             F.max(F.struct(F.round(gain, 12).alias("gain"), (-F.col("community")).alias("c"))).alias("best"),
             F.max(F.when(F.col("community") == F.col("own"), F.round(gain, 12))).alias("stay"),
-            F.first("own").alias("own"),
-        )
-        wants = F.col("best.gain") > F.col("stay")
-        priority = F.xxhash64("u", F.lit(round_number + 1000 * level))
-        chosen = cut_lineage(
+            F.first("own").alias("own"), F.first("k").alias("k"), F.first("m").alias("m"),
+        ).where(F.col("best.gain") > F.col("stay"))
+        wanting = cut_lineage(
             choice.select(
-                group, "u", "own", F.when(wants, -F.col("best.c")).alias("target"), F.when(wants, priority).alias("priority")
+                group, "u", "own", (-F.col("best.c")).alias("target"), (F.col("best.gain") - F.col("stay")).alias("gain"),
+                (resolution * F.col("k") / (2 * F.col("m"))).alias("share"), "k",
+                F.struct(F.xxhash64("u", F.lit(round_number + 1000 * level)), "u").alias("turn"),
             )
         )
-        if round_number < _FREE_ROUNDS:
-            moves = F.pmod("priority", F.lit(2)) == 0
-        else:
-            # The first in line at a community is the only one to leave or enter it.
-            asked = chosen.where("target IS NOT NULL").select(group, "priority", F.explode(F.array("own", "target")).alias("c"))
-            first = asked.groupBy(group, "c").agg(F.max("priority").alias("_first"))
-            leave = first.select(group, F.col("c").alias("own"), F.col("_first").alias("_leave"))
-            enter = first.select(group, F.col("c").alias("target"), F.col("_first").alias("_enter"))
-            moves = (F.col("priority") == F.col("_leave")) & (F.col("priority") == F.col("_enter"))
-        ruled = chosen if round_number < _FREE_ROUNDS else (
-            chosen.join(leave, [group, "own"], "left").join(enter, [group, "target"], "left")
-        )
-        settled = chosen.where("target IS NOT NULL").isEmpty()
+        if wanting.isEmpty():
+            release(wanting)
+            return labels
+        moving = _moves_that_add_up(wanting, arcs, group)
         moved = cut_lineage(
-            ruled.select(
-                group, F.col("u").alias("node"), F.when(moves, F.col("target")).otherwise(F.col("own")).alias("community")
+            labels.join(moving.select(group, F.col("u").alias("node"), "target"), [group, "node"], "left").select(
+                group, "node", F.coalesce("target", "community").alias("community")
             )
         )
         release(labels)
-        release(chosen)
+        release(wanting)
         labels = moved
-        if settled:
-            return labels
     raise RuntimeError("Moves did not settle.")
 
 
+def _moves_that_add_up(wanting: DataFrame, arcs: DataFrame, group: str) -> DataFrame:
+    """Wanted moves that raise modularity even if all wanted moves before them are made.
+
+    Moves have an order. What those before a move can take from its gain is bounded: they may fill
+    its target and empty its community (by the volume that enters and leaves), and neighbours
+    among them may leave the target or enter the community. A move whose gain exceeds all of that
+    is made. Any number of nodes can enter a community at once; the first in order always moves.
+    """
+    def volume_before(end: str):
+        return F.coalesce(
+            F.sum("k").over(Window.partitionBy(group, end).orderBy("turn").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0)
+        )
+
+    bounded = wanting.withColumn("filled", volume_before("target")).withColumn("emptied", volume_before("own"))
+    mine = wanting.select(group, "u", "own", "target", "turn")
+    theirs = wanting.select(
+        group, F.col("u").alias("v"), F.col("own").alias("v_own"), F.col("target").alias("v_target"), F.col("turn").alias("v_turn")
+    )
+    met = arcs.join(mine, [group, "u"]).join(theirs, [group, "v"]).where(F.col("v_turn") < F.col("turn"))
+    leaves, enters = (F.col("v_own") == F.col("target")).cast("int"), (F.col("v_target") == F.col("own")).cast("int")
+    lost = met.groupBy(group, "u").agg(F.sum(F.col("w") * (leaves + enters)).alias("lost"))
+    margin = F.col("gain") - F.col("share") * (F.col("filled") + F.col("emptied")) - F.coalesce("lost", F.lit(0.0))
+    return bounded.join(lost, [group, "u"], "left").where(margin > 0)
+
+
+def connected_parts(assignment: DataFrame, edges: DataFrame, group: str) -> DataFrame:
+    """Labels in which every community is connected: its parts become communities of their own.
+
+    Splitting parts without an edge between them keeps all edges inside and never lowers modularity.
+    """
+    a = assignment.select(group, F.col("node").alias("u"), F.col("community").alias("_cu"))
+    b = assignment.select(group, F.col("node").alias("v"), F.col("community").alias("_cv"))
+    inside = edges.join(a, [group, "u"]).join(b, [group, "v"]).where(F.col("_cu") == F.col("_cv")).where("u <> v")
+    parts = connected_components(inside.select(group, "u", "v"), group, "u", "v")
+    return assignment.join(parts.select(group, "node", "component"), [group, "node"], "left").select(
+        group, "node", F.coalesce("component", "node").alias("community")
+    )
+
+
 def number_communities(assignment: DataFrame, group: str) -> DataFrame:
     """Consecutive ids from one, largest community first, then by smallest member."""
     sizes = assignment.groupBy(group, "community").agg(

@@ -164,3 +164,70 @@ def test_neighbours_with_negative_weights_and_many_tiles(spark):
     got = graph.cosine_neighbors(weights, "g", "s", "i", "w", 4, tile_rows=9, column_blocks=2)
     assert {(r["source"], r["target"], r["neighbor_rank"]) for r in got.collect()} == brute_neighbors(matrix, 4)
     assert graph.cosine_neighbors(weights.limit(0), "g", "s", "i", "w", 4).collect() == []
+
+
+def _random_graph(draw, n, groups=(1,)):
+    edges = []
+    for g in groups:
+        for a in range(n):
+            for b in range(a + 1, n):
+                if draw.random() < (0.5 if a // 10 == b // 10 else 0.04):
+                    edges.append((g, a, b, 0.5 + draw.random()))
+    return edges
+
+
+def test_every_round_of_moves_raises_modularity(spark, monkeypatch):
+    import random
+
+    frame = spark.createDataFrame(_random_graph(random.Random(2), 60), "g int, u long, v long, w double")
+    seen = []
+    plain = graph._moves_that_add_up
+
+    def watched(wanting, arcs, group):
+        moving = plain(wanting, arcs, group)
+        seen.append((wanting.count(), moving.count()))
+        return moving
+
+    monkeypatch.setattr(graph, "_moves_that_add_up", watched)
+    monkeypatch.setattr(graph, "_MAX_MOVES", 60)
+    stored, scores = graph.cut_lineage, []
+
+    def kept(frame_, *args):
+        table = stored(frame_, *args)
+        if table.columns == ["g", "node", "community"]:
+            scores.append(graph.modularity(frame, table, "g", "u", "v", "w").first()["modularity"])
+        return table
+
+    monkeypatch.setattr(graph, "cut_lineage", kept)
+    graph._local_moving(frame, "g", 1.0, 0)
+    assert all(later > before for before, later in zip(scores, scores[1:])) and len(scores) >= 2
+    assert all(moved >= 1 for _, moved in seen) and max(moved for _, moved in seen) > 5
+
+
+def test_communities_are_connected_and_beat_trivial_ones(spark):
+    import random
+
+    edges = _random_graph(random.Random(6), 50, (1, 2))
+    frame = spark.createDataFrame(edges, "g int, u long, v long, w double")
+    nodes = spark.createDataFrame([(g, i) for g in (1, 2) for i in range(50)], "g int, n long")
+    labels = graph.modularity_communities(nodes, frame, "g", "n", "u", "v", "w").withColumnRenamed("community_id", "community")
+    got = {(r["g"], r["node"]): r["community"] for r in labels.collect()}
+    for g in (1, 2):
+        for c in {v for (x, _), v in got.items() if x == g}:
+            inside = {n for (x, n), v in got.items() if x == g and v == c}
+            reached, open_ = set(), [min(inside)]
+            while open_:
+                n = open_.pop()
+                reached.add(n)
+                open_ += [m for x, a, b, _ in edges if x == g and n in (a, b) for m in (a, b) if m in inside - reached]
+            assert reached == inside
+    scores = {r["g"]: r["modularity"] for r in graph.modularity(frame, labels, "g", "u", "v", "w").collect()}
+    alone = {r["g"]: r["modularity"] for r in graph.modularity(frame, labels.withColumn("community", F.col("node")), "g", "u", "v", "w").collect()}
+    assert all(scores[g] > max(alone[g], 0.3) for g in (1, 2))  # one community has modularity 0
+
+
+def test_parts_without_a_path_are_split(spark):
+    frame = spark.createDataFrame([(1, 1, 2, 1.0), (1, 3, 4, 1.0)], "g int, u long, v long, w double")
+    one = spark.createDataFrame([(1, n, 9) for n in (1, 2, 3, 4, 5)], "g int, node long, community long")
+    got = {r["node"]: r["community"] for r in graph.connected_parts(one, frame, "g").collect()}
+    assert got == {1: 1, 2: 1, 3: 3, 4: 3, 5: 5}
