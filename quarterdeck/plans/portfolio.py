@@ -224,6 +224,31 @@ def long_short(path: DataFrame, legs: Sequence[tuple[str, str, str]]) -> DataFra
     ).withColumn("factor_return", F.col("long_return") - F.col("short_return"))
 
 
+def two_leg_turnover(turnover: DataFrame, factors: Sequence[tuple[str, str, str]]) -> DataFrame:
+    """Turnover of long-short factors: the sum of both legs' one-way turnover at each formation.
+
+    ``factors`` holds (factor, long strategy, short strategy), as in ``long_short``. A leg that two
+    factors share counts for both.
+    """
+    legs = F.array(*[F.struct(F.lit(f).alias("factor"), F.lit(leg).alias("leg")) for f, *pair in factors for leg in pair])
+    sided = turnover.withColumn("_l", F.explode(legs)).where(F.col("strategy") == F.col("_l.leg"))
+    return sided.groupBy(F.col("_l.factor").alias("factor"), PERIOD).agg(
+        F.sum("stocks").alias("stocks"), F.sum("one_way_turnover").alias("one_way_turnover")
+    )
+
+
+def managed_quarterly_turnover(managed: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """Turnover of a managed series per period: formation at the exposure held plus changes of exposure."""
+    return managed.groupBy(*by, PERIOD).agg(F.sum("managed_turnover").alias("one_way_turnover"))
+
+
+def managed_net_returns(managed: DataFrame, cost_bps: Sequence[int] = COST_BPS) -> DataFrame:
+    """Managed returns after costs, which fall on every day on which the exposure changes."""
+    costed = managed.withColumn("cost_bps", F.explode(F.array(*[F.lit(int(b)) for b in cost_bps])))
+    cost = F.col("cost_bps") / 10000.0 * F.col("managed_turnover")
+    return costed.withColumn("daily_cost", cost).withColumn("net_return", F.col("managed_return") - cost)
+
+
 def managed_exposure(
     series: DataFrame,
     turnover: DataFrame,

@@ -232,16 +232,26 @@ def _(spark, sf):
     )
 
 
-R.cte(
-    "turnover",
-    """WITH e AS (SELECT strategy, report_period, permno, weight * g / sum(weight * g) OVER (PARTITION BY strategy, report_period) AS ew FROM weights
+TURNOVER_SQL = """WITH e AS (SELECT strategy, report_period, permno, weight * g / sum(weight * g) OVER (PARTITION BY strategy, report_period) AS ew FROM {w}
             JOIN (SELECT report_period, permno, arg_max(growth, day) AS g FROM grown GROUP BY ALL) USING (report_period, permno)),
     nx AS (SELECT report_period, lead(report_period) OVER (ORDER BY report_period) AS np FROM (SELECT DISTINCT report_period FROM signals)),
     o AS (SELECT strategy, np AS report_period, permno, ew FROM e JOIN nx USING (report_period) WHERE np IS NOT NULL)
     SELECT strategy, report_period, CAST(count(weight) AS BIGINT) AS stocks,
         CASE WHEN report_period = (SELECT min(report_period) FROM signals) THEN 1.0 ELSE 0.5 * sum(abs(coalesce(weight, 0) - coalesce(ew, 0))) END AS one_way_turnover
-    FROM weights FULL JOIN o USING (strategy, report_period, permno) GROUP BY strategy, report_period""",
-    "weights grown signals",
+    FROM {w} FULL JOIN o USING (strategy, report_period, permno) GROUP BY strategy, report_period"""
+R.cte("turnover", TURNOVER_SQL.format(w="weights"), "weights grown signals")
+R.cte(
+    "legweights",
+    """SELECT strategy, report_period, permno, 1.0 / count(*) OVER (PARTITION BY strategy, report_period) AS weight
+    FROM signals JOIN (VALUES ('long_10', 1, 1), ('short_10', 10, 10), ('long_20', 1, 2), ('short_20', 9, 10)) l(strategy, a, b) ON decile BETWEEN a AND b""",
+    "signals",
+)
+R.cte("legturnover", TURNOVER_SQL.format(w="legweights"), "legweights grown signals")
+R.cte(
+    "lsturnover",
+    """SELECT 'breadth_' || right(strategy, 2) AS factor, report_period, CAST(sum(stocks) AS BIGINT) AS stocks, sum(one_way_turnover) AS one_way_turnover
+    FROM legturnover GROUP BY 1, 2""",
+    "legturnover",
 )
 
 
@@ -284,13 +294,24 @@ def _(spark, sf):
     return factor_parts(spark, sf)[3]
 
 
+def factor_turnover(s, weights, grown):
+    return cut_lineage(pf.two_leg_turnover(turnover_of(s, weights, grown), FACTORS))
+
+
+@case("i10_two_leg_turnover", "SELECT * FROM lsturnover", uses="lsturnover", doubles="one_way_turnover")
+def _(spark, sf):
+    s, weights, grown, _ = factor_parts(spark, sf)
+    return factor_turnover(s, weights, grown)
+
+
 R.cte(
     "managed",
     """SELECT *, exposure * factor_return AS managed_return, 0.5 * factor_return AS half_exposure_return,
-        exposure * CASE WHEN row_number() OVER (PARTITION BY report_period ORDER BY day) = 1 THEN 0.8 ELSE 0.0 END + 2 * coalesce(abs(exposure - lag(exposure) OVER (ORDER BY day)), 0.0) AS managed_turnover
+        exposure * CASE WHEN row_number() OVER (PARTITION BY report_period ORDER BY day) = 1 THEN one_way_turnover ELSE 0.0 END + 2 * coalesce(abs(exposure - lag(exposure) OVER (ORDER BY day)), 0.0) AS managed_turnover
     FROM (SELECT report_period, day, factor_return, coalesce(least(1.0, 0.15 / (CASE WHEN count(*) OVER w = 63 THEN stddev_samp(factor_return) OVER w END * sqrt(252.0))), 1.0) AS exposure
-          FROM lsfactor WHERE factor = 'breadth_10' WINDOW w AS (ORDER BY day ROWS BETWEEN 63 PRECEDING AND 1 PRECEDING))""",
-    "lsfactor",
+          FROM lsfactor WHERE factor = 'breadth_10' WINDOW w AS (ORDER BY day ROWS BETWEEN 63 PRECEDING AND 1 PRECEDING))
+    JOIN (SELECT report_period, one_way_turnover FROM lsturnover WHERE factor = 'breadth_10') USING (report_period)""",
+    "lsfactor lsturnover",
 )
 MANAGED = "factor_return exposure managed_return half_exposure_return managed_turnover"
 
@@ -301,9 +322,32 @@ MANAGED = "factor_return exposure managed_return half_exposure_return managed_tu
     uses="managed", doubles=MANAGED,
 )
 def _(spark, sf):
-    factor = cut_lineage(factor_parts(spark, sf)[3].where("factor = 'breadth_10'"))
-    flat = factor.select("report_period").distinct().withColumn("one_way_turnover", F.lit(0.8))
-    return pf.managed_exposure(factor, flat).select("report_period", "day", *MANAGED.split())
+    return managed(spark, sf).select("report_period", "day", *MANAGED.split())
+
+
+def managed(spark, sf):
+    s, weights, grown, factor = factor_parts(spark, sf)
+    ten = factor_turnover(s, weights, grown).where("factor = 'breadth_10'")
+    return pf.managed_exposure(cut_lineage(factor.where("factor = 'breadth_10'")), ten)
+
+
+@case(
+    "i11_quarterly_managed_turnover",
+    "SELECT report_period, sum(managed_turnover) AS one_way_turnover FROM managed GROUP BY 1",
+    uses="managed", doubles="one_way_turnover",
+)
+def _(spark, sf):
+    return pf.managed_quarterly_turnover(managed(spark, sf))
+
+
+@case(
+    "i12_managed_costs",
+    """SELECT day, cost_bps, cost_bps / 10000.0 * managed_turnover AS daily_cost, managed_return - cost_bps / 10000.0 * managed_turnover AS net_return
+    FROM managed CROSS JOIN (VALUES (10), (25), (50)) c(cost_bps)""",
+    uses="managed", doubles="daily_cost net_return",
+)
+def _(spark, sf):
+    return pf.managed_net_returns(managed(spark, sf)).select("day", "cost_bps", "daily_cost", "net_return")
 
 
 R.cte(
@@ -333,29 +377,31 @@ def _(spark, sf):
 
 @case(
     "i12_long_short_costs",
-    """SELECT factor, report_period, day, cost_bps, factor_return - CASE WHEN row_number() OVER (PARTITION BY factor, report_period, cost_bps ORDER BY day) = 1 THEN cost_bps / 10000.0 * 1.6 ELSE 0.0 END AS net_return
-    FROM lsfactor CROSS JOIN (VALUES (10), (25), (50)) c(cost_bps)""",
-    uses="lsfactor", doubles="net_return",
+    """SELECT factor, report_period, day, cost_bps, factor_return - CASE WHEN row_number() OVER (PARTITION BY factor, report_period, cost_bps ORDER BY day) = 1 THEN cost_bps / 10000.0 * one_way_turnover ELSE 0.0 END AS net_return
+    FROM lsfactor JOIN lsturnover USING (factor, report_period) CROSS JOIN (VALUES (10), (25), (50)) c(cost_bps)""",
+    uses="lsfactor lsturnover", doubles="net_return",
 )
 def _(spark, sf):
-    factor = cut_lineage(factor_parts(spark, sf)[3])
-    flat = factor.select("factor", "report_period").distinct().withColumn("one_way_turnover", F.lit(1.6))
-    return pf.net_of_costs(factor, flat, "factor_return", by="factor", multiplicative=False).select(
+    s, weights, grown, factor = factor_parts(spark, sf)
+    return pf.net_of_costs(cut_lineage(factor), factor_turnover(s, weights, grown), "factor_return", by="factor", multiplicative=False).select(
         "factor", "report_period", "day", "cost_bps", "net_return"
     )
 
 
 @case(
     "i17_implementation_table",
-    """SELECT strategy, (SELECT avg(one_way_turnover) FROM turnover t WHERE t.strategy = x.strategy) AS mean_turnover, product(1.0 + net_return) FILTER (WHERE cost_bps = 10) - 1.0 AS net_10,
+    """SELECT strategy, (SELECT avg(one_way_turnover) FROM turnover t WHERE t.strategy = x.strategy) AS mean_turnover,
+        (SELECT product(1.0 + portfolio_return) - 1.0 FROM ppath p WHERE p.strategy = x.strategy) AS gross, product(1.0 + net_return) FILTER (WHERE cost_bps = 10) - 1.0 AS net_10,
         product(1.0 + net_return) FILTER (WHERE cost_bps = 25) - 1.0 AS net_25, product(1.0 + net_return) FILTER (WHERE cost_bps = 50) - 1.0 AS net_50 FROM net x GROUP BY strategy""",
-    uses="net turnover", doubles="mean_turnover net_10 net_25 net_50",
+    uses="net turnover ppath", doubles="mean_turnover gross net_10 net_25 net_50",
 )
 def _(spark, sf):
     s, weights, grown, p = path(spark, sf)
     turnover = cut_lineage(turnover_of(s, weights, grown))
     net = pf.net_of_costs(p, turnover, "portfolio_return")
-    means = turnover.groupBy("strategy").agg(F.avg("one_way_turnover").alias("mean_turnover"))
+    means = turnover.groupBy("strategy").agg(F.avg("one_way_turnover").alias("mean_turnover")).join(
+        p.groupBy("strategy").agg((F.product(F.lit(1.0) + F.col("portfolio_return")) - 1.0).alias("gross")), "strategy"
+    )
     return net.groupBy("strategy").agg(
         *[(F.product(F.when(F.col("cost_bps") == b, F.col("net_return") + 1.0)) - 1.0).alias(f"net_{b}") for b in pf.COST_BPS]
     ).join(means, "strategy")
