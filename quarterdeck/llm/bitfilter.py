@@ -101,15 +101,18 @@ def _bit_words(bits: int):
     return run
 
 
-def build_repeated(frame: DataFrame, arrays: Callable[[pa.RecordBatch], Iterator[np.ndarray]], bits: int) -> np.ndarray:
-    """Table of the places (top bits) of 64-bit keys that occur at least twice in all of ``frame``.
+def build_repeated(*parts: tuple[DataFrame, Callable[[pa.RecordBatch], Iterator[np.ndarray]]], bits: int) -> np.ndarray:
+    """Table of the places (top bits) of 64-bit keys that occur at least twice in all parts together.
 
-    ``arrays`` yields a batch's keys; they must be spread over the whole range. Keys move as packed
+    A part is a frame and a function that yields a batch's keys; they must be spread over the whole range. Keys move as packed
     arrays, by slices of the range, whose number grows with the session's shuffle partitions; a
     slice never shares a word of the table with another.
     """
-    slices = min(max(8, int(frame.sparkSession.conf.get("spark.sql.shuffle.partitions")).bit_length() + 1), bits - 6)
-    packed = frame.mapInArrow(_key_slices(arrays, slices), "slice long, once binary, again binary")
+    slices = min(max(8, int(parts[0][0].sparkSession.conf.get("spark.sql.shuffle.partitions")).bit_length() + 1), bits - 6)
+    packed = None
+    for frame, arrays in parts:
+        own = frame.mapInArrow(_key_slices(arrays, slices), "slice long, once binary, again binary")
+        packed = own if packed is None else packed.unionByName(own)
     rows = packed.repartition("slice").sortWithinPartitions("slice").mapInArrow(_bit_words(bits), "word long, bits long").toPandas()
     table = np.zeros(1 << (bits - 6), np.int64)
     table[rows["word"].to_numpy(np.int64)] = rows["bits"].to_numpy(np.int64)

@@ -302,7 +302,7 @@ def repeated_starts(
     """
     gram = min(gram, length)
     spark = source.sparkSession
-    table = bitfilter.build_repeated(source.select("text"), _anchors(length, gram), _FILTER_BITS)
+    table = bitfilter.build_repeated((source.select("text"), _anchors(length, gram)), bits=_FILTER_BITS)
     shared = spark.sparkContext.broadcast(table)  # 2^25 bits: places of anchors that occur at least twice
     regions = cut_lineage(source.select("doc", "row", "text").mapInArrow(_candidate_regions(length, gram, shared), _REGION), codec="zstd")
     known = regions.where("key IS NULL")
