@@ -398,8 +398,11 @@ def without_lines(docs: DataFrame, decisions: DataFrame, id_column: str = "doc_i
     Everything else of a text stays as it is, blank lines included; documents without a dropped line are untouched.
     """
     dropped = decisions.where(~F.col("kept")).groupBy(F.col("doc_id").alias("_id")).agg(F.collect_set("line_no").alias("_gone"))
-    pieces_ = F.split(F.col(text_column), "\n", -1)
-    rest = F.filter(F.transform(pieces_, lambda x, i: F.struct(x.alias("x"), i.cast("long").alias("i"))),
+    # The row goes through whole, in one column, so that its columns may have any names.
+    whole = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("_doc"), F.col(id_column).alias("_own"))
+    own = F.col("_doc").getField(text_column)
+    rest = F.filter(F.transform(F.split(own, "\n", -1), lambda x, i: F.struct(x.alias("x"), i.cast("long").alias("i"))),
                     lambda p: ~F.array_contains("_gone", p["i"]))
-    text = F.when(F.col("_gone").isNull(), F.col(text_column)).otherwise(F.array_join(F.transform(rest, lambda p: p["x"]), "\n"))
-    return docs.join(dropped, F.col(id_column) == F.col("_id"), "left").withColumn(text_column, text).select(*docs.columns)
+    text = F.when(F.col("_gone").isNull(), own).otherwise(F.array_join(F.transform(rest, lambda p: p["x"]), "\n"))
+    joined = whole.join(dropped, F.col("_own") == F.col("_id"), "left")
+    return joined.select(F.col("_doc").withField(text_column, text).alias("_doc")).select("_doc.*")

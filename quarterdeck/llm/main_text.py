@@ -14,6 +14,7 @@ from __future__ import annotations
 import html
 import random
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from functools import lru_cache
@@ -26,18 +27,24 @@ from pyspark.sql import functions as F
 
 _MARK = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)"
-    r"|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)",
+    # A quote counts after "=" only; what has been read is not read another way.
+    r"|<(/?)([a-zA-Z][^\s/>]*)((?:=\s*\"[^\"]*\"|=\s*'[^']*'|[^>])*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)",
     re.DOTALL,
 )
 _ATTRIBUTE = re.compile(r"([^\s=\"'/>]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))|([^\s=\"'/>]+)")
 _WORD = re.compile(r"[a-z]+")
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-#: Elements whose text is never shown as running text.
-SILENT = frozenset("script style noscript template iframe object svg math canvas audio video select textarea title".split())
+#: Elements whose content is raw text that is never shown as running text.
+SILENT = frozenset("script style template iframe textarea title".split())
+#: Elements that do not cut running text; fallback content, formulas and drawings count as text of their surroundings.
 INLINE = frozenset(
     "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark nobr q rp rt ruby s samp small span "
-    "strike strong sub sup time tt u var wbr picture".split()
+    "strike strong sub sup time tt u var wbr picture noscript object audio video canvas "
+    "math mi mn mo ms mtext mspace mrow mfrac msqrt mroot mstyle merror mpadded mphantom msub msup msubsup munder mover "
+    "munderover mmultiscripts mtable mtr mtd maction semantics annotation "
+    "svg g path text tspan textpath circle ellipse rect line polyline polygon defs use symbol stop lineargradient "
+    "radialgradient clippath mask pattern marker desc".split()
 )
 #: An open element of the first kind ends when one of the second begins.
 _ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr"}, "td": {"td", "th", "tr"}, "th": {"td", "th", "tr"},
@@ -107,6 +114,7 @@ def parse(source: str) -> Page:
     stack: list[tuple[str, int, str]] = []
     pieces: list[str] = []
     links, linked = 0, 0
+    opened: Counter[str] = Counter()
 
     def node(features: list[str], text: str | None) -> int:
         page.parent.append(stack[-1][1] if stack else -1)
@@ -124,6 +132,11 @@ def parse(source: str) -> Page:
             node(_text_features(text, min(linked, len(text)), stack[-1][0] if stack else "none"), text)
         linked = 0
 
+    def leave() -> str:
+        tag = stack.pop()[0]
+        opened[tag] -= 1
+        return tag
+
     # A root that is always there.
     stack.append(("root", node(["tag root"], None), ""))
     at, end = 0, len(source)
@@ -161,19 +174,20 @@ def parse(source: str) -> Page:
                 flush()
             continue
         if closing:
-            if any(open_[0] == tag for open_ in stack[1:]):
+            if opened[tag]:
                 flush()
-                while stack.pop()[0] != tag:
+                while leave() != tag:
                     pass
             continue
         flush()
         links = 0
         if stack[-1][0] == "p":
-            stack.pop()
+            leave()
         while len(stack) > 1 and tag in _ENDS.get(stack[-1][0], ()):
-            stack.pop()
+            leave()
         features, mark = _element_features(tag, rest)
         stack.append((tag, node(features, None), mark or stack[-1][2]))
+        opened[tag] += 1
         page.label[-1] = int(stack[-1][2] == "yes")
     flush()
     return page

@@ -119,10 +119,15 @@ def mixed(
     Only the plan, one row per source, meets the texts; they are not shuffled.
     """
     plan = mixing_plan(sized(docs, id_column, text_column, source_column, seed), weights, share, most)
+    # The row goes through whole, in one column, so that its columns may have any names.
     plan = plan.select(F.col("source").alias("_source"), F.col("times").alias("_times"), F.col("cut").alias("_cut"))
-    joined = docs.join(plan, F.col(source_column).cast("string").eqNullSafe(F.col("_source")))
-    times = F.col("_times") + (row_hash(id_column, text_column, seed) < F.col("_cut")).cast("long")
-    return joined.withColumn("_copy", F.explode(F.array_repeat(F.lit(0), times.cast("int")))).select(*docs.columns)
+    whole = docs.select(
+        F.struct(*[docs[c] for c in docs.columns]).alias("_doc"), F.col(source_column).cast("string").alias("_own"),
+        row_hash(id_column, text_column, seed).alias("_hash"),
+    )
+    joined = whole.join(plan, F.col("_own").eqNullSafe(F.col("_source")))
+    times = F.col("_times") + (F.col("_hash") < F.col("_cut")).cast("long")
+    return joined.select("_doc", F.explode(F.array_repeat(F.lit(0), times.cast("int"))).alias("_copy")).select("_doc.*")
 
 
 def thresholds(rows: DataFrame, budgets: DataFrame) -> DataFrame:

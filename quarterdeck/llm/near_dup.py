@@ -8,8 +8,9 @@
 3. Bins are grouped into bands; classes that agree on a band share a bucket. A bucket links each
    member to its smallest member only, so a bucket of n gives n - 1 candidate edges, not n^2.
 4. Candidates are confirmed on the full sets. A bucket whose members then still lie in different
-   components gets further stars with other centres, while they confirm much. Members of buckets that are still not of one component are then joined exactly (``setjoin``), so a pair
-   that shares a bucket is never lost.
+   components gets further stars with other centres, while they confirm much. Members of buckets
+   that are still not of one component are then joined exactly (``setjoin``), so a pair that shares
+   a bucket is never lost.
 5. Components are labelled by their smallest document id.
 """
 
@@ -157,9 +158,13 @@ def near_duplicates(
         )
     )
     named = profile.where(F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0))
-    classes = named.groupBy("digest").agg(F.min("doc_id").alias("node"))
-    members = named.join(classes, "digest").where(F.col("doc_id") == F.col("node"))
-    entries = members.select("node", F.col("n_shingles").alias("n"), F.explode("bands").alias("key"))
+    # Equal sets have equal bands; the grouped minimum is combined in each task, however large a group of copies is.
+    classes = cut_lineage(
+        named.groupBy("digest").agg(
+            F.min("doc_id").alias("node"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands")
+        )
+    )
+    entries = classes.select("node", "n", F.explode("bands").alias("key"))
     shared = entries.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high")
     # Only buckets with two classes or more are stored.
     buckets = cut_lineage(entries.join(shared.select("key"), "key").distinct())
@@ -175,7 +180,7 @@ def near_duplicates(
         return _verified(edges, _item_sets(ends, source, shingle, repeated), percent)
 
     labels = confirmed_components(buckets, confirm, finish, percent, max_rounds=max_rounds)
-    out = profile.join(classes, "digest", "left")
+    out = profile.drop("bands").join(classes.select("digest", "node"), "digest", "left")
     if labels is not None:
         out = out.join(labels, "node", "left")
     else:

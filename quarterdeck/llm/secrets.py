@@ -3,8 +3,9 @@
 Labelled credentials of each format form a prefix tree with counts. States whose next-symbol and
 ending frequencies do not differ by more than their counts explain (a Hoeffding bound) are merged,
 with all their successors, until none is left to merge: a probabilistic automaton of the format.
-Every candidate of a text, however it came there, is scored by the log-likelihood of the best
-format against that of a model of ordinary tokens, and taken above a margin set on held-out
+Every candidate of a text, a run of token characters or a part of one between joints (as in
+``KEY=value``, paths and query strings), is scored by the log-likelihood of the best format, its end
+included, against that of a model of ordinary tokens, and taken above a margin set on held-out
 examples. Plain patterns find the base spans first; those always stay.
 """
 
@@ -34,6 +35,8 @@ _KEYWORDS = ("password", "passwd", "secret", "token", "api")
 CLASSES = (string.ascii_lowercase, string.ascii_uppercase, string.digits, "+/_=-")
 KINDS = ("assign", "access", "hex", "learned")
 
+#: Shortest learned span, and characters at which a run may hold another string's end or start.
+LEAST, JOINTS = 16, frozenset("=/_-+")
 _CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{16,}")
 
 _ALNUM = string.ascii_letters + string.digits
@@ -93,15 +96,20 @@ class Automaton:
         self.moves, self.ends = moves, ends
 
     def score(self, text: str) -> float:
-        """log2 likelihood, minus infinity if the automaton has no path."""
+        """log2 likelihood of the whole string, its end included; minus infinity if the automaton has no path."""
+        return dict(self.prefixes(text, 0)).get(len(text), float("-inf"))
+
+    def prefixes(self, text: str, start: int) -> Iterator[tuple[int, float]]:
+        """(end, log2 likelihood) of all strings from ``start`` that the automaton may end, in one walk."""
         state, total = 0, 0.0
-        for c in text:
-            step = self.moves[state].get(c)
+        for at in range(start, len(text)):
+            step = self.moves[state].get(text[at])
             if step is None:
-                return float("-inf")
+                return
             total += step[0]
             state = step[1]
-        return total
+            if self.ends[state] > float("-inf"):
+                yield at + 1, total + self.ends[state]
 
 
 def infer(samples: list[str], alpha: float = 0.05) -> Automaton:
@@ -206,6 +214,7 @@ class OrdinaryModel:
         }
         self.other = (log2(1 / size), {})
         self.kind = {c: (i, -log2(len(own))) for i, own in enumerate(CLASSES) for c in own}
+        self.strange = (len(CLASSES), -6.0)  # any other character, as one of 64
         self.stay, self.leave = log2(self._STAY), log2((1 - self._STAY) / (len(CLASSES) - 1))
 
     def score(self, text: str) -> float:
@@ -213,7 +222,7 @@ class OrdinaryModel:
         for a, b in zip("^" + text, text, strict=False):
             rest, own = self.known.get(a, self.other)
             paired += own.get(b, rest)
-            kind, within = self.kind[b]
+            kind, within = self.kind.get(b, self.strange)
             runs += within + (self.stay if kind == last or last is None else self.leave)
             last = kind
         return max(paired, runs)
@@ -237,12 +246,52 @@ class Grammar:
         best = max(a.score(token) for a in self.formats.values())
         return best - self.ordinary.score(token) if best > float("-inf") else float("-inf")
 
+    def found(self, run: str) -> list[tuple[int, int]]:
+        """Parts (start, end) of a run that are taken, leftmost first and never overlapping.
+
+        A part starts with the run or after a joint and ends with the run or before a joint, where
+        an automaton may end. From one start the end with the greatest gain is taken.
+        """
+        out, upto = [], 0
+        starts = [0, *(i + 1 for i, c in enumerate(run) if c in JOINTS)]
+        for start in starts:
+            if start < upto or len(run) - start < LEAST:
+                continue
+            likely: dict[int, float] = {}
+            for automaton in self.formats.values():
+                for end, value in automaton.prefixes(run, start):
+                    if end - start >= LEAST and (end == len(run) or run[end] in JOINTS):
+                        likely[end] = max(value, likely.get(end, float("-inf")))
+            gains = [(value - self.ordinary.score(run[start:end]), end) for end, value in likely.items()]
+            if gains and max(gains)[0] > self.margin:
+                upto = max(gains)[1]
+                out.append((start, upto))
+        return out
+
 
 @lru_cache(maxsize=1)
 def trained() -> Grammar:
     return Grammar(labelled_credentials(), ordinary_tokens())
 
 
+def grammar_of(
+    labelled: DataFrame, format_column: str = "format", text_column: str = "text", max_rows: int = 20_000
+) -> Grammar:
+    """Grammar of a table of labelled credentials, read up to ``max_rows`` rows in order of format and text.
+
+    Formats of fewer than ten strings, null and empty strings are left out.
+    """
+    rows = labelled.select(F.col(format_column).cast("string").alias("f"), F.col(text_column).cast("string").alias("t"))
+    rows = rows.where("f IS NOT NULL AND length(t) > 0").distinct().orderBy("f", "t").limit(max_rows).collect()
+    by_format: dict[str, list[str]] = defaultdict(list)
+    for r in rows:
+        by_format[r["f"]].append(r["t"])
+    kept = {f: random.Random(f).sample(own, len(own)) for f, own in by_format.items() if len(own) >= 10}
+    if not kept:
+        raise ValueError("No format has ten labelled credentials.")
+    return Grammar(kept, ordinary_tokens())
+
+
 def base_spans(text: str) -> list[tuple[int, int, int]]:
     """(start, kind number, end) of the plain patterns' matches."""
     spans = []
@@ -260,9 +309,10 @@ def learned_spans(text: str, grammar: Grammar, base: list[tuple[int, int, int]])
     """Candidates that the grammar takes and no base span overlaps."""
     found = []
     for m in _CANDIDATE.finditer(text):
-        token = m[0]
-        if grammar.gain(token) > grammar.margin and not any(a < m.end() and m.start() < b for a, _, b in base):
-            found.append((m.start(), 3, m.end()))
+        for start, end in grammar.found(m[0]):
+            start, end = start + m.start(), end + m.start()
+            if not any(a < end and start < b for a, _, b in base):
+                found.append((start, 3, end))
     return found
 
 
@@ -270,13 +320,16 @@ def _listed(spans: list[tuple[int, int, int]]) -> str:
     return ",".join(f"{KINDS[k]}:{a}:{b}" for a, k, b in sorted(spans))
 
 
-def find_secrets(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+def find_secrets(
+    docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", grammar: Grammar | None = None
+) -> DataFrame:
     """(doc_id, n_assign, n_access, n_hex, n_learned, base_sha256, spans) per row of ``docs``.
 
     Spans are kind:start:end in code points, end exclusive, by start and then kind. Null and
-    empty texts have none. Repeated rows and null ids keep a row each; other columns are not read.
+    empty texts have none; very long ones are searched whole. Repeated rows and null ids keep a row
+    each; other columns are not read. ``grammar`` is that of public formats unless given (``grammar_of``).
     """
-    grammar = trained()
+    grammar = grammar or trained()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -33,7 +33,8 @@ def byte_shards(rows: DataFrame, shards: int = 40) -> DataFrame:
     and repeated rows keep one place each, in an order fixed when the rows are stored. If a
     single row is larger than a target, the shards it covers stay empty. Sizes must be positive.
     """
-    numbered = rows.withColumn("_tie", F.monotonically_increasing_id())
+    # The row goes through whole, in one column, so that its columns may have any names.
+    numbered = rows.select(F.struct(*rows.columns).alias("_doc"), "doc_id", "size", F.monotonically_increasing_id().alias("_tie"))
     ranged = numbered.repartitionByRange(F.col("doc_id").asc_nulls_first(), F.col("_tie"))
     stored = cut_lineage(ranged.withColumn("_range", F.spark_partition_id()))
     totals = stored.groupBy("_range").agg(F.sum("size").alias("bytes"), F.count(F.lit(1)).alias("n"))
@@ -57,8 +58,8 @@ def byte_shards(rows: DataFrame, shards: int = 40) -> DataFrame:
     sharded = placed.withColumn("_twice", twice).withColumn("shard", F.least(scaled, F.lit(shards - 1))).withColumn(
         "_row", F.col("_rows") + F.col("_place")
     )
-    sharded = cut_lineage(sharded.select(*rows.columns, "shard", "_row"))
+    sharded = cut_lineage(sharded.select("_doc", "shard", "_row"))
     starts = sharded.groupBy("shard").agg(F.min("_row").alias("_first"))
     return sharded.join(F.broadcast(starts), "shard").select(  # one row per shard
-        *rows.columns, "shard", (F.col("_row") - F.col("_first")).alias("slot")
+        "_doc.*", "shard", (F.col("_row") - F.col("_first")).alias("slot")
     )

@@ -68,3 +68,31 @@ def test_deep_and_long_pages():
     long = "<article>" + "<p>Words of a block.</p>" * 5000 + "</article>"
     _, text = trained().main_texts([deep, long])
     assert text.count("\n\n") == 4999
+
+
+def test_nothing_of_an_article_is_lost():
+    from quarterdeck.llm.main_text import parse
+
+    def texts(source):
+        return [t for t in parse(source).text if t is not None]
+
+    assert texts("<p>Euler: <math><mi>e</mi></math> is big.</p>") == ["Euler: e is big."]
+    assert texts("<p>A <object data=x>fallback text</object> here</p><noscript><p>Kept.</p></noscript>") == ["A fallback text here", "Kept."]
+    assert texts("<p>One <svg><path d='M0'>two</p><p>Three</p>") == ["One two", "Three"]
+    assert texts("<p title=it's>One</p><p>Two</p><p class=\"a\"\">isn't</p>") == ["One", "Two", "isn't"]
+    assert texts("<p title='a > b'>One</p><script>x</script><title>t</title><p>Two") == ["One", "Two"]
+    assert texts("<p a=\"b\" c='d' e=\"f") == []
+
+
+def test_closing_tags_without_a_partner_take_linear_time():
+    import time
+
+    from quarterdeck.llm.main_text import parse
+
+    def seconds(n):
+        started = time.perf_counter()
+        parse("<div>" * n + "</section>" * n + "<p>x</p>" + "<p a=\"b\" " * n)
+        return time.perf_counter() - started
+
+    seconds(1000)
+    assert seconds(20_000) < 5.0

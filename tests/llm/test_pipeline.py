@@ -5,8 +5,12 @@ import zlib
 
 import pytest
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline
+from quarterdeck.llm.sharding import byte_shards
 from quarterdeck.llm.toxicity import fit_chain, label_categories, score_chain
+from quarterdeck.session import cut_lineage
 from tests.llm.helpers import lowered, prose
 from tests.llm.test_decontaminate import plain as plain_contamination
 from tests.llm.test_near_duplicates import plain as plain_components
@@ -98,3 +102,25 @@ def test_shards(outputs):
         assert slots == list(range(len(slots)))
     key = lambda r: str((r["doc_id"], r["size"], r["shard"], r["slot"]))
     assert sorted(map(key, whole)) == sorted(map(key, final))
+
+
+def test_stages_take_any_column_names_and_empty_tables(spark, tmp_path):
+    draw = random.Random(4)
+    items = [(i, prose(draw, 20, 60)) for i in range(4)]
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    rows = [(i, prose(draw, 40), "en", f"s{i % 3}", 1) for i in range(20)]
+    rows += [(20, rows[0][1], "en", "s0", 1), (21, items[1][1] + " tail", "en", "s1", 1), (None, None, None, None, None)]
+    plain = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    extra = "_place _place_ _copy _source _times _cut _own _doc _hash _tie _range _row shard_ slot_ component node digest bands".split()
+    named = plain.select("*", *[F.lit(i).alias(c) for i, c in enumerate(extra)])
+    for frame in (named, named.limit(0)):
+        docs = frame
+        for _, stage in corpus_pipeline.STAGES[1:4]:
+            docs = cut_lineage(stage(spark, docs, str(tmp_path)))
+            assert docs.columns == named.columns
+        assert docs.where(" OR ".join(f"{c} <> {i}" for i, c in enumerate(extra))).isEmpty()
+        assert not docs.where("doc_id IN (20, 21)").count()
+        final = dict(corpus_pipeline.STAGES)["sharding"](spark, docs, str(tmp_path))
+        assert final.count() == docs.count()
+    kept = byte_shards(named.where("doc_id < 5").withColumn("size", F.lit(10).cast("long")), 3)
+    assert kept.columns[: len(named.columns)] == named.columns and kept.where("_tie = 9").count() == 5

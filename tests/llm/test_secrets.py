@@ -1,7 +1,8 @@
 import hashlib
+import random
 import re
 
-from quarterdeck.llm.secrets import find_secrets, infer, labelled_credentials, ordinary_tokens, trained
+from quarterdeck.llm.secrets import find_secrets, grammar_of, infer, labelled_credentials, ordinary_tokens, trained
 from tests.llm.helpers import SHAPE, awkward_documents, documents
 
 _ASSIGN = r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -62,3 +63,31 @@ def test_inferred_automaton_generalises():
 
 def test_no_rows(spark):
     assert find_secrets(spark.createDataFrame([], SHAPE)).count() == 0
+
+
+def test_credentials_inside_runs(spark):
+    own = {name: texts[0] for name, texts in labelled_credentials(1, seed=77).items()}
+    token, web, pay, mixed = own["repository token"], own["web api key"], own["payment key"], own["mixed secret"]
+    texts = [
+        f"GH_PAT={token}", f"see https://host/path/{token}/end", f"https://host/maps?key={web}&x=1", f"STRIPE={pay} AWS_SK={mixed}",
+        f"'{token}'", f"{token[:-6]}x y", "a-long-compound-word-in-a-row path/to/some/longer/file_name_of_it", token + "Z" * 40,
+    ]
+    found = find_secrets(documents(spark, [(i, t, "s") for i, t in enumerate(texts)])).collect()
+    spans = {r["doc_id"]: [tuple(map(int, s.split(":")[1:])) for s in r["spans"].split(",") if s.startswith("learned")] for r in found}
+    for i, want in enumerate([[token], [token], [web], [pay, mixed], [token]]):
+        assert [texts[i][a:b] for a, b in spans[i]] == want
+    assert spans[6] == []
+    # The end counts: a string that goes on is less likely than one that ends where credentials end.
+    automaton = trained().formats["repository token"]
+    assert automaton.score(token) > automaton.score(token + "Z" * 24)
+
+
+def test_grammar_of_a_table(spark):
+    rows = [("ticket", "TKT." + str(10**14 + i * 7919)[:15]) for i in range(60)] + [("rare", "abc"), (None, "x"), ("ticket", None)]
+    draw = random.Random(3)
+    rows += [("pass", "zz9" + format(draw.getrandbits(80), "020x").upper()) for i in range(80)]
+    grammar = grammar_of(spark.createDataFrame(rows, "format string, text string"))
+    assert set(grammar.formats) == {"ticket", "pass"}
+    text = "id=zz9" + format(draw.getrandbits(80), "020x").upper()
+    found = find_secrets(documents(spark, [(1, text, "s"), (2, "ordinary words only", "s")]), grammar=grammar).collect()
+    assert {r["doc_id"]: r["spans"] for r in found} == {1: "learned:3:26", 2: ""}
