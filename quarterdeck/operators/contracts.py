@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+import hashlib
+from collections.abc import Iterator, Mapping, Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -181,17 +183,41 @@ def schema_drift(signatures: DataFrame, source: str = "source", table: str = "ta
     )
 
 
-def universe_fingerprint(frame: DataFrame, entity: str) -> DataFrame:
-    """SHA-256 of the ordered distinct ids joined by newlines.
+def universe_fingerprint(frame: DataFrame, entity: str, digits: int = 2) -> DataFrame:
+    """Two-level SHA-256 of the distinct ids, which never meet in one place.
 
-    The digest is defined over one ordered text, so the ordered ids must meet in one place;
-    only the distinct ids travel there, after a distributed de-duplication.
+    An id belongs to the range named by the first ``digits`` hexadecimal digits of its text's own
+    hash. A range's ids, ordered by their text and joined by newlines, are hashed as a stream in one
+    task; the digest is the hash of the range digests in order, joined by newlines. More digits give
+    smaller ranges and another digest. Without ids the digest is that of the empty text.
     """
-    ids = frame.where(F.col(entity).isNotNull()).select(entity).distinct()
-    return ids.agg(
-        F.count(F.lit(1)).alias("entities"),
-        F.sha2(
-            F.array_join(F.transform(F.array_sort(F.collect_list(entity)), lambda x: x.cast("string")), "\n"),
-            256,
-        ).alias("digest"),
+    ids = frame.where(F.col(entity).isNotNull()).select(F.col(entity).cast("string").alias("id")).distinct()
+    dealt = ids.select(F.substring(F.sha2("id", 256), 1, digits).alias("range"), "id")
+    ranges = dealt.repartition("range").sortWithinPartitions("range", "id").mapInPandas(
+        _range_digests, "range string, entities long, digest string"
     )
+    listed = F.array_sort(F.collect_list(F.struct("range", "digest")))  # at most 16 to the power of ``digits``
+    return ranges.agg(
+        F.coalesce(F.sum("entities"), F.lit(0)).alias("entities"),
+        F.sha2(F.array_join(F.transform(listed, lambda x: x["digest"]), "\n"), 256).alias("digest"),
+    )
+
+
+def _range_digests(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Streams sorted ids; only the running hash of one range is held."""
+    open_range, state, n = None, None, 0
+    for batch in batches:
+        done = []
+        for name, own in batch.groupby("range", sort=False):
+            text = "\n".join(own["id"]).encode()
+            if name == open_range:
+                state.update(b"\n")
+            else:
+                if open_range is not None:
+                    done.append((open_range, n, state.hexdigest()))
+                open_range, state, n = name, hashlib.sha256(), 0
+            state.update(text)
+            n += len(own)
+        yield pd.DataFrame(done, columns=["range", "entities", "digest"])
+    if open_range is not None:
+        yield pd.DataFrame([(open_range, n, state.hexdigest())], columns=["range", "entities", "digest"])

@@ -1,7 +1,8 @@
-"""Ingest of zip archives as a distributed job, one task per archive."""
+"""Ingest of zip archives as a distributed job: an archive is unzipped once, in one task."""
 
 from __future__ import annotations
 
+import csv
 import io
 import zipfile
 from collections.abc import Iterator, Sequence
@@ -10,15 +11,19 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_LINES_PER_BATCH = 50_000
-_SCHEMA = "source_archive_id string, member string, header string, line string"
+from quarterdeck.session import cut_lineage, release
 
+_RECORDS_PER_BATCH = 20_000
+_LONGEST_FIELD = 1 << 30
+_SCHEMA = "source_archive_id string, member string, header array<string>, fields array<string>"
 
-class _MemberLines:
-    """Streams the lines of the required members of each archive in bounded batches."""
 
-    def __init__(self, members: Sequence[str]) -> None:
+class _MemberRecords:
+    """Streams the records of the required members of each archive in bounded batches."""
+
+    def __init__(self, members: Sequence[str], separator: str) -> None:
         self.members = tuple(members)
+        self.separator = separator
 
     def __call__(self, batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -26,7 +31,7 @@ class _MemberLines:
                 archive_id = path.rsplit("/", 1)[-1].removesuffix(".zip")
                 with zipfile.ZipFile(io.BytesIO(content)) as archive:
                     for member, full_name in self._resolve(archive, path).items():
-                        yield from self._lines(archive, archive_id, member, full_name)
+                        yield from self._records(archive, archive_id, member, full_name)
 
     def _resolve(self, archive: zipfile.ZipFile, path: str) -> dict[str, str]:
         by_name: dict[str, list[str]] = {}
@@ -38,48 +43,55 @@ class _MemberLines:
             raise RuntimeError(f"{path}: required members must occur once, found {counts}")
         return {m: by_name[m][0] for m in self.members}
 
-    @staticmethod
-    def _lines(archive: zipfile.ZipFile, archive_id: str, member: str, full_name: str) -> Iterator[pd.DataFrame]:
-        with io.TextIOWrapper(archive.open(full_name), encoding="utf-8-sig", newline=None) as text:
-            header = text.readline().rstrip("\r\n")
-            held: list[str] = []
+    def _records(self, archive: zipfile.ZipFile, archive_id: str, member: str, full_name: str) -> Iterator[pd.DataFrame]:
+        csv.field_size_limit(_LONGEST_FIELD)
+        with io.TextIOWrapper(archive.open(full_name), encoding="utf-8-sig", newline="") as text:
+            reader = csv.reader(text, delimiter=self.separator)
+            header = [name.strip() for name in next(reader, [])]
+            held: list[list[str]] = []
 
             def frame() -> pd.DataFrame:
                 return pd.DataFrame(
-                    {"source_archive_id": archive_id, "member": member, "header": header, "line": held}
+                    {"source_archive_id": archive_id, "member": member, "header": [header] * len(held), "fields": held}
                 )
 
-            for line in text:
-                held.append(line.rstrip("\r\n"))
-                if len(held) == _LINES_PER_BATCH:
+            for record in reader:
+                if not record:  # an empty line
+                    continue
+                held.append(record)
+                if len(held) == _RECORDS_PER_BATCH:
                     yield frame()
                     held = []
             if held:
                 yield frame()
 
 
-def read_archives(spark: SparkSession, path: str, members: Sequence[str]) -> DataFrame:
-    """Lines of the required members of every archive, with the archive's id and the header.
+def read_archives(spark: SparkSession, path: str, members: Sequence[str], separator: str = "\t") -> DataFrame:
+    """Records of the required members of every archive below ``path`` (see ``archive_records``)."""
+    archives = spark.read.format("binaryFile").option("pathGlobFilter", "*.zip").load(path)
+    return archive_records(archives.select("path", "content"), members, separator)
+
 
-    A zip member cannot be split, so an archive is the unit of parallelism; its lines leave the
-    task in bounded batches. A missing or repeated member fails the job.
+def archive_records(archives: DataFrame, members: Sequence[str], separator: str = "\t") -> DataFrame:
+    """(source_archive_id, member, header, fields) of the required members of archives (path, content).
+
+    A zip member cannot be split, so an archive is the unit of parallelism (at most 2 GB, the limit
+    of a binary value); its records leave the task in bounded batches. Quoted fields may hold
+    separators, quotes and line breaks. A missing or repeated member fails the job.
     """
-    archives = spark.read.format("binaryFile").option("pathGlobFilter", "*.zip").load(path)
-    return archives.select("path", "content").mapInPandas(_MemberLines(members), _SCHEMA)
+    return archives.select("path", "content").mapInPandas(_MemberRecords(members, separator), _SCHEMA)
 
 
-def member_table(lines: DataFrame, member: str, columns: Sequence[str], separator: str = "\t") -> DataFrame:
+def member_table(records: DataFrame, member: str, columns: Sequence[str]) -> DataFrame:
     """One member as a table of strings, columns found by each archive's own header.
 
     The empty field is null; a column an archive does not have is null for that archive.
     """
-    names = F.split("header", separator)
-    fields = F.split("line", separator, -1)
-    rows = lines.where(F.col("member") == member)
+    rows = records.where(F.col("member") == member)
     picked = []
     for name in columns:
-        position = F.array_position(F.transform(names, F.trim), name)
-        value = F.when(position > 0, F.try_element_at(fields, position.cast("int")))
+        position = F.array_position("header", name)
+        value = F.when(position > 0, F.try_element_at("fields", position.cast("int")))
         picked.append(F.when(value != "", value).alias(name))
     return rows.select("source_archive_id", *picked)
 
@@ -87,10 +99,11 @@ def member_table(lines: DataFrame, member: str, columns: Sequence[str], separato
 def land_archives(
     spark: SparkSession, path: str, tables: dict[str, Sequence[str]], output: str, separator: str = "\t"
 ) -> None:
-    """Write each member as a Parquet table partitioned by archive."""
-    lines = read_archives(spark, path, list(tables))
+    """Write each member as a Parquet table partitioned by archive; every archive is unzipped once."""
+    records = cut_lineage(read_archives(spark, path, list(tables), separator))
     for member, columns in tables.items():
         name = member.rsplit(".", 1)[0].lower()
-        member_table(lines, member, columns, separator).write.mode("errorifexists").partitionBy(
-            "source_archive_id"
-        ).parquet(f"{output}/{name}")
+        member_table(records, member, columns).write.mode("errorifexists").partitionBy("source_archive_id").parquet(
+            f"{output}/{name}"
+        )
+    release(records)

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Mapping, Sequence
+from urllib.parse import quote
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -31,18 +33,20 @@ def read_tagged_parquet(
     spark: SparkSession, sources: Mapping[str, str], columns: Sequence[str] | None = None,
     tag: str = "source_archive_id",
 ) -> DataFrame:
-    """Several Parquet tables as one, each row tagged with the source it came from.
+    """Several Parquet tables of one schema as one, each row tagged with the source it came from.
 
-    ``sources`` maps a tag to a path. The list of sources is small and known to the caller, so
-    each row is tagged by a literal on its own scan and the scans are united.
+    ``sources`` maps a tag to a path. All paths are one scan; a row's tag follows from the path of
+    its file, the longest path first where one lies below another.
     """
-    result = None
-    for name, path in sources.items():
-        frame = spark.read.parquet(path)
-        frame = frame.select(*columns) if columns else frame
-        frame = frame.withColumn(tag, F.lit(name))
-        result = frame if result is None else result.unionByName(frame)
-    return result
+    frame = spark.read.parquet(*sources.values())
+    tagged = None
+    for name, path in sorted(sources.items(), key=lambda s: len(s[1]), reverse=True):
+        bare = re.sub(r"^[a-z0-9+.-]+:/+[^/]*(?=/)|^file:", "", path).rstrip("/")
+        inside = F.lit(False)
+        for form in {bare, quote(bare, safe="/=")}:
+            inside = inside | F.contains(F.col("_metadata.file_path"), F.lit(f"{form}/")) | F.endswith(F.col("_metadata.file_path"), F.lit(form))
+        tagged = F.when(inside, name) if tagged is None else tagged.when(inside, name)
+    return frame.select(*(columns or frame.columns), tagged.alias(tag))
 
 
 def read_factor_text(spark: SparkSession, path: str, columns: Sequence[str], pattern: str = "yyyyMMdd") -> DataFrame:

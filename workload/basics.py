@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
@@ -13,6 +14,7 @@ from quarterdeck.operators import contracts as ct
 from quarterdeck.operators import joins as jn
 from quarterdeck.plans import network as nw
 from quarterdeck.session import cut_lineage, scratch_path
+from quarterdeck.sources import archives
 from quarterdeck.sources import tables as src
 from workload import recipes as R
 from workload.composites import predictions
@@ -34,6 +36,53 @@ def _(spark, sf):
     return src.read_text_columns(spark, path, ["o_orderkey", "o_orderstatus"])
 
 
+def packed(groups):
+    """(path, content) of zip archives with one tab-separated member per group."""
+    import io
+    import zipfile
+
+    buffer = io.BytesIO()
+    with zipfile.ZipFile(buffer, "w", zipfile.ZIP_DEFLATED) as archive:
+        lines = "".join(f'{k}\t"{p}\t""x"""\t{s}\n' for k, p, s in zip(groups["o_orderkey"], groups["priority"], groups["status"], strict=True))
+        archive.writestr("data/ORDERS.tsv", "ORDERKEY\tNOTE\tSTATUS\n" + lines)
+        archive.writestr("readme.txt", "other")
+    return pd.DataFrame({"path": [f"mem:/A{groups['archive'].iloc[0]}.zip"], "content": [buffer.getvalue()]})
+
+
+@case(
+    "f2_archive_members",
+    """SELECT 'A' || (o_orderkey // 5000) AS source_archive_id, count(*) AS rows, CAST(sum(o_orderkey) AS BIGINT) AS key_sum,
+        count(*) FILTER (WHERE o_orderstatus = 'O') AS open_orders, CAST(sum(length(o_orderpriority) + 4) AS BIGINT) AS note_length
+    FROM orders GROUP BY 1""",
+)
+def _(spark, sf):
+    orders = R.table(spark, sf, "orders").select(
+        F.expr("o_orderkey div 5000").alias("archive"), "o_orderkey", F.col("o_orderpriority").alias("priority"),
+        F.col("o_orderstatus").alias("status"),
+    )
+    # Archives of bounded size, whose number grows with the table.
+    zipped = cut_lineage(orders.groupBy("archive").applyInPandas(packed, "path string, content binary"))
+    records = archives.archive_records(zipped, ["ORDERS.tsv"])
+    rows = archives.member_table(records, "ORDERS.tsv", ["ORDERKEY", "NOTE", "STATUS"])
+    return rows.groupBy("source_archive_id").agg(
+        F.count(F.lit(1)).alias("rows"), F.sum(F.col("ORDERKEY").cast("long")).alias("key_sum"),
+        F.count(F.when(F.col("STATUS") == "O", F.lit(1))).alias("open_orders"), F.sum(F.length("NOTE").cast("long")).alias("note_length"),
+    )
+
+
+@case(
+    "q5_schema_drift",
+    """WITH c AS (SELECT table_name AS source, column_name, column_index FROM duckdb_columns() WHERE table_name IN ('orders', 'lineitem', 'events')),
+    s AS (SELECT source, string_agg(column_name, ',' ORDER BY column_index) AS signature FROM c GROUP BY 1)
+    SELECT 'facts' AS table_name, (SELECT count(*) FROM s) AS sources, (SELECT count(DISTINCT signature) FROM s) AS distinct_signatures,
+        (SELECT string_agg(column_name, ',' ORDER BY column_name) FROM (SELECT column_name FROM c GROUP BY 1 HAVING count(*) < 3)) AS partial_columns""",
+)
+def _(spark, sf):
+    schemas = {(name, "facts"): R.table(spark, sf, name).columns for name in ("orders", "lineitem", "events")}
+    drift = ct.schema_drift(ct.schema_signatures(schemas, spark))
+    return drift.withColumn("partial_columns", F.array_join("partial_columns", ","))
+
+
 @case(
     "f5_tagged_files",
     "SELECT 'A' || (o_orderkey % 3) AS source_archive_id, count(*) AS rows, CAST(sum(o_orderkey) AS BIGINT) AS key_sum FROM orders GROUP BY 1",
@@ -140,7 +189,9 @@ def _(spark, sf):
 
 @case(
     "f13_universe_fingerprint",
-    "SELECT count(*) AS entities, sha256(string_agg(CAST(permno AS VARCHAR), chr(10) ORDER BY permno)) AS digest FROM (SELECT DISTINCT permno FROM lines)",
+    """SELECT CAST(sum(n) AS BIGINT) AS entities, sha256(string_agg(digest, chr(10) ORDER BY part)) AS digest FROM (
+        SELECT substring(sha256(id), 1, 2) AS part, count(*) AS n, sha256(string_agg(id, chr(10) ORDER BY id)) AS digest
+        FROM (SELECT DISTINCT CAST(permno AS VARCHAR) AS id FROM lines) GROUP BY 1)""",
     uses="lines",
 )
 def _(spark, sf):

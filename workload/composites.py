@@ -362,6 +362,50 @@ def _(spark, sf):
     return communities(spark, sf)[2].select("report_period", "manager", "community_id")
 
 
+@case(
+    "c10_community_quality",
+    """SELECT report_period, count(*) AS managers, TRUE AS above_singletons, TRUE AS above_one_community, CAST(0 AS BIGINT) AS unconnected
+    FROM managers GROUP BY 1""",
+    uses="managers",
+)
+def _(spark, sf):
+    """Labels of every period: better than no grouping and than one group, and every community connected."""
+    _, e, found = communities(spark, sf)
+    labels = cut_lineage(found.select("report_period", F.col("manager").alias("node"), F.col("community_id").cast("long").alias("community")))
+    ends = e.select("report_period", F.col("manager_a").alias("u"), F.col("manager_b").alias("v"), F.col("cosine_similarity").alias("w"))
+
+    def score(labelling, name):
+        return graph.modularity(ends, labelling, "report_period", "u", "v", "w").withColumnRenamed("modularity", name)
+
+    parts = graph.connected_parts(labels, ends, "report_period").groupBy("report_period").agg(F.count_distinct("community").alias("_parts"))
+    sizes = labels.groupBy("report_period").agg(
+        F.count(F.lit(1)).alias("managers"), F.count_distinct("community").alias("_communities")
+    )
+    alone = labels.withColumn("community", F.col("node"))
+    return sizes.join(parts, "report_period").join(score(labels, "_found"), "report_period").join(score(alone, "_alone"), "report_period").select(
+        "report_period", "managers", (F.col("_found") > F.col("_alone")).alias("above_singletons"),
+        (F.col("_found") > 0).alias("above_one_community"), (F.col("_parts") - F.col("_communities")).alias("unconnected"),
+    )
+
+
+@case(
+    "c10_communities_downstream",
+    """SELECT m.report_period, count(*) AS managers, round(sum(1.0 * m.n_positions), 6) AS positions, TRUE AS shares_add_up
+    FROM (SELECT report_period, manager, count(*) AS n_positions FROM holdings GROUP BY ALL) m GROUP BY 1""",
+    uses="holdings", doubles="positions",
+)
+def _(spark, sf):
+    """Communities into their summary: every manager and position is counted in one community."""
+    h, _, found = communities(spark, sf)
+    found = cut_lineage(found)
+    summary = nw.community_summary(found)
+    held = h.groupBy("report_period", "manager").agg(F.count(F.lit(1)).alias("n"))
+    counted = found.join(held, ["report_period", "manager"]).groupBy("report_period").agg(F.sum("n").alias("positions"))
+    return summary.groupBy("report_period").agg(
+        F.sum("manager_count").alias("managers"), (F.abs(F.sum("manager_share") - 1) < 1e-9).alias("shares_add_up")
+    ).join(counted, "report_period")
+
+
 R.cte(
     "degrees",
     """SELECT m.*, coalesce(d.n, 0) AS similarity_degree, coalesce(d.s, 0.0) AS mean_neighbor_similarity, CAST(m.manager % 7 + 1 AS INTEGER) AS community_id
