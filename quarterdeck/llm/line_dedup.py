@@ -33,6 +33,7 @@ _FILTER_BITS = 24
 _SEEN = 500_000
 _PIECE = 1 << 18
 _LINE_BITS = 13
+_PAIRS = 1000
 _BAND_BITS = 24
 _CENTRES = 8
 
@@ -252,28 +253,27 @@ def _shingles(line: bytes, size: int) -> np.ndarray:
     return distinct_sorted(span_hash(prefix_sums(data, _FOLD[1]), a, b))
 
 
-def _distinct_lines(column: pa.Array, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(number of each row's line, offsets, shingle hashes) of the different lines of a column, sorted and distinct in each."""
+def _distinct_lines(column: pa.Array, size: int):
+    """(number of each row's line, offsets, shortened shingle hashes, lines) of the different lines of a column.
+
+    The hashes of a line are sorted and distinct; _LINE_BITS of them are cut off.
+    """
     coded = column.dictionary_encode()
-    data = b"".join(coded.dictionary.to_pylist())
-    ends = np.cumsum([len(x) for x in coded.dictionary.to_pylist()], dtype=np.int64)
+    lines = coded.dictionary.to_pylist()
+    ends = np.cumsum([len(x) for x in lines], dtype=np.int64)
     starts = np.concatenate(([0], ends[:-1])).astype(np.int64)
-    data = np.frombuffer(data, np.uint8)
+    data = np.frombuffer(b"".join(lines), np.uint8)
     line, a, b = shingle_spans(data, starts, ends, size)
-    hashes = span_hash(prefix_sums(data, _FOLD[1]), a, b)
-    order = np.lexsort((hashes, line))
-    line, hashes = line[order], hashes[order]
-    new = np.ones(len(line), bool)
-    new[1:] = (line[1:] != line[:-1]) | (hashes[1:] != hashes[:-1])
-    return coded.indices.to_numpy(), np.searchsorted(line[new], np.arange(len(ends) + 1)), hashes[new]
+    packed = packed_shingles(line, span_hash(prefix_sums(data, _FOLD[1]), a, b))
+    upto = np.searchsorted(packed >> np.uint64(64 - _LINE_BITS), np.arange(len(lines) + 1, dtype=np.uint64))
+    return coded.indices.to_numpy(), upto, packed << np.uint64(_LINE_BITS), lines
 
 
 def _expanded(rows: np.ndarray, offsets: np.ndarray, hashes: np.ndarray) -> np.ndarray:
-    """Shingles of each row's line, with the row's number in the low bits."""
+    """Shingles of each row's line, with the row's number in the low bits, which are free."""
     lengths = (offsets[1:] - offsets[:-1])[rows]
     at = np.repeat(offsets[rows] - np.cumsum(lengths) + lengths, lengths) + np.arange(lengths.sum())
-    bits = np.uint64(max(len(rows).bit_length(), 1))
-    return hashes[at] >> bits << bits | np.repeat(np.arange(len(rows), dtype=np.uint64), lengths)
+    return hashes[at] | np.repeat(np.arange(len(rows), dtype=np.uint64), lengths)
 
 
 def _confirmed(size: int, percent: int):
@@ -281,24 +281,24 @@ def _confirmed(size: int, percent: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n = batch.num_rows
-            if not n:
-                continue
-            both = pa.concat_arrays([batch.column("left_line"), batch.column("right_line")])
-            number, offsets, hashes = _distinct_lines(both, size)
-            counts = np.diff(offsets)
-            x, y = number[:n], number[n:]
-            keys = np.concatenate((_expanded(x, offsets, hashes), _expanded(y, offsets, hashes)))
-            keys.sort()
-            twice = keys[1:][keys[1:] == keys[:-1]]
-            low = np.uint64((1 << max(n.bit_length(), 1)) - 1)
-            shared = np.bincount((twice & low).astype(np.int64), minlength=n)[:n]
-            keep = 100 * shared >= percent * (counts[x] + counts[y] - shared)
-            for i in np.flatnonzero(keep).tolist():  # shortened hashes only count too much
-                one, two = (hashes[offsets[k] : offsets[k + 1]] for k in (x[i], y[i]))
-                common = len(np.intersect1d(one, two, assume_unique=True))
-                keep[i] = 100 * common >= percent * (len(one) + len(two) - common)
-            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+            for first in range(0, batch.num_rows, _PAIRS):
+                own = batch.slice(first, _PAIRS)
+                n = own.num_rows
+                number, offsets, hashes, lines = _distinct_lines(
+                    pa.concat_arrays([own.column("left_line"), own.column("right_line")]), size
+                )
+                counts, x, y = np.diff(offsets), number[:n], number[n:]
+                keys = np.concatenate((_expanded(x, offsets, hashes), _expanded(y, offsets, hashes)))
+                keys.sort()
+                twice = keys[1:][keys[1:] == keys[:-1]] & np.uint64((1 << _LINE_BITS) - 1)
+                shared = np.bincount(twice.astype(np.int64), minlength=n)
+                # Shortened hashes err by one or two at most, and very rarely: whole hashes decide near and above the limit.
+                keep = 100 * (shared + 2) >= percent * (counts[x] + counts[y] - shared - 2)
+                for i in np.flatnonzero(keep).tolist():
+                    one, two = _shingles(lines[x[i]], size), _shingles(lines[y[i]], size)
+                    common = len(np.intersect1d(one, two, assume_unique=True))
+                    keep[i] = 100 * common >= percent * (len(one) + len(two) - common)
+                yield own.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     return run
 
@@ -345,11 +345,12 @@ def fuzzy_lines(
     )
     shape = "key long, node long, n long"
     entries = texts_only.mapInArrow(single.entries(table), shape).unionByName(common.mapInArrow(_stored_entries(bands, table), shape))
-    # One exchange by key serves all three steps.
+    entries = cut_lineage(entries)
     dealt = entries.repartition("key").groupBy("key", "node").agg(F.min("n").alias("n"))
     several = dealt.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high")
     buckets = cut_lineage(dealt.join(several.select("key"), "key"))
     release(common)
+    release(entries)
 
     # The texts of all lines that share a bucket with another, fetched in one further pass.
     ends = cut_lineage(buckets.select("node").distinct())

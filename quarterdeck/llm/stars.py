@@ -39,6 +39,8 @@ def confirmed_components(
         edges = cut_lineage(edges)
         stages.append(edges)
         if edges.isEmpty():
+            if centres > 1 and not turn:
+                continue  # the first centres were too large or small for all others
             break
         tried = edges if tried is None else tried.unionByName(edges)
         found = cut_lineage(confirm(edges))
@@ -46,11 +48,12 @@ def confirmed_components(
         if links:
             labels = _relabelled(labels, found)
         release(found)
-        if 10 * links < edges.count():
+        # With several centres a second round always follows: it tries all pairs of small buckets.
+        if 10 * links < edges.count() and (centres == 1 or turn):
             break
     for stage in stages:
         release(stage)
-    rest = cut_lineage(_unsettled(buckets, labels))
+    rest = cut_lineage(_unsettled(buckets, labels, centres))
     if not rest.isEmpty():
         found = cut_lineage(finish(rest))
         if not found.isEmpty():
@@ -72,11 +75,19 @@ def _with_parts(buckets: DataFrame, labels: DataFrame | None) -> DataFrame:
     return buckets.join(labels, "node", "left").select("key", "node", "n", F.coalesce("component", "node").alias("part"))
 
 
-def _unsettled(buckets: DataFrame, labels: DataFrame | None) -> DataFrame:
-    """(node, part) of buckets with several components; the one pair of a bucket of two was tried in the first round."""
+def _unsettled(buckets: DataFrame, labels: DataFrame | None, centres: int) -> DataFrame:
+    """(node, part) of buckets with several components.
+
+    The one pair of a bucket of two was tried in the first round. With several centres, a bucket of
+    no more nodes than centres, none linked with another, has had each node as a centre.
+    """
     members = _with_parts(buckets, labels)
     several = members.groupBy("key").agg(F.min("part").alias("low"), F.max("part").alias("high"), F.count("*").alias("_count"))
-    several = several.where("low < high AND _count > 2").select("key")
+    several = several.where("low < high AND _count > 2")
+    if centres > 1:
+        parts = members.groupBy("key", "part").agg(F.count("*").alias("_n")).groupBy("key").agg(F.max("_n").alias("_most"))
+        several = several.join(parts, "key").where(f"_count > {centres} OR _most > 1")
+    several = several.select("key")
     return members.join(several, "key").select("node", "part").distinct()
 
 

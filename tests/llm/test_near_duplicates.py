@@ -6,6 +6,7 @@ import numpy as np
 import pyarrow as pa
 
 from quarterdeck.llm.near_dup import near_duplicates, shingle_sets, signature
+from quarterdeck.session import cut_lineage
 from tests.llm.helpers import SHAPE, awkward_documents, components, documents, lowered, prose
 
 
@@ -90,3 +91,15 @@ def test_a_hidden_pair_among_mid_similar_documents(spark):
     check(spark, rows)
     found = {r["doc_id"]: r["component_id"] for r in near_duplicates(documents(spark, rows)).collect()}
     assert found[901] == 900 and sum(i != c for i, c in found.items()) == 1
+
+
+def test_second_round_follows_where_first_centres_have_no_candidates(spark):
+    """The smallest node of a bucket is far too small for the others, which are one pair."""
+    from quarterdeck.llm.stars import confirmed_components
+
+    rows = [(1, 0, 3), (1, 5, 100), (1, 6, 100), (1, 7, 100)]
+    buckets = cut_lineage(spark.createDataFrame(rows, "key long, node long, n long"))
+    labels = confirmed_components(
+        buckets, lambda edges: edges.where("a = 5 AND b = 6"), lambda rest: rest.selectExpr("node a", "node b").limit(0), 80, centres=8
+    )
+    assert {r["node"]: r["component"] for r in labels.collect()} == {5: 5, 6: 5}
