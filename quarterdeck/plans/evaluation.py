@@ -307,6 +307,40 @@ def temporal_stability(frame: DataFrame, features: Sequence[str]) -> DataFrame:
     )
 
 
+def graph_size_correlation(frame: DataFrame, sizes: DataFrame, features: Sequence[str], size: str = "size") -> DataFrame:
+    """Rank correlation over quarters of each feature's median with the size of the quarter's graph.
+
+    ``sizes`` has a row per period. Medians and sizes are one row per quarter and feature.
+    """
+    medians = order.exact_quantiles_long(frame, [PERIOD], features, {"median": 0.5}, "feature")
+    joined = stored(medians.join(sizes.select(PERIOD, F.col(size).cast("double").alias("_size")), PERIOD))
+    return grouped_spearman(joined, ["feature"], "median", "_size", "size_spearman")
+
+
+def quarterly_bias(scored: DataFrame, actual: str = "target", prediction: str = "prediction") -> DataFrame:
+    """Mean prediction, mean outcome, bias and MAE of every quarter."""
+    residual = F.col(prediction) - F.col(actual)
+    return scored.groupBy(PERIOD).agg(
+        F.count(residual).alias("observations"), F.avg(prediction).alias("mean_prediction"), F.avg(actual).alias("mean_actual"),
+        F.avg(residual).alias("bias"), F.avg(F.abs(residual)).alias("mae"),
+    )
+
+
+def share_rank_stability(shares: DataFrame) -> DataFrame:
+    """Mean and smallest rank correlation of importance shares between all pairs of quarters.
+
+    ``shares`` is the report-size result of ``quarterly_attribution_shares``.
+    """
+    shares = stored(shares)
+    later = shares.select(F.col(PERIOD).alias("_later"), "feature", F.col("share_rank").alias("_rank"))
+    pairs = shares.join(later, "feature").where(F.col(PERIOD) < F.col("_later")).groupBy(PERIOD, "_later").agg(
+        guarded_corr(F.col("share_rank").cast("double"), F.col("_rank").cast("double")).alias("_c")
+    )
+    return pairs.agg(
+        F.count(F.lit(1)).alias("quarter_pairs"), F.avg("_c").alias("mean_rank_correlation"), F.min("_c").alias("lowest_rank_correlation")
+    )
+
+
 def quarterly_relative_error(frame: DataFrame, naive: Column | float, actual: str = "target", prediction: str = "prediction") -> DataFrame:
     """Quarterly MAE of a prediction against that of a constant forecast."""
     constant = naive if isinstance(naive, Column) else F.lit(naive)

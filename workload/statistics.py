@@ -267,6 +267,20 @@ def _(spark, sf):
     return ev.temporal_stability(R.sample(spark, sf), ["f_size", "f_discount", "f_tax"])
 
 
+@case(
+    "m13_graph_size_correlation",
+    """WITH q AS (SELECT report_period, feature, median(v) AS m FROM (UNPIVOT (SELECT report_period, f_size, f_discount, f_tax FROM sample) ON f_size, f_discount, f_tax INTO NAME feature VALUE v) GROUP BY ALL),
+    j AS (SELECT feature, m, n FROM q JOIN (SELECT report_period, count(*) AS n FROM holdings GROUP BY 1) USING (report_period)),
+    r AS (SELECT feature, rank() OVER (PARTITION BY feature ORDER BY m) + (count(*) OVER (PARTITION BY feature, m) - 1) / 2.0 AS a,
+            rank() OVER (PARTITION BY feature ORDER BY n) + (count(*) OVER (PARTITION BY feature, n) - 1) / 2.0 AS b FROM j)
+    SELECT feature, CASE WHEN count(DISTINCT a) > 1 AND count(DISTINCT b) > 1 THEN corr(a, b) END AS size_spearman FROM r GROUP BY 1""",
+    uses="sample holdings", doubles="size_spearman",
+)
+def _(spark, sf):
+    sizes = R.holdings(spark, sf).groupBy("report_period").agg(F.count(F.lit(1)).alias("size"))
+    return ev.graph_size_correlation(R.sample(spark, sf), sizes, ["f_size", "f_discount", "f_tax"])
+
+
 CAL = "mean_prediction mean_actual bias mae"
 
 
@@ -481,6 +495,16 @@ def _(spark, sf):
     return ev.residual_diagnostics(frame)
 
 
+@case(
+    "m23_quarterly_bias",
+    """SELECT report_period, count(*) AS observations, avg(prediction) AS mean_prediction, avg(target) AS mean_actual, avg(prediction - target) AS bias,
+        avg(abs(prediction - target)) AS mae FROM sample GROUP BY 1""",
+    uses="sample", doubles="mean_prediction mean_actual bias mae",
+)
+def _(spark, sf):
+    return ev.quarterly_bias(R.sample(spark, sf))
+
+
 @case(
     "m24_target_availability",
     """SELECT h AS horizon_market_days, sample_split, count(*) AS rows, avg(CAST(CAST(information_date + CAST(h AS INTEGER) AS DATE) <= DATE '2001-06-30' AS DOUBLE)) AS complete_share,
@@ -542,6 +566,19 @@ def _(spark, sf):
     return ev.quarterly_attribution_shares(contributions(spark, sf), VALUES)
 
 
+@case(
+    "m16_share_rank_stability",
+    "WITH a AS ("
+    + " UNION ALL ".join(f"SELECT report_period, '{c}' AS feature, avg(abs(c_{c})) AS m FROM contrib GROUP BY 1" for c in COEF)
+    + """), r AS (SELECT report_period, feature, row_number() OVER (PARTITION BY report_period ORDER BY m DESC, feature) AS k FROM a),
+    p AS (SELECT corr(x.k, y.k) AS c FROM r x JOIN r y ON x.feature = y.feature AND x.report_period < y.report_period GROUP BY x.report_period, y.report_period)
+    SELECT count(*) AS quarter_pairs, avg(c) AS mean_rank_correlation, min(c) AS lowest_rank_correlation FROM p""",
+    uses="contrib", doubles="mean_rank_correlation lowest_rank_correlation",
+)
+def _(spark, sf):
+    return ev.share_rank_stability(ev.quarterly_attribution_shares(contributions(spark, sf), VALUES))
+
+
 @case(
     "m16_dependence_bins",
     """SELECT bin, count(*) AS observations, avg(f_size) AS mean_feature, avg(c_f_size) AS mean_contribution FROM (
