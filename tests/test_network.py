@@ -179,7 +179,7 @@ def _random_graph(draw, n, groups=(1,)):
 def test_every_round_of_moves_raises_modularity(spark, monkeypatch):
     import random
 
-    frame = spark.createDataFrame(_random_graph(random.Random(2), 60), "g int, u long, v long, w double")
+    frame = spark.createDataFrame(_random_graph(random.Random(2), 40), "g int, u long, v long, w double")
     seen = []
     plain = graph._moves_that_add_up
 
@@ -207,9 +207,9 @@ def test_every_round_of_moves_raises_modularity(spark, monkeypatch):
 def test_communities_are_connected_and_beat_trivial_ones(spark):
     import random
 
-    edges = _random_graph(random.Random(6), 50, (1, 2))
+    edges = _random_graph(random.Random(6), 30, (1, 2))
     frame = spark.createDataFrame(edges, "g int, u long, v long, w double")
-    nodes = spark.createDataFrame([(g, i) for g in (1, 2) for i in range(50)], "g int, n long")
+    nodes = spark.createDataFrame([(g, i) for g in (1, 2) for i in range(30)], "g int, n long")
     labels = graph.modularity_communities(nodes, frame, "g", "n", "u", "v", "w").withColumnRenamed("community_id", "community")
     got = {(r["g"], r["node"]): r["community"] for r in labels.collect()}
     for g in (1, 2):

@@ -115,8 +115,8 @@ def test_boosted_trees_follow_their_history(spark):
     at_best = {(r["candidate"], r["boosting_round"]): r["validation_mae"] for r in history.collect()}
     for name, r in rows.items():  # targets lie in 0..1, so bounding predictions changes little
         assert r["mae"] == pytest.approx(at_best[name, r["rounds"]], abs=2e-3)
-    again = md.tune_boosted_trees(frame.repartition(7), ["a", "b"], "t")[1]
-    assert sorted(map(tuple, again.collect())) == sorted(map(tuple, history.collect()))
+    again = md.tune_boosted_trees(frame.repartition(7), ["a", "b"], "t", grid=[(2, 1, 0.8)])[1]
+    assert sorted(map(tuple, again.collect())) == sorted(map(tuple, history.where("candidate = 'trees_01'").collect()))
 
 
 def test_one_tree_splits_like_a_search_over_all_bounds():

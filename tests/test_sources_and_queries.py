@@ -1,3 +1,4 @@
+import hashlib
 import zipfile
 
 import duckdb
@@ -27,6 +28,43 @@ def test_archives_land_as_strings(spark, tmp_path):
     }
 
 
+def test_quoted_fields_hold_separators_quotes_and_breaks(spark, tmp_path):
+    make_zip(tmp_path / "q.zip", {"T.tsv": 'A\tB\r\n"x\ty"\t"say ""no"""\r\n\r\n"two\nlines"\t\r\nshort\r\n'})
+    rows = archives.member_table(archives.read_archives(spark, str(tmp_path), ["T.tsv"]), "T.tsv", ["A", "B", "C"]).collect()
+    assert sorted((r["A"], r["B"], r["C"]) for r in rows) == [("short", None, None), ("two\nlines", None, None), ("x\ty", 'say "no"', None)]
+
+
+def test_archives_are_landed_by_member(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    for i in range(3):
+        make_zip(tmp_path / "in" / f"a{i}.zip", {"ONE.tsv": f"K\n{i}\n", "TWO.tsv": f"V\n{i * 10}\n{i * 10 + 1}\n"})
+    archives.land_archives(spark, str(tmp_path / "in"), {"ONE.tsv": ["K"], "TWO.tsv": ["V"]}, str(tmp_path / "out"))
+    two = spark.read.parquet(str(tmp_path / "out" / "two"))
+    assert sorted((r["source_archive_id"], int(r["V"])) for r in two.collect()) == [(f"a{i}", i * 10 + j) for i in range(3) for j in (0, 1)]
+    assert spark.read.parquet(str(tmp_path / "out" / "one")).count() == 3
+
+
+def test_files_are_tagged_by_their_path(spark, tmp_path):
+    paths = {"one": tmp_path / "a b", "longer": tmp_path / "a b2", "partition": tmp_path / "x" / "c=d"}
+    for i, path in enumerate(paths.values()):
+        spark.range(i, i + 1).write.parquet(str(path))
+    found = tables.read_tagged_parquet(spark, {k: str(p) for k, p in paths.items()}, ["id"], "tag").collect()
+    assert {(r["id"], r["tag"]) for r in found} == {(0, "one"), (1, "longer"), (2, "partition")}
+
+
+def test_fingerprint_of_ranges(spark):
+    ids = [draw * 7919 % 100_003 for draw in range(3000)]
+    frame = spark.createDataFrame([(i,) for i in ids + ids[:50]] + [(None,)], "k long").repartition(5)
+    row = ct.universe_fingerprint(frame, "k").first()
+    ranges = {}
+    for text in sorted(map(str, set(ids))):
+        ranges.setdefault(hashlib.sha256(text.encode()).hexdigest()[:2], []).append(text)
+    digests = [hashlib.sha256("\n".join(ranges[r]).encode()).hexdigest() for r in sorted(ranges)]
+    assert (row["entities"], row["digest"]) == (len(set(ids)), hashlib.sha256("\n".join(digests).encode()).hexdigest())
+    assert ct.universe_fingerprint(frame.repartition(2), "k").first() == row
+    assert ct.universe_fingerprint(frame.limit(0), "k").first()["entities"] == 0
+
+
 @pytest.mark.parametrize("members", [{"other.tsv": "A\n"}, {"a/T.tsv": "A\n1\n", "b/T.tsv": "A\n1\n"}])
 def test_missing_or_repeated_member_fails(spark, tmp_path, members):
     make_zip(tmp_path / "bad.zip", members)
