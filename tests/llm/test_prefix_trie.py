@@ -63,7 +63,7 @@ def _got(frame):
     return sorted((tuple(r) for r in frame.collect()), key=str)
 
 
-@pytest.mark.parametrize("task_nodes", [40, 4096])
+@pytest.mark.parametrize("task_nodes", [120, 4096])
 def test_rebuilt_conversations_equal_a_plain_trie(spark, task_nodes):
     rows = _rows()
     frame = spark.createDataFrame(rows, SHAPE).repartition(5)
@@ -103,6 +103,6 @@ def test_rollup_of_random_forests_and_long_chains(spark):
     nodes = [(v, parent[v], depth[v], v, size[v], values[v]) for v in parent]
     got = centroid_rollup(
         cut_lineage(spark.createDataFrame(nodes, "node long, parent long, depth long, rep long, mass long, x long")),
-        cut_lineage(spark.createDataFrame(paths, "conv_id long, place long, node long, parent long")), ["x"], task_nodes=8,
+        cut_lineage(spark.createDataFrame(paths, "conv_id long, place long, node long, parent long")), ["x"], task_nodes=50,
     )
     assert {r["node"]: r["x"] for r in got.collect()} == total
