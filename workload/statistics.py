@@ -607,7 +607,88 @@ def prepared(spark, sf):
     return cut_lineage(md.apply_preprocessing(sample, parameters, MODEL_FEATURES, LOGGED))
 
 
-@case("m4_ridge_tuning")
+def register_standardised(prefix: str, fitting: str) -> None:
+    """CTE ``<prefix>z``: model features z1 to z4 after logs, bounds, medians and scaling fitted on some splits."""
+    features = MODEL_FEATURES
+    R.cte(
+        f"{prefix}log", "SELECT report_period, information_date, permno, sample_split, target, ln(1 + f_value) AS f_value, f_size, f_spread, f_sparse FROM sample",
+        "sample",
+    )
+    R.cte(
+        f"{prefix}bounds",
+        "SELECT " + ", ".join(f"quantile_cont({c}, 0.01) AS {c}_lower, quantile_cont({c}, 0.99) AS {c}_upper, median({c}) AS {c}_middle" for c in features)
+        + f" FROM {prefix}log WHERE {fitting}",
+        f"{prefix}log",
+    )
+    R.cte(
+        f"{prefix}filled",
+        "SELECT report_period, information_date, permno, sample_split, target, "
+        + ", ".join(f"least(greatest(coalesce({c}, {c}_middle), {c}_lower), {c}_upper) AS {c}" for c in features)
+        + f" FROM {prefix}log, {prefix}bounds",
+        f"{prefix}log {prefix}bounds",
+    )
+    R.cte(
+        f"{prefix}scale",
+        "SELECT " + ", ".join(f"avg({c}) AS {c}_mean, CASE WHEN stddev_pop({c}) = 0 THEN 1 ELSE stddev_pop({c}) END AS {c}_sd" for c in features)
+        + f" FROM {prefix}filled WHERE {fitting}",
+        f"{prefix}filled",
+    )
+    R.cte(
+        f"{prefix}z",
+        "SELECT report_period, information_date, permno, sample_split, target, "
+        + ", ".join(f"({c} - {c}_mean) / {c}_sd AS z{i}" for i, c in enumerate(features, 1)) + f" FROM {prefix}filled, {prefix}scale",
+        f"{prefix}filled {prefix}scale",
+    )
+
+
+def elimination_sql(start: str, size: int, right: int, keep: str) -> str:
+    """Gauss-Jordan elimination in SQL: rows of ``start`` hold m_i_j, ``size`` equations with ``right`` right-hand sides."""
+    steps, columns = [f"e0 AS ({start})"], size + right
+    for k in range(size):
+        cells = [
+            f"m_{i}_{j}" + ("" if i == k or j <= k else f" - m_{i}_{k} * m_{k}_{j} / m_{k}_{k}") + f" AS m_{i}_{j}"
+            for i in range(size) for j in range(columns) if j > k or j == i
+        ]
+        steps.append(f"e{k + 1} AS (SELECT {keep}, {', '.join(cells)} FROM e{k})")
+    return ", ".join(steps)
+
+
+def ridge_sql(table: str, fitting: str, features: int, alphas: str) -> str:
+    """CTEs ending in ``beta`` (alpha, b0, b1, ...) by normal equations on z1 to z<features>."""
+    names = ["1.0", *[f"z{i}" for i in range(1, features + 1)], "target"]
+    sums = ", ".join(f"sum({names[i]} * {names[j]}) AS s_{i}_{j}" for i in range(features + 1) for j in range(features + 2))
+    cells = ", ".join(
+        f"s_{i}_{j}" + (" + alpha" if i == j and i else "") + f" AS m_{i}_{j}" for i in range(features + 1) for j in range(features + 2)
+    )
+    solved = elimination_sql(f"SELECT alpha, {cells} FROM gram, (VALUES {alphas}) a(alpha)", features + 1, 1, "alpha")
+    betas = ", ".join(f"m_{i}_{features + 1} / m_{i}_{i} AS b{i}" for i in range(features + 1))
+    return (
+        f"gram AS (SELECT {sums} FROM {table} WHERE ({fitting}) AND target IS NOT NULL), {solved}, "
+        f"beta AS (SELECT alpha, {betas} FROM e{features + 1})"
+    )
+
+
+def linear_sql(features: int) -> str:
+    return "least(greatest(b0" + "".join(f" + b{i} * z{i}" for i in range(1, features + 1)) + ", 0.0), 1.0)"
+
+
+register_standardised("m", "sample_split = 'train'")
+register_standardised("r", "sample_split IN ('train', 'validation')")
+ALPHAS = "(0.01), (0.1), (1.0), (10.0), (100.0)"
+
+
+@case(
+    "m4_ridge_tuning",
+    f"""WITH {ridge_sql('mz', "sample_split = 'train'", 4, ALPHAS)},
+    p AS (SELECT CAST(alpha AS DOUBLE) AS alpha, report_period, target, {linear_sql(4)} AS p FROM mz, beta WHERE sample_split = 'validation'),
+    k AS (SELECT alpha, report_period, rank() OVER (PARTITION BY alpha, report_period ORDER BY target) + (count(*) OVER (PARTITION BY alpha, report_period, target) - 1) / 2.0 AS a,
+            rank() OVER (PARTITION BY alpha, report_period ORDER BY p) + (count(*) OVER (PARTITION BY alpha, report_period, p) - 1) / 2.0 AS b FROM p),
+    q AS (SELECT alpha, avg(c) AS mean_quarterly_spearman FROM (SELECT alpha, corr(a, b) AS c FROM k GROUP BY alpha, report_period) GROUP BY 1),
+    e AS (SELECT alpha, avg(abs(target - p)) AS mae, sqrt(avg((target - p) * (target - p))) AS rmse,
+            1 - sum((target - p) * (target - p)) / (count(*) * var_pop(target)) AS r2 FROM p GROUP BY 1)
+    SELECT alpha, mae, rmse, r2, mean_quarterly_spearman, alpha = (SELECT arg_min(alpha, mae) FROM e) AS selected FROM e JOIN q USING (alpha)""",
+    uses="mz", doubles="alpha mae rmse r2 mean_quarterly_spearman",
+)
 def _(spark, sf):
     frame = prepared(spark, sf)
     return md.tune_ridge(
@@ -634,7 +715,16 @@ def _(spark, sf):
     return md.tune_boosted_trees(raw_features(spark, sf), MODEL_FEATURES, "target")[1]
 
 
-@case("m6_fixed_specification_refit")
+@case(
+    "m6_fixed_specification_refit",
+    " UNION ALL ".join(
+        f"SELECT * FROM (WITH {ridge_sql('rz', 'sample_split IN (' + chr(39) + 'train' + chr(39) + ', ' + chr(39) + 'validation' + chr(39) + ')', n, '(1.0)')} "
+        f"SELECT report_period, information_date, permno, target, '{name}' AS feature_group, {linear_sql(n)} AS prediction "
+        "FROM rz, beta WHERE sample_split = 'test')"
+        for name, n in (("market", 2), ("augmented", 3), ("network_augmented", 4))
+    ),
+    uses="rz", doubles="target prediction",
+)
 def _(spark, sf):
     return md.refit_feature_groups(R.sample(spark, sf), GROUPS, "target", alpha=1.0, logged=LOGGED)
 
@@ -650,7 +740,27 @@ def _(spark, sf):
     return md.staged_selection(R.sample(spark, sf), GROUPS, "target", LOGGED, rival=("score", "prediction"))
 
 
-@case("m15_ridge_complexity")
+# Of the centred cross products c: degrees of freedom are the features less alpha times the trace of the inverse of c + alpha.
+CENTRED = (
+    "SELECT alpha, " + ", ".join(
+        [f"s_{i}_{j} - s_0_{i} * s_0_{j} / s_0_0" + (" + alpha" if i == j else "") + f" AS m_{i - 1}_{j - 1}" for i in range(1, 5) for j in range(1, 5)]
+        + [f"{1.0 if i == j else 0.0} AS m_{i}_{4 + j}" for i in range(4) for j in range(4)]
+    ) + f" FROM gram, (VALUES {ALPHAS}) a(alpha)"
+)
+SQUARES = "s_5_5 - 2 * (" + " + ".join(f"b{i} * s_{i}_5" for i in range(5)) + ") + " + " + ".join(
+    f"b{i} * b{j} * s_{i}_{j}" for i in range(5) for j in range(5)
+)
+
+
+@case(
+    "m15_ridge_complexity",
+    f"""WITH {ridge_sql('mz', "sample_split = 'train'", 4, ALPHAS)}, yy AS (SELECT sum(target * target) AS s_5_5 FROM mz WHERE sample_split = 'train' AND target IS NOT NULL),
+    f AS (SELECT * FROM (WITH {elimination_sql(CENTRED, 4, 4, 'alpha')} SELECT alpha, 4 - alpha * ({' + '.join(f'm_{i}_{4 + i} / m_{i}_{i}' for i in range(4))}) AS df FROM e4)),
+    t AS (SELECT alpha, CAST(s_0_0 AS BIGINT) AS n, df, {SQUARES} AS rss, s_5_5 - s_0_5 * s_0_5 / s_0_0 AS tss FROM beta JOIN f USING (alpha), gram, yy)
+    SELECT CAST(alpha AS DOUBLE) AS alpha, n AS observations, df AS effective_degrees, 1 - rss / tss AS r2, 1 - (rss / tss) * (n - 1) / (n - df - 1) AS adjusted_r2,
+        n * ln(rss / n) + 2 * (df + 1) AS aic, n * ln(rss / n) + ln(n) * (df + 1) AS bic FROM t""",
+    uses="mz", doubles="alpha effective_degrees r2 adjusted_r2 aic bic",
+)
 def _(spark, sf):
     frame = prepared(spark, sf)
     return md.ridge_complexity(frame.where("sample_split = 'train'"), MODEL_FEATURES, "target")
