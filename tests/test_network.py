@@ -231,3 +231,27 @@ def test_parts_without_a_path_are_split(spark):
     one = spark.createDataFrame([(1, n, 9) for n in (1, 2, 3, 4, 5)], "g int, node long, community long")
     got = {r["node"]: r["community"] for r in graph.connected_parts(one, frame, "g").collect()}
     assert got == {1: 1, 2: 1, 3: 3, 4: 3, 5: 5}
+
+
+@pytest.mark.parametrize("tile_rows", [4, 1000])
+def test_copies_of_a_portfolio_are_compared_once_and_are_all_neighbours(spark, tile_rows):
+    """Groups of 1 to 9 copies, more and fewer than the neighbours wanted, with ties between groups."""
+    rng = np.random.default_rng(4)
+    distinct = (rng.integers(1, 4, (12, 6)) * (rng.random((12, 6)) < 0.6)).astype(float)
+    distinct[:, 0] = 1.0
+    matrix = rng.permutation(np.concatenate([np.repeat(distinct[i : i + 1], 1 + i % 3 * 4, axis=0) for i in range(12)]))
+    rows = [(1, i, j, float(x)) for i, row in enumerate(matrix) for j, x in enumerate(row) if x]
+    weights = spark.createDataFrame(rows, "g int, s long, i int, w double")
+    got = graph.cosine_neighbors(weights, "g", "s", "i", "w", 5, tile_rows=tile_rows, digits=9, strip_tiles=1)
+    assert {(r["source"], r["target"], r["neighbor_rank"]) for r in got.collect()} == brute_neighbors(matrix.round(9), 5)
+
+
+def test_a_class_is_sent_once_for_each_strip(spark):
+    rows = [(g, s, i, 1.0 + (s * i) % 7) for g in (1, 2) for s in range(30 * g) for i in range(s % 5, 9)]
+    weights = spark.createDataFrame(rows, "g int, s long, i int, w double")
+    classes = graph._portfolios(weights, "g", "s", "i", "w")
+    sent = graph._strips(classes, 20).groupBy("g", "strip").agg(F.sum(F.expr("int(distance < 0)")).alias("held"), F.count("s").alias("n"))
+    got = {(r["g"], r["strip"]): (r["held"], r["n"] - r["held"]) for r in sent.collect()}
+    assert set(got) == {(1, 0), (1, 1), (2, 0), (2, 1), (2, 2)}
+    assert all(passing == 30 * g for (g, _), (_, passing) in got.items())
+    assert sum(held for (g, _), (held, _) in got.items() if g == 2) == 60
