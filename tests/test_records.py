@@ -4,9 +4,11 @@ import pytest
 from pyspark.sql import functions as F
 
 from quarterdeck.functions.dates import filing_deadline
+from quarterdeck.operators.joins import with_filing_deadline
 from quarterdeck.plans import filings as fl
 from quarterdeck.plans import positions as ps
 from quarterdeck.plans import securities as sec
+from workload import recipes
 
 SUB = "ACCESSION_NUMBER string, source_archive_id string, CIK string, PERIODOFREPORT string, FILING_DATE string, SUBMISSIONTYPE string"
 COVER = "ACCESSION_NUMBER string, ISAMENDMENT string, AMENDMENTNO string, AMENDMENTTYPE string, FILINGMANAGER_NAME string, REPORTTYPE string"
@@ -48,6 +50,23 @@ def test_deadline_rolls_over_presidents_day(spark):
     assert day == date(2026, 2, 17)
 
 
+def test_deadlines_come_from_a_table_and_beyond_it_from_the_rules(spark):
+    days = [date(1899, 12, 30), date(1900, 1, 1), date(2025, 12, 31), date(2100, 12, 31), date(2101, 1, 1), None]
+    frame = spark.createDataFrame([(d,) for d in days], "report_period date")
+    got = with_filing_deadline(frame)
+    assert got.columns == ["report_period", "information_date"]
+    expected = frame.withColumn("information_date", filing_deadline(F.col("report_period")))
+    assert sorted(map(str, got.collect())) == sorted(map(str, expected.collect()))
+    assert "BroadcastHashJoin" in got._jdf.queryExecution().executedPlan().toString()
+
+
+def test_holdings_and_samples_take_one_shuffle(spark):
+    for build in (recipes.holdings, recipes.sample):
+        plan = build(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange hashpartitioning") == 1
+        assert plan.count("lineitem.parquet") == 1
+
+
 def test_selection_invariants_hold(decisions):
     row = fl.selection_invariants(decisions).first().asDict()
     assert row.pop("groups_with_one_base") == 2

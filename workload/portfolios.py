@@ -7,6 +7,7 @@ from pyspark.sql.window import Window
 
 from quarterdeck.functions import paths
 from quarterdeck.operators.aggregates import weekly_returns
+from quarterdeck.operators.joins import with_filing_deadline
 from quarterdeck.operators.regression import alpha_tests
 from quarterdeck.plans import portfolio as pf
 from quarterdeck.session import cut_lineage
@@ -24,10 +25,9 @@ R.cte(
 
 
 def signals(spark, sf):
-    rows = R.positions(spark, sf)
-    return rows.groupBy("report_period", "information_date", "permno").agg(
-        F.sum("position_value").cast("double").alias("market_cap")
-    ).select(
+    """Totals of securities come straight from the lines, as they need no positions."""
+    rows = R.lines(spark, sf).groupBy("report_period", "permno").agg(F.sum("cents").cast("double").alias("market_cap"))
+    return with_filing_deadline(rows).select(
         "report_period", "information_date", "permno",
         ((F.floor(F.col("permno") / 10) * 3 + F.col("permno") + F.year("report_period") * 4 + F.quarter("report_period")) % 10 + 1).cast("int").alias("decile"),
         "market_cap", F.date_add("information_date", 91).alias("target_window_end"),
@@ -93,8 +93,8 @@ def _(spark, sf):
     uses="market schedule",
 )
 def _(spark, sf):
-    market = R.market(spark, sf)
-    calendar = pf.schedule_calendar(pf.rebalance_schedule(signals(spark, sf), market), market)
+    market = cut_lineage(R.market(spark, sf))
+    calendar = cut_lineage(pf.schedule_calendar(pf.rebalance_schedule(cut_lineage(signals(spark, sf)), market), market))
     return pf.schedule_gaps(calendar, market)
 
 
@@ -118,7 +118,7 @@ def _(spark, sf):
     uses="weights", doubles="weight cap_weight",
 )
 def _(spark, sf):
-    members = pf.portfolio_members(signals(spark, sf), pf.EVENT_PORTFOLIOS)
+    members = pf.portfolio_members(cut_lineage(signals(spark, sf)), pf.EVENT_PORTFOLIOS)
     by_cap = pf.formation_weights(members, "value").select("report_period", "permno", "strategy", F.col("weight").alias("cap_weight"))
     return pf.formation_weights(members).select("report_period", "permno", "strategy", "weight").join(
         by_cap, ["report_period", "permno", "strategy"]
