@@ -134,6 +134,7 @@ def alternative_samples(
     training or validation row whose window reaches the next split's first information date is
     dropped. The starts are one value per split, read by scalar subqueries.
     """
+    sample = stored(sample)
     keys = ["report_period", "information_date", "permno"]
     own = sample.select(*keys, "sample_split", "target_window_end", F.inline(
         F.array(

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from quarterdeck.operators.regression import hac_regression
 from quarterdeck.plans import evaluation as ev
+from quarterdeck.plans.audits import weight_profile
 from quarterdeck.plans import boosting
 from quarterdeck.plans import models as md
 from quarterdeck.plans import panel as pn
@@ -214,3 +215,27 @@ def test_stored_frames_are_computed_once(spark):
     ranked = with_percentile_rank(frame, ["g"], "v")
     plan = ranked._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("Relation [") <= 3 and "Range (" not in plan
+
+
+def test_profiles_and_alternative_targets_compute_their_input_once(spark):
+    def counted(columns):
+        seen = spark.sparkContext.accumulator(0)
+
+        def count(batches):
+            for batch in batches:
+                seen.add(len(batch))
+                yield batch
+
+        return columns.mapInPandas(count, columns.schema), seen
+
+    edges, seen = counted(spark.range(20).selectExpr("id % 4 AS node", "CAST(id AS DOUBLE) AS w"))
+    weight_profile(edges, ["node"], "w").collect()
+    assert seen.value == 20
+    day = date(2020, 3, 31)
+    columns = "report_period date, information_date date, permno int, sample_split string, target_window_end date, " \
+        "future_downside_volatility double, future_worst_rolling_return double"
+    sample, seen = counted(spark.createDataFrame([(day, day, 1, "train", day, 0.1, 0.1), (day, day, 2, "test", day, 0.1, 0.1)], columns))
+    other = spark.createDataFrame([(day, day, 1, 21, True, 0.2, day)], "report_period date, information_date date, permno int, "
+                                  "horizon_market_days int, target_usable boolean, future_max_drawdown double, target_window_end date")
+    assert ev.alternative_samples(sample, other).count() == 5
+    assert seen.value == 2

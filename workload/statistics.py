@@ -354,9 +354,9 @@ R.cte("altsample", ALT, "sample")
 
 
 def alternative_sample(spark, sf):
-    base = R.sample(spark, sf).withColumnsRenamed(
+    base = cut_lineage(R.sample(spark, sf).withColumnsRenamed(
         {"outcome_volatility": "future_downside_volatility", "outcome_five_day": "future_worst_rolling_return"}
-    )
+    ))
     horizon = F.explode(F.array(F.lit(21), F.lit(126))).alias("horizon_market_days")
     other = base.select("report_period", "information_date", "permno", "target", horizon).select(
         "report_period", "information_date", "permno", "horizon_market_days",
@@ -364,7 +364,7 @@ def alternative_sample(spark, sf):
         (F.col("target") * F.col("horizon_market_days") / 63.0).alias("future_max_drawdown"),
         F.date_add("information_date", F.col("horizon_market_days")).alias("target_window_end"),
     )
-    return ev.alternative_samples(base.drop("target"), other)
+    return ev.alternative_samples(base, other)
 
 
 @case("m19_alternative_target_samples", "SELECT * FROM altsample", uses="altsample", doubles="target_value")
@@ -514,7 +514,7 @@ def _(spark, sf):
 def _(spark, sf):
     from quarterdeck.plans.market import target_availability
 
-    base = R.sample(spark, sf)
+    base = cut_lineage(R.sample(spark, sf).select(*KEY, "information_date", "sample_split"))
     horizon = F.explode(F.array(F.lit(21), F.lit(63), F.lit(126))).alias("horizon_market_days")
     windows = base.select(*KEY, "information_date", horizon).select(
         *KEY, "horizon_market_days",
@@ -602,8 +602,8 @@ MODEL_FEATURES = ["f_value", "f_size", "f_spread", "f_sparse"]
 
 
 def prepared(spark, sf):
-    sample = R.sample(spark, sf)
-    parameters = md.fit_preprocessing(sample.where("sample_split = 'train'"), MODEL_FEATURES, LOGGED)
+    sample = cut_lineage(R.sample(spark, sf))
+    parameters = cut_lineage(md.fit_preprocessing(sample.where("sample_split = 'train'"), MODEL_FEATURES, LOGGED))
     return cut_lineage(md.apply_preprocessing(sample, parameters, MODEL_FEATURES, LOGGED))
 
 
@@ -700,8 +700,8 @@ GROUPS = {"market": MODEL_FEATURES[:2], "augmented": MODEL_FEATURES[:3], "networ
 
 
 def raw_features(spark, sf):
-    sample = R.sample(spark, sf)
-    parameters = md.fit_preprocessing(sample.where("sample_split = 'train'"), MODEL_FEATURES, LOGGED)
+    sample = cut_lineage(R.sample(spark, sf))
+    parameters = cut_lineage(md.fit_preprocessing(sample.where("sample_split = 'train'"), MODEL_FEATURES, LOGGED))
     return cut_lineage(md.apply_preprocessing(sample, parameters, MODEL_FEATURES, LOGGED, standardize=False))
 
 
