@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from quarterdeck.operators.regression import hac_regression
 from quarterdeck.plans import evaluation as ev
-from quarterdeck.plans.audits import weight_profile
+from quarterdeck.plans.audits import edge_invariants, weight_profile
 from quarterdeck.plans import boosting
 from quarterdeck.plans import models as md
 from quarterdeck.plans import panel as pn
@@ -231,6 +231,12 @@ def test_profiles_and_alternative_targets_compute_their_input_once(spark):
     edges, seen = counted(spark.range(20).selectExpr("id % 4 AS node", "CAST(id AS DOUBLE) AS w"))
     weight_profile(edges, ["node"], "w").collect()
     assert seen.value == 20
+    links, seen = counted(spark.range(5).selectExpr(
+        "1 AS report_period", "id AS manager_a", "id + 1 AS manager_b", "0.5D AS cosine_similarity", "1L AS directional_links"
+    ))
+    nodes = spark.range(5).selectExpr("1 AS report_period", "id AS manager")
+    assert edge_invariants(links, nodes).first()["unknown_endpoints"] == 1
+    assert seen.value == 5
     day = date(2020, 3, 31)
     columns = "report_period date, information_date date, permno int, sample_split string, target_window_end date, " \
         "future_downside_volatility double, future_worst_rolling_return double"
