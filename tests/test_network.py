@@ -255,3 +255,44 @@ def test_a_class_is_sent_once_for_each_strip(spark):
     assert set(got) == {(1, 0), (1, 1), (2, 0), (2, 1), (2, 2)}
     assert all(passing == 30 * g for (g, _), (_, passing) in got.items())
     assert sum(held for (g, _), (held, _) in got.items() if g == 2) == 60
+
+
+def test_a_group_of_one_strip_is_sent_once_and_meets_itself(spark):
+    rng = np.random.default_rng(9)
+    matrices = {g: (rng.integers(1, 5, (n, 7)) * (rng.random((n, 7)) < 0.5)).astype(float) for g, n in ((1, 18), (2, 47))}
+    rows = [(g, s, i, float(x)) for g, m in matrices.items() for s, row in enumerate(m) for i, x in enumerate(row) if x]
+    weights = spark.createDataFrame(rows, "g int, s long, i int, w double")
+    classes = graph._portfolios(weights, "g", "s", "i", "w")
+    sent = graph._strips(classes, 1000)
+    assert sent.count() == classes.count() and sent.where("distance >= 0").isEmpty()
+    found = sent.mapInArrow(graph._StripMultiplier(100, 9, 8), "g int, s long, t long, similarity double").collect()
+    for g, matrix in matrices.items():
+        got = {(r["s"], r["t"]): r["similarity"] for r in found if r["g"] == g}
+        norm = np.sqrt((matrix**2).sum(axis=1, keepdims=True))
+        unit = matrix / np.where(norm, norm, 1.0)
+        want = (unit @ unit.T).round(9)
+        assert set(got) == {(a, b) for a, b in zip(*np.nonzero(want)) if a != b}
+        assert all(abs(x - want[k]) < 1e-8 for k, x in got.items())
+
+
+def test_portfolios_are_moved_for_classes_only_if_some_are_alike(spark):
+    rows = [(1, s, i, 1.0 + s * i) for s in range(6) for i in (1, 2)]
+    portfolios = graph._portfolios(spark.createDataFrame(rows, "g int, s long, i int, w double"), "g", "s", "i", "w")
+    classes, copies = graph._classes(portfolios)
+    assert not copies and {r["s"] for r in classes.collect()} == set(range(6))
+    again = portfolios.unionByName(portfolios.where("s = 2 or s = 5").withColumn("s", F.col("s") + 10))
+    classes, copies = graph._classes(again)
+    assert copies and {r["s"] for r in classes.collect()} == set(range(6))
+
+
+def test_shuffle_files_of_a_stored_table_are_deleted(spark):
+    from quarterdeck.session import _DROP_SHUFFLES_KEY, cut_lineage
+
+    def shuffles():
+        blocks = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+        return {blocks.apply(i).getName() for i in range(blocks.size()) if blocks.apply(i).getName().startswith("shuffle")}
+
+    before = shuffles()
+    table = cut_lineage(spark.range(1000).groupBy((F.col("id") % 7).alias("k")).count())
+    assert not shuffles() - before
+    assert table.count() == 7 and spark.conf.get(_DROP_SHUFFLES_KEY, None) is None
