@@ -296,3 +296,18 @@ def test_shuffle_files_of_a_stored_table_are_deleted(spark):
     table = cut_lineage(spark.range(1000).groupBy((F.col("id") % 7).alias("k")).count())
     assert not shuffles() - before
     assert table.count() == 7 and spark.conf.get(_DROP_SHUFFLES_KEY, None) is None
+
+
+def test_snapshots_compute_holdings_and_security_nodes_once(spark, monkeypatch):
+    from pathlib import Path
+
+    from workload import composites
+
+    calls = []
+    for module, name in ((composites.R, "holdings"), (composites.nw, "security_nodes")):
+        real = getattr(module, name)
+        monkeypatch.setattr(module, name, lambda *a, _real=real, _name=name, **k: (calls.append(_name), _real(*a, **k))[1])
+    found = composites.snapshots(spark, str(Path("/root/testdata/sf0.001")))
+    assert sorted(calls) == ["holdings", "security_nodes"]
+    audited = {tuple(r) for r in found["snapshot_audit"].select("report_period", "graph_split").collect()}
+    assert {tuple(r) for r in found["periods"].select("report_period", "graph_split").collect()} == audited
