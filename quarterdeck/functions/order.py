@@ -126,7 +126,11 @@ def with_percentile_ranks(
         "average",
     )
     picked = "average" if averages else "fraction"
-    wide = ranked.groupBy(*row_id).agg(
+    # Dealt before they are grouped: a row has one entry a column, so combining them after the join
+    # would fill a task's memory with groups and save nothing.
+    partitions = int(frame.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = ranked.select(*row_id, "measure", picked).repartition(partitions, *row_id)
+    wide = dealt.groupBy(*row_id).agg(
         *[
             F.max(F.when(F.col("measure") == name, F.col(picked))).alias(f"{name}{suffix}")
             for name in values

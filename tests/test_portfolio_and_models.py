@@ -245,3 +245,13 @@ def test_profiles_and_alternative_targets_compute_their_input_once(spark):
                                   "horizon_market_days int, target_usable boolean, future_max_drawdown double, target_window_end date")
     assert ev.alternative_samples(sample, other).count() == 5
     assert seen.value == 2
+
+
+def test_ranks_of_several_columns_are_not_combined_before_they_are_dealt(spark):
+    from quarterdeck.functions import order
+
+    frame = spark.createDataFrame([(i, i % 3, float(i)) for i in range(9)], "id int, a int, b double")
+    plan = order.with_percentile_ranks(frame, [], ["id"], ["a", "b"])
+    text = plan._jdf.queryExecution().executedPlan().toString()
+    assert "REPARTITION_BY_NUM" in text
+    assert {r["id"]: r["b_rank"] for r in plan.collect()} == {i: i / 8 for i in range(9)}
