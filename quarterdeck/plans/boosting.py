@@ -184,19 +184,24 @@ def boosting_history(fits: DataFrame) -> DataFrame:
     return fits.select("candidate", F.inline("history"))
 
 
-def score_boosted(frame: DataFrame, fits: DataFrame, output: str = "prediction") -> DataFrame:
+def score_boosted(
+    frame: DataFrame, fits: DataFrame, output: str = "prediction", keep: Sequence[str] | None = None
+) -> DataFrame:
     """Rows of ``frame`` once per fit, with ``candidate`` and the prediction bounded to 0..1.
 
     Models reach the tasks as one broadcast; their size is set by rounds and depth, not by data.
+    Of the frame's columns those of ``keep`` (all, if not given) are returned.
     """
     models = {r["candidate"]: pickle.loads(r["model"]) for r in fits.select("candidate", "model").collect()}
     shared = frame.sparkSession.sparkContext.broadcast(models)
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in frame.schema.fields)
+    kept = list(frame.columns if keep is None else keep)
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in (frame.schema[c] for c in kept))
+    read = dict.fromkeys([*kept, *(f for trees in models.values() for f in trees.features)])
 
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for name, trees in sorted(shared.value.items()):
                 values = trees.predict(batch[list(trees.features)].to_numpy(np.float64))
-                yield batch.assign(candidate=name, **{output: np.clip(values, 0.0, 1.0)})
+                yield batch[kept].assign(candidate=name, **{output: np.clip(values, 0.0, 1.0)})
 
-    return frame.mapInPandas(score, f"{schema}, candidate string, `{output}` double")
+    return frame.select(*read).mapInPandas(score, f"{schema}, candidate string, `{output}` double")

@@ -82,6 +82,31 @@ def performance(
     )
 
 
+def candidate_performance(
+    scored: DataFrame, actual: str, prediction: str, actual_rank: str, candidate: str = "candidate", period: str = PERIOD
+) -> DataFrame:
+    """``performance`` per candidate, for candidates that predict the same rows, all of them known.
+
+    ``actual_rank`` is the outcome's percentile rank within its period, taken once for all candidates.
+    Both ranks average one half, so a period's rank correlation is a sum over different predictions:
+    rows are combined by prediction where they are and never joined with their ranks.
+    """
+    scored = stored(scored)
+    keys = [candidate, period]
+    metrics = [c.alias(n) for n, c in error_metrics(F.col(actual), F.col(prediction)).items()]
+    errors = scored.groupBy(candidate).agg(F.count(F.lit(1)).alias("observations"), F.count_distinct(period).alias("quarters"), *metrics)
+    centred = F.col(actual_rank) - 0.5
+    sums = scored.groupBy(*keys, prediction).agg(F.sum(centred).alias("_a"), F.sum(centred * centred).alias("_aa"))
+    ranks = order.ranked_values(scored, keys, prediction)
+    average = F.col("before") + (F.col("ties") - 1) / F.lit(2.0)
+    other = F.when(F.col("total") == 1, F.lit(0.5)).otherwise(average / F.nullif(F.col("total") - 1, F.lit(0))) - 0.5
+    joined = sums.join(ranks, [*keys, prediction]).withColumn("_b", other)
+    spread = F.sqrt(F.sum("_aa") * F.sum(F.col("ties") * F.col("_b") * F.col("_b")))
+    quarterly = joined.groupBy(*keys).agg((F.sum(F.col("_a") * F.col("_b")) / F.nullif(spread, F.lit(0.0))).alias("spearman"))
+    means = quarterly.groupBy(candidate).agg(F.avg("spearman").alias("mean_quarterly_spearman"))
+    return errors.join(means, candidate, "left")
+
+
 def mean_forecast(fitting: DataFrame, frame: DataFrame, target: str = "target", output: str = "prediction") -> DataFrame:
     """Every row predicted by the fitting sample's mean (a one-value subquery)."""
     return frame.withColumn(output, fitting.agg(F.avg(target).alias("m")).scalar())

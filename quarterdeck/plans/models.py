@@ -14,8 +14,8 @@ from quarterdeck.functions.scalars import clip
 from quarterdeck.plans.boosting import (
     BOOSTED_GRID, MAX_ROUNDS, PATIENCE, Specification, boosting_history, fit_boosted, grid_specifications, score_boosted,
 )
-from quarterdeck.plans.evaluation import error_metrics, performance
-from quarterdeck.session import cut_lineage, stored
+from quarterdeck.plans.evaluation import candidate_performance, error_metrics, performance
+from quarterdeck.session import cut_lineage, stored_columns
 
 # The regularisation grid and the quantiles used to bound features.
 RIDGE_ALPHAS = (0.01, 0.1, 1.0, 10.0, 100.0)
@@ -211,9 +211,9 @@ def tune_boosted_trees(
 
 def _scored_candidates(validation: DataFrame, fits: DataFrame, target: str) -> DataFrame:
     rows = validation.where(F.col(target).isNotNull())
-    features = sorted({f for f in rows.columns if dict(rows.dtypes)[f] in ("double", "float", "int", "bigint")} | {target})
-    scored = score_boosted(rows.select("report_period", *features), fits, "_prediction")
-    return performance(scored.select("candidate", "report_period", target, "_prediction"), target, "_prediction", by=["candidate"])
+    ranked = order.with_percentile_rank(rows, ["report_period"], target, "_actual_rank")
+    scored = score_boosted(ranked, fits, "_prediction", ["report_period", target, "_actual_rank"])
+    return candidate_performance(scored, target, "_prediction", "_actual_rank")
 
 
 def fit_ridge(fitting: DataFrame, features: Sequence[str], target: str, alpha: float) -> np.ndarray:
@@ -231,13 +231,13 @@ def refit_feature_groups(
     rows. ``model_class`` is ridge (penalty ``alpha``) or trees (``trees``: depth, child, subsample, rounds).
     """
     union = list(dict.fromkeys(f for features in groups.values() for f in features))
-    frame = stored(frame)
+    frame = stored_columns(frame, "report_period", "information_date", "permno", target, "sample_split", *union)
     fitting = frame.where(F.col("sample_split").isin("train", "validation"))
     parameters = cut_lineage(fit_preprocessing(fitting, union, logged))
-    ready = cut_lineage(apply_preprocessing(
+    ready = apply_preprocessing(
         frame.where(F.col("sample_split").isin("train", "validation", "test")), parameters, union, logged,
         standardize=model_class == "ridge",
-    ))
+    )
     fitting, test = ready.where("sample_split <> 'test'"), ready.where("sample_split = 'test'")
     keys = ["report_period", "information_date", "permno", target]
     if model_class == "trees":
@@ -269,11 +269,13 @@ def staged_selection(
     predictions). ``frame`` has raw features; preprocessing is fitted on train, standardised for ridge only.
     """
     union = list(dict.fromkeys(f for features in groups.values() for f in features))
-    frame = stored(frame)
+    frame = stored_columns(
+        frame, "report_period", "permno", target, "sample_split", *union, *([rival[1]] if rival is not None else [])
+    )
     parameters = cut_lineage(fit_preprocessing(frame.where("sample_split = 'train'"), union, logged))
     rows = frame.where(F.col("sample_split").isin("train", "validation"))
     ready = {
-        model: cut_lineage(apply_preprocessing(rows, parameters, union, logged, standardize=model == "ridge"))
+        model: apply_preprocessing(rows, parameters, union, logged, standardize=model == "ridge")
         for model in ("ridge", "trees")
     }
     split = {

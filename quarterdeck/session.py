@@ -88,6 +88,12 @@ def stored(frame: DataFrame) -> DataFrame:
     return frame if frame.__dict__.get(_STORED_AT) else cut_lineage(frame)
 
 
+def stored_columns(frame: DataFrame, *columns: str) -> DataFrame:
+    """The named columns of a stored table, or of a frame of which only they are stored now."""
+    narrow = frame.select(*dict.fromkeys(columns))
+    return narrow if frame.__dict__.get(_STORED_AT) else cut_lineage(narrow)
+
+
 def release(frame: DataFrame | None) -> None:
     """Delete the files of a stored table that nothing will read again."""
     path = frame.__dict__.get(_STORED_AT) if frame is not None else None

@@ -247,6 +247,28 @@ def test_profiles_and_alternative_targets_compute_their_input_once(spark):
     assert seen.value == 2
 
 
+def test_candidates_are_measured_as_one_by_one(spark):
+    """Ties, a constant candidate and a quarter of one row; ranks by prediction give the same correlation."""
+    import random
+
+    from quarterdeck.functions import order
+    from quarterdeck.plans.evaluation import candidate_performance, performance
+
+    rng = random.Random(3)
+    rows = [(q, round(rng.random(), 1)) for q in (1, 2) for _ in range(40)] + [(3, 0.5)]
+    base = spark.createDataFrame([(i, q, y) for i, (q, y) in enumerate(rows)], "id int, report_period int, y double")
+    ranked = order.with_percentile_rank(base, ["report_period"], "y", "r")
+    scored = ranked.selectExpr(
+        "*", "inline(array(struct('a' AS candidate, round(y * 0.3 + (id % 7) / 9, 2) AS p), struct('b' AS candidate, 0.25D AS p), struct('c' AS candidate, (id % 3) / 4.0D AS p)))"
+    )
+    got = {r["candidate"]: r.asDict() for r in candidate_performance(scored, "y", "p", "r").collect()}
+    want = {r["candidate"]: r.asDict() for r in performance(scored, "y", "p", by=["candidate"]).collect()}
+    assert set(got) == {"a", "b", "c"} and got["b"]["mean_quarterly_spearman"] is None
+    for name, row in want.items():
+        assert set(row) == set(got[name])
+        assert all(row[k] == got[name][k] or abs(row[k] - got[name][k]) < 1e-12 for k in row if k != "candidate")
+
+
 def test_ranks_of_several_columns_are_not_combined_before_they_are_dealt(spark):
     from quarterdeck.functions import order
 

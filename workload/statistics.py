@@ -700,9 +700,9 @@ GROUPS = {"market": MODEL_FEATURES[:2], "augmented": MODEL_FEATURES[:3], "networ
 
 
 def raw_features(spark, sf):
-    sample = cut_lineage(R.sample(spark, sf))
+    sample = cut_lineage(R.sample(spark, sf).select(*KEY, "target", "sample_split", *MODEL_FEATURES))
     parameters = cut_lineage(md.fit_preprocessing(sample.where("sample_split = 'train'"), MODEL_FEATURES, LOGGED))
-    return cut_lineage(md.apply_preprocessing(sample, parameters, MODEL_FEATURES, LOGGED, standardize=False))
+    return md.apply_preprocessing(sample, parameters, MODEL_FEATURES, LOGGED, standardize=False)
 
 
 @case("m5_boosted_tree_tuning")
