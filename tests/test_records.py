@@ -115,3 +115,14 @@ def test_mapping_states(spark):
     )
     got = {r["CUSIP"]: (r["match_status"], r["candidate_count"], r["permno"]) for r in sec.map_securities(keys, history).collect()}
     assert got == {"AAA": ("MATCHED", 1, 1), "BBB": ("AMBIGUOUS", 2, None), "CCC": ("UNMATCHED", 0, None)}
+
+
+def test_holdings_queries_decide_on_filings_once(spark, monkeypatch):
+    from workload import CASES, records
+
+    calls, real = [], records.decisions
+    monkeypatch.setattr(records, "decisions", lambda *a: (calls.append(1), real(*a))[1])
+    for name in ("c4_holdings_panel", "c4_portfolio_totals"):
+        calls.clear()
+        CASES[name].build(spark, "/root/testdata/sf0.001")
+        assert len(calls) == 1

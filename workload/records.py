@@ -393,8 +393,9 @@ R.cte(
 )
 
 
-def universe(spark, sf):
-    filings = stored(ps.selected_filings(stored_decisions(spark, sf), CHANGE))
+def universe(spark, sf, decided=None):
+    """``decided``: stored decisions, if the caller has them."""
+    filings = stored(ps.selected_filings(stored_decisions(spark, sf) if decided is None else decided, CHANGE))
     raw = stored(ps.positions_of(
         filings, info(spark, sf), ("CIK", "PERIODOFREPORT", "report_period", "baseline_eligible_manager")
     ))
@@ -623,8 +624,8 @@ R.cte(
 )
 
 
-def pos(spark, sf):
-    return cut_lineage(ps.position_universe(universe(spark, sf)[2]))
+def pos(spark, sf, decided=None):
+    return cut_lineage(ps.position_universe(universe(spark, sf, decided)[2]))
 
 
 def mapping_of(positions, spark, sf):
@@ -813,10 +814,11 @@ R.cte(
 )
 
 
-def mapped(spark, sf):
-    p = pos(spark, sf)
+def mapped(spark, sf, decided=None):
+    decided = stored_decisions(spark, sf) if decided is None else decided
+    p = pos(spark, sf, decided)
     return cut_lineage(
-        sec.mapped_positions(p, fl.manager_metadata(decisions(spark, sf)), mapping_of(p, spark, sf))
+        sec.mapped_positions(p, fl.manager_metadata(decided), mapping_of(p, spark, sf))
     )
 
 
@@ -848,8 +850,9 @@ def _(spark, sf):
     uses="hpanel meta",
 )
 def _(spark, sf):
-    holdings = sec.holdings_panel(sec.eligible_positions(mapped(spark, sf)), ["ticker", "permco"])
-    return sec.portfolio_totals(holdings, fl.manager_metadata(decisions(spark, sf)))
+    decided = stored_decisions(spark, sf)
+    holdings = sec.holdings_panel(sec.eligible_positions(mapped(spark, sf, decided)), ["ticker", "permco"])
+    return sec.portfolio_totals(holdings, fl.manager_metadata(decided))
 
 
 @case(
