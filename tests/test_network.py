@@ -1,4 +1,5 @@
 from datetime import date
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -6,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quarterdeck.operators import graph
 from quarterdeck.plans import network as nw
+from quarterdeck.session import shared_folder
 
 Q = date(2020, 3, 31)
 
@@ -311,3 +313,33 @@ def test_snapshots_compute_holdings_and_security_nodes_once(spark, monkeypatch):
     assert sorted(calls) == ["holdings", "security_nodes"]
     audited = {tuple(r) for r in found["snapshot_audit"].select("report_period", "graph_split").collect()}
     assert {tuple(r) for r in found["periods"].select("report_period", "graph_split").collect()} == audited
+
+
+def _stages(spark):
+    return {p.name for p in Path(shared_folder(spark)).glob("stage-*")}
+
+
+@pytest.mark.parametrize("tile_rows", [8, 1000])
+def test_neighbours_keep_no_portfolios_on_disk(spark, tile_rows):
+    """With copies among the sources and without, only tables of neighbours and members stay stored."""
+    rng = np.random.default_rng(12)
+    matrix = rng.random((30, 9)).round(2) + 0.01
+    for again in (0, 4):
+        matrix[30 - again :] = matrix[:again]
+        rows = [(1, s, i, float(matrix[s, i])) for s in range(30) for i in range(9)]
+        weights = spark.createDataFrame(rows, "g int, s long, i int, w double")
+        before = _stages(spark)
+        got = graph.cosine_neighbors(weights, "g", "s", "i", "w", 3, tile_rows=tile_rows, digits=9)
+        kept = [set(spark.read.parquet(f"{shared_folder(spark)}/{x}").columns) for x in _stages(spark) - before]
+        assert kept and not any(c & {"items", "w", "h"} for c in kept)
+        assert {(r["source"], r["target"], r["neighbor_rank"]) for r in got.collect()} == brute_neighbors(matrix.round(9), 3)
+
+
+def test_only_neighbours_of_copies_are_dealt_again(spark):
+    found = spark.createDataFrame(
+        [(1, 1, 2, 0.9, 1), (1, 2, 1, 0.9, 1), (1, 3, 5, 0.8, 1), (1, 5, 3, 0.8, 1), (1, 3, 1, 0.7, 2)],
+        "g int, s long, t long, similarity double, neighbor_rank int",
+    )
+    members = spark.createDataFrame([(1, 5, 5), (1, 6, 5)], "g int, s long, c long")
+    got = {(r["s"], r["neighbor_rank"]): r["t"] for r in graph._dealt_to_members(found, members, 2).collect()}
+    assert got == {(1, 1): 2, (2, 1): 1, (3, 1): 5, (3, 2): 6, (5, 1): 6, (5, 2): 3, (6, 1): 5, (6, 2): 3}
