@@ -343,3 +343,27 @@ def test_only_neighbours_of_copies_are_dealt_again(spark):
     members = spark.createDataFrame([(1, 5, 5), (1, 6, 5)], "g int, s long, c long")
     got = {(r["s"], r["neighbor_rank"]): r["t"] for r in graph._dealt_to_members(found, members, 2).collect()}
     assert got == {(1, 1): 2, (2, 1): 1, (3, 1): 5, (3, 2): 6, (5, 1): 6, (5, 2): 3, (6, 1): 5, (6, 2): 3}
+
+
+def test_audit_stores_a_pair_once_for_all_counts(spark):
+    rng = np.random.default_rng(21)
+    rows = []
+    for s in range(20):
+        others = rng.permutation([t for t in range(20) if t != s])[:6]
+        # The two directions of a pair may differ, as of roundings.
+        rows += [(Q, s, int(t), r, float(0.05 + (s * t % 17) / 20 + (s < t) * 1e-9)) for r, t in enumerate(others, start=1)]
+    directed = spark.createDataFrame(rows, "report_period date, source long, target long, neighbor_rank int, cosine_similarity double")
+    counts, k = (2, 4, 6), ["report_period", "k_neighbors"]
+    pairs = graph.neighbor_pairs(directed, "report_period")
+    columns = [*k, "cosine_similarity", "is_mutual_neighbor"]
+    want = graph.undirected_union(directed, "report_period", counts).select(*columns).collect()
+    assert sorted(graph.pairs_by_count(pairs, "report_period", counts).select(*columns).collect()) == sorted(want)
+    before = _stages(spark)
+    managers = spark.createDataFrame([(Q, s) for s in range(21)], "report_period date, manager long")
+    got = {r["k_neighbors"]: r for r in nw.similarity_audit(directed, managers, counts).collect()}
+    stored = [spark.read.parquet(f"{shared_folder(spark)}/{x}").count() for x in _stages(spark) - before]
+    assert max(stored) == pairs.count() < len(want)
+    for n in counts:
+        own = [r["cosine_similarity"] for r in want if r["k_neighbors"] == n]
+        assert got[n]["undirected_edges"] == len(own) and got[n]["median_similarity"] == pytest.approx(np.median(own), abs=1e-12)
+        assert got[n]["connected_managers"] == 20 and got[n]["isolated_managers"] == 1
