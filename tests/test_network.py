@@ -367,3 +367,15 @@ def test_audit_stores_a_pair_once_for_all_counts(spark):
         own = [r["cosine_similarity"] for r in want if r["k_neighbors"] == n]
         assert got[n]["undirected_edges"] == len(own) and got[n]["median_similarity"] == pytest.approx(np.median(own), abs=1e-12)
         assert got[n]["connected_managers"] == 20 and got[n]["isolated_managers"] == 1
+
+
+def test_linked_pairs_move_an_edge_once_whatever_its_portfolios(spark):
+    from quarterdeck.operators.joins import linked_pairs
+
+    holdings = spark.createDataFrame([(1, m, s) for m in range(4) for s in range(m, 40 + m)], "p int, m long, s int")
+    edges = spark.createDataFrame([(1, 0, 1, 0.5), (1, 2, 1, 0.25), (1, 3, 9, 1.0)], "p int, a long, b long, w double")
+    found = linked_pairs(edges, holdings, "p", "a", "b", "m", "s", "w")
+    got = {r["s"]: (r["linked_weight"], r["linked_pairs"]) for r in found.collect()}
+    assert got == {s: (0.5 * (1 <= s < 40) + 0.25 * (2 <= s < 41), (1 <= s < 40) + (2 <= s < 41)) for s in range(1, 41)}
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Generate") < plan.index("Join")  # securities are listed after all joins
