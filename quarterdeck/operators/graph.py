@@ -687,9 +687,9 @@ def modularity_communities(
     other groups of the frame. Labels are numbered by falling size, then smallest member. Rounds
     and levels have a high limit only to end a fault, and then raise.
     """
-    base = cut_lineage(
-        edges.select(group, F.col(first).alias("u"), F.col(second).alias("v"), F.col(weight).cast("double").alias("w"))
-    )
+    base = edges.select(group, F.col(first).alias("u"), F.col(second).alias("v"), F.col(weight).cast("double").alias("w"))
+    if not is_stored(edges):
+        base = cut_lineage(base)
     assignment = cut_lineage(
         nodes.select(group, F.col(node).alias("node"), F.col(node).cast("bigint").alias("community"))
     )
@@ -717,14 +717,17 @@ def modularity_communities(
             merged.join(better, group, "left_semi").unionByName(kept)
         )
         release(previous)
+        release(merged)
         score = cut_lineage(compared.select(group, F.greatest("_new", "modularity").alias("modularity")))
         a = labels.select(group, F.col("node").alias("u"), F.col("community").alias("cu"))
         b = labels.select(group, F.col("node").alias("v"), F.col("community").alias("cv"))
-        level_edges = cut_lineage(
+        previous, level_edges = level_edges, cut_lineage(
             level_edges.join(better, group, "left_semi").join(a, [group, "u"]).join(b, [group, "v"])
             .groupBy(group, F.least("cu", "cv").alias("u"), F.greatest("cu", "cv").alias("v"))
             .agg(F.sum("w").alias("w"))
         )
+        release(previous)
+        release(labels)
     raise RuntimeError("Communities did not settle.")
 
 
@@ -741,18 +744,24 @@ def _local_moving(edges: DataFrame, group: str, resolution: float, level: int) -
     fixed = cut_lineage(strength.join(total, group))
     labels = fixed.select(group, F.col("u").alias("node"), F.col("u").alias("community"))
     for round_number in range(_MAX_MOVES):
+        salt = F.lit(round_number + 1000 * level)
+
+        def turn(end: str, salt: Column = salt) -> Column:
+            return F.struct(F.xxhash64(end, salt), F.col(end))
+
         state = labels.join(fixed.withColumnRenamed("u", "node"), [group, "node"])
         volume = state.groupBy(group, "community").agg(F.sum("k").alias("tot"))
-        near = (
-            arcs.join(labels.select(group, F.col("node").alias("v"), "community"), [group, "v"])
-            .groupBy(group, "u", "community").agg(F.sum("w").alias("w_in"))
+        # Labels carry the volume of their community, so that arcs are moved by their ends only.
+        placed = cut_lineage(state.join(volume, [group, "community"]).select(group, "node", "community", "tot", "k", "m"))
+        near = arcs.join(placed.select(group, F.col("node").alias("v"), "community", "tot"), [group, "v"]).select(
+            group, "u", "community", "tot", "w"
         )
-        own = state.select(group, F.col("node").alias("u"), F.col("community").alias("own"), "k", "m")
+        stay = placed.select(group, F.col("node").alias("u"), "community", "tot", F.lit(0.0).alias("w"))
+        own = placed.select(group, F.col("node").alias("u"), F.col("community").alias("own"), "k", "m")
         options = (
-            near.unionByName(own.select(group, "u", F.col("own").alias("community"), F.lit(0.0).alias("w_in")))
-            .groupBy(group, "u", "community").agg(F.sum("w_in").alias("w_in"))
+            near.unionByName(stay).repartition(group, "u")
+            .groupBy(group, "u", "community").agg(F.sum("w").alias("w_in"), F.first("tot").alias("tot"))
             .join(own, [group, "u"])
-            .join(volume, [group, "community"])
         )
         others = F.col("tot") - F.when(F.col("community") == F.col("own"), F.col("k")).otherwise(0.0)
         gain = F.col("w_in") - resolution * F.col("k") * others / (2 * F.col("m"))
@@ -764,14 +773,16 @@ def _local_moving(edges: DataFrame, group: str, resolution: float, level: int) -
         wanting = cut_lineage(
             choice.select(
                 group, "u", "own", (-F.col("best.c")).alias("target"), (F.col("best.gain") - F.col("stay")).alias("gain"),
-                (resolution * F.col("k") / (2 * F.col("m"))).alias("share"), "k",
-                F.struct(F.xxhash64("u", F.lit(round_number + 1000 * level)), "u").alias("turn"),
+                (resolution * F.col("k") / (2 * F.col("m"))).alias("share"), "k", turn("u").alias("turn"),
             )
         )
+        release(placed)
         if wanting.isEmpty():
             release(wanting)
+            if is_stored(labels):
+                release(fixed)
             return labels
-        moving = _moves_that_add_up(wanting, arcs, group)
+        moving = _moves_that_add_up(wanting, arcs.where(turn("v") < turn("u")), group)
         moved = cut_lineage(
             labels.join(moving.select(group, F.col("u").alias("node"), "target"), [group, "node"], "left").select(
                 group, "node", F.coalesce("target", "community").alias("community")
@@ -786,7 +797,7 @@ def _local_moving(edges: DataFrame, group: str, resolution: float, level: int) -
 def _moves_that_add_up(wanting: DataFrame, arcs: DataFrame, group: str) -> DataFrame:
     """Wanted moves that raise modularity even if all wanted moves before them are made.
 
-    Moves have an order. What those before a move can take from its gain is bounded: they may fill
+    Moves have an order, and ``arcs`` lead from a node to those with a turn before it. What those before a move can take from its gain is bounded: they may fill
     its target and empty its community (by the volume that enters and leaves), and neighbours
     among them may leave the target or enter the community. A move whose gain exceeds all of that
     is made. Any number of nodes can enter a community at once; the first in order always moves.
@@ -797,11 +808,9 @@ def _moves_that_add_up(wanting: DataFrame, arcs: DataFrame, group: str) -> DataF
         )
 
     bounded = wanting.withColumn("filled", volume_before("target")).withColumn("emptied", volume_before("own"))
-    mine = wanting.select(group, "u", "own", "target", "turn")
-    theirs = wanting.select(
-        group, F.col("u").alias("v"), F.col("own").alias("v_own"), F.col("target").alias("v_target"), F.col("turn").alias("v_turn")
-    )
-    met = arcs.join(mine, [group, "u"]).join(theirs, [group, "v"]).where(F.col("v_turn") < F.col("turn"))
+    mine = wanting.select(group, "u", "own", "target")
+    theirs = wanting.select(group, F.col("u").alias("v"), F.col("own").alias("v_own"), F.col("target").alias("v_target"))
+    met = arcs.join(mine, [group, "u"]).join(theirs, [group, "v"]).where("v_own = target OR v_target = own")
     leaves, enters = (F.col("v_own") == F.col("target")).cast("int"), (F.col("v_target") == F.col("own")).cast("int")
     lost = met.groupBy(group, "u").agg(F.sum(F.col("w") * (leaves + enters)).alias("lost"))
     margin = F.col("gain") - F.col("share") * (F.col("filled") + F.col("emptied")) - F.coalesce("lost", F.lit(0.0))

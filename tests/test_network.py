@@ -379,3 +379,32 @@ def test_linked_pairs_move_an_edge_once_whatever_its_portfolios(spark):
     assert got == {s: (0.5 * (1 <= s < 40) + 0.25 * (2 <= s < 41), (1 <= s < 40) + (2 <= s < 41)) for s in range(1, 41)}
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     assert plan.index("Generate") < plan.index("Join")  # securities are listed after all joins
+
+
+def test_arcs_are_moved_twice_a_round(spark, monkeypatch):
+    """By their ends for the labels and by node for the choice; only arcs to earlier turns are held against moves."""
+    import random
+
+    frame = graph.cut_lineage(spark.createDataFrame(_random_graph(random.Random(3), 30), "g int, u long, v long, w double"))
+    plans, sent = [], []
+    stored, plain = graph.cut_lineage, graph._moves_that_add_up
+
+    def watched(frame_, *args):
+        if "turn" in frame_.columns:
+            plans.append(frame_._jdf.queryExecution().executedPlan().toString())
+        return stored(frame_, *args)
+
+    def moves(wanting, arcs, group):
+        sent.append(arcs.count())
+        return plain(wanting, arcs, group)
+
+    monkeypatch.setattr(graph, "cut_lineage", watched)
+    monkeypatch.setattr(graph, "_moves_that_add_up", moves)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        graph._local_moving(frame, "g", 1.0, 0)
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    # Arcs by their ends, options by node, and the labels for each of the two.
+    assert plans and all(p.count("Exchange") <= 5 for p in plans)
+    assert sent and set(sent) == {frame.count()}
