@@ -109,6 +109,11 @@ def release(frame: DataFrame | None) -> None:
     """Delete the files of a stored table that nothing will read again."""
     path = frame.__dict__.get(_STORED_AT) if frame is not None else None
     if path:
-        context = frame.sparkSession.sparkContext
-        target = context._jvm.org.apache.hadoop.fs.Path(path)
-        target.getFileSystem(context._jsc.hadoopConfiguration()).delete(target, True)
+        delete_path(frame.sparkSession, path)
+
+
+def delete_path(spark: SparkSession, path: str) -> None:
+    """Delete a file or folder of the shared folder."""
+    context = spark.sparkContext
+    target = context._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(context._jsc.hadoopConfiguration()).delete(target, True)

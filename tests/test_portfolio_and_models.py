@@ -159,6 +159,42 @@ def test_fits_read_at_most_the_stated_sample(spark):
     assert 50 < boosting.bounded_sample(frame, ["permno"], 100).count() < 160
 
 
+def test_fits_over_blocks_read_all_rows_and_equal_fits_in_one_task(spark, monkeypatch):
+    """Above ``max_rows`` no row is left out: trees, rounds and errors are those of one task that holds all rows."""
+    monkeypatch.setattr(boosting, "_BLOCK_ROWS", 40)
+    monkeypatch.setattr(boosting, "_BLOCKS_PER_PART", 2)
+    monkeypatch.setattr(boosting, "_ROUNDS_PER_CHECKPOINT", 3)
+    frame = _curved(spark).repartition(3).cache()
+    train, validation = (frame.where(F.col("sample_split") == s) for s in ("train", "validation"))
+    specs = [
+        boosting.Specification(f"{depth}-{child}", features, depth, child, 1.0, 9, patience)
+        for depth, child, features, patience in ((2, 1, ("a", "b"), 2), (2, 5, ("a", "b"), 30), (3, 1, ("b",), None))
+    ]
+    for gathered in (16, 1):  # sums by the driver, and by tasks
+        monkeypatch.setattr(boosting, "_GATHERED_PARTS", gathered)
+        whole, dealt = (
+            {r["candidate"]: r for r in boosting.fit_boosted(train, validation, "t", specs, max_rows=n).collect()} for n in (1000, 10)
+        )
+        for name, r in whole.items():
+            assert dealt[name]["best_round"] == r["best_round"] and len(dealt[name]["history"]) == len(r["history"])
+            assert [x for h in dealt[name]["history"] for x in h] == pytest.approx([x for h in r["history"] for x in h])
+            mine, theirs = (boosting.pickle.loads(x["model"]) for x in (dealt[name], r))
+            assert (mine.column == theirs.column).all() and (mine.bound == theirs.bound).all()
+            assert mine.leaf == pytest.approx(theirs.leaf) and mine.base == pytest.approx(theirs.base)
+    drawn = [boosting.Specification("half", ("a", "b"), 2, 1, 0.5, 4, None)]
+    again = [boosting.fit_boosted(f, None, "t", drawn, max_rows=10).first() for f in (train, train.repartition(5))]
+    assert again[0] == again[1] and all(h["validation_mae"] is None for h in again[0]["history"])
+
+
+def test_refits_of_more_rows_than_a_task_holds_use_all_of_them(spark, monkeypatch):
+    frame, found = _curved(spark), []
+    for rows in (200_000, 10):
+        monkeypatch.setattr(boosting.fit_boosted, "__defaults__", (("report_period", "permno"), rows, 13))
+        out = md.refit_feature_groups(frame, {"one": ["a"]}, "t", model_class="trees", trees={"depth": 2, "rounds": 4, "subsample": 1.0})
+        found.append({r["permno"]: r["prediction"] for r in out.collect()})
+    assert len(set(found[0].values())) > 2 and found[1] == pytest.approx(found[0])
+
+
 def test_split_ranges_and_chronology(spark):
     ranges = {"train": ("2020-03-31", "2020-06-30"), "validation": ("2020-12-31", "2020-12-31"), "test": ("2021-06-30", "2021-06-30")}
     periods = ["2020-03-31", "2020-06-30", "2020-09-30", "2020-12-31", "2021-03-31", "2021-06-30"]
