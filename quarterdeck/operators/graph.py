@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+from quarterdeck.operators.communities import communities
 from quarterdeck.session import as_stored, cut_lineage, is_stored, release
 
 _MAX_ROUNDS = 60
@@ -19,6 +20,8 @@ _MAX_MOVES = 1000
 _ROWS_PER_PRODUCT = 100_000
 #: Entries of a strip that a task holds, and items that are multiplied at once.
 _STRIP_ENTRIES = 20_000_000
+#: Edges of a group up to which one task finds its communities.
+_TASK_EDGES = 2_000_000
 _TILE_COLUMNS = 2048
 
 
@@ -674,8 +677,9 @@ def modularity_communities(
     weight: str,
     resolution: float = 1.0,
     tolerance: float = 1e-6,
+    task_edges: int = _TASK_EDGES,
 ) -> DataFrame:
-    """Weighted communities per group by distributed local moving and contraction.
+    """Weighted communities per group by local moving and contraction.
 
     In a round every node weighs its neighbouring communities by modularity gain, and all moves
     are made that raise modularity whatever the moves before them in a random order do
@@ -686,13 +690,58 @@ def modularity_communities(
     between their parts are split (``connected_parts``). A group's labels do not depend on the
     other groups of the frame. Labels are numbered by falling size, then smallest member. Rounds
     and levels have a high limit only to end a fault, and then raise.
+
+    A group of up to ``task_edges`` edges goes through all of its rounds in one task, on arrays
+    (``communities``); the tables of larger groups are moved round by round. Labels are the same.
     """
     base = edges.select(group, F.col(first).alias("u"), F.col(second).alias("v"), F.col(weight).cast("double").alias("w"))
     if not is_stored(edges):
         base = cut_lineage(base)
-    assignment = cut_lineage(
-        nodes.select(group, F.col(node).alias("node"), F.col(node).cast("bigint").alias("community"))
+    sizes = cut_lineage(base.groupBy(group).agg(F.count(F.lit(1)).alias("_edges")))
+    large = sizes.where(F.col("_edges") > task_edges).select(group)
+    start = nodes.select(group, F.col(node).alias("node"), F.col(node).cast("bigint").alias("community"))
+    if large.isEmpty():
+        return number_communities(_settled_in_tasks(start, base, group, sizes.count(), resolution, tolerance), group)
+    start = cut_lineage(start)
+    if sizes.where(F.col("_edges") <= task_edges).isEmpty():
+        found = _settled_in_rounds(start, base, group, resolution, tolerance)
+    else:
+        found = _settled_in_rounds(
+            cut_lineage(start.join(large, group, "left_semi")), cut_lineage(base.join(large, group, "left_semi")), group, resolution, tolerance
+        ).unionByName(
+            _settled_in_tasks(
+                start.join(large, group, "left_anti"), base.join(large, group, "left_anti"), group, sizes.count(), resolution, tolerance
+            )
+        )
+    return number_communities(cut_lineage(found), group)
+
+
+def _settled_in_tasks(
+    assignment: DataFrame, base: DataFrame, group: str, groups: int, resolution: float, tolerance: float
+) -> DataFrame:
+    """(group, node, community) of groups that a task holds; a group is dealt to a task of its own, if numbers allow."""
+    kind = assignment.schema["node"].dataType
+
+    def settle(edges: pd.DataFrame) -> pd.DataFrame:
+        nodes, labels = communities(
+            edges["u"].to_numpy(np.int64), edges["v"].to_numpy(np.int64), edges["w"].to_numpy(np.float64),
+            resolution, tolerance, _MAX_ROUNDS, _MAX_MOVES,
+        )
+        return pd.DataFrame({group: [edges[group].iloc[0]] * len(nodes), "node": nodes, "community": labels})
+
+    schema = T.StructType([base.schema[group], T.StructField("node", kind), T.StructField("community", T.LongType())])
+    dealt = base.repartition(max(1, min(8 * groups, 2000)), group).groupBy(group)
+    # Stored, so that the tasks run once, whoever counts and reads their labels.
+    labels = cut_lineage(dealt.applyInPandas(settle, schema))
+    return assignment.withColumnRenamed("community", "_alone").join(labels, [group, "node"], "left").select(
+        group, "node", F.coalesce("community", "_alone").alias("community")
     )
+
+
+def _settled_in_rounds(
+    assignment: DataFrame, base: DataFrame, group: str, resolution: float, tolerance: float
+) -> DataFrame:
+    """(group, node, community) of groups of any size, by tables that are moved in each round."""
     level_edges = base.select(
         group, F.col("u").cast("bigint").alias("u"), F.col("v").cast("bigint").alias("v"), "w"
     )
@@ -711,7 +760,7 @@ def modularity_communities(
         compared = cut_lineage(reached.join(score, group))
         better = compared.where(F.col("_new") > F.col("modularity") + tolerance).select(group)
         if better.isEmpty():
-            return number_communities(connected_parts(assignment, base, group), group)
+            return connected_parts(assignment, base, group)
         kept = assignment.join(better, group, "left_anti")
         previous, assignment = assignment, cut_lineage(
             merged.join(better, group, "left_semi").unionByName(kept)

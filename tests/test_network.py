@@ -408,3 +408,30 @@ def test_arcs_are_moved_twice_a_round(spark, monkeypatch):
     # Arcs by their ends, options by node, and the labels for each of the two.
     assert plans and all(p.count("Exchange") <= 5 for p in plans)
     assert sent and set(sent) == {frame.count()}
+
+
+def test_communities_of_small_groups_are_found_in_tasks_and_are_those_of_rounds(spark, monkeypatch):
+    """Groups of more edges than a task takes go round by round; the labels are the same, whatever the way."""
+    import random
+
+    edges = _random_graph(random.Random(8), 20) + [(3, 0, 1, 1.0), (3, 1, 2, 1.0), (3, 5, 6, 0.5)]
+    frame = spark.createDataFrame(edges, "g int, u int, v int, w double")
+    nodes = spark.createDataFrame([(g, i) for g in (1, 3, 4) for i in range(21)], "g int, n int")  # group 4 has no edge
+    plain, moved = graph._local_moving, []
+    monkeypatch.setattr(graph, "_local_moving", lambda *a: (moved.append(a), plain(*a))[1])
+    found = []
+    for task_edges in (1000, 10):
+        moved.clear()
+        labels = graph.modularity_communities(nodes, frame, "g", "n", "u", "v", "w", task_edges=task_edges)
+        found.append(sorted(map(tuple, labels.collect())))
+        assert bool(moved) == (task_edges < 1000)
+    assert found[0] == found[1] and len(found[0]) == 3 * 21
+    assert len({c for g, _, c in found[0] if g == 3}) == 21 - 3 and len({c for g, _, c in found[0] if g == 1}) <= 8
+
+
+def test_turns_are_those_of_the_tables(spark):
+    from quarterdeck.operators.communities import turns
+
+    ids = np.array([0, 1, -5, 2**40, 123456789])
+    table = spark.createDataFrame([(int(i),) for i in ids], "i long").select(F.xxhash64("i", F.lit(1007)).alias("h"))
+    assert [r["h"] for r in table.collect()] == turns(ids, 1007).tolist()
