@@ -435,3 +435,31 @@ def test_turns_are_those_of_the_tables(spark):
     ids = np.array([0, 1, -5, 2**40, 123456789])
     table = spark.createDataFrame([(int(i),) for i in ids], "i long").select(F.xxhash64("i", F.lit(1007)).alias("h"))
     assert [r["h"] for r in table.collect()] == turns(ids, 1007).tolist()
+
+
+def test_classes_move_digests_and_unique_rows_are_not_summed(spark, monkeypatch):
+    """No portfolio is dealt to find its copies, and rows said to be unique go straight into portfolios."""
+    rng = np.random.default_rng(4)
+    matrix = rng.integers(1, 50, (12, 5)).astype(float)
+    matrix[8:] = matrix[:4]
+    rows = [(1, s, i, float(matrix[s, i])) for s in range(12) for i in range(5)]
+    weights = spark.createDataFrame(rows, "g int, s long, i int, w double")
+    stored, seen = graph.cut_lineage, []
+    monkeypatch.setattr(graph, "cut_lineage", lambda f, *a: (seen.append(f.columns), stored(f, *a))[1])
+    found = [
+        sorted(map(tuple, graph.cosine_neighbors(f, "g", "s", "i", "w", 4, digits=9, unique=unique).collect()))
+        for f, unique in ((weights, False), (weights, True), (weights.withColumn("w", F.col("w") / 64), True))
+    ]
+    assert found[0] == found[1] == found[2] and len(found[0]) == 48
+    assert not any({"c", "items"} <= set(columns) for columns in seen)
+    plans = [
+        graph._portfolios(weights, "g", "s", "i", "w", unique)._jdf.queryExecution().optimizedPlan().toString() for unique in (False, True)
+    ]
+    assert [p.count("Aggregate") for p in plans] == [2, 1]
+
+
+def test_securities_are_numbered_before_parts_meet_lines(spark):
+    from workload import recipes
+
+    plan = recipes.lines(spark, "/root/testdata/sf0.001").select("permno", "cents")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Join") < plan.index("array_position")
