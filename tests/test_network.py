@@ -463,3 +463,14 @@ def test_securities_are_numbered_before_parts_meet_lines(spark):
 
     plan = recipes.lines(spark, "/root/testdata/sf0.001").select("permno", "cents")._jdf.queryExecution().optimizedPlan().toString()
     assert plan.index("Join") < plan.index("array_position")
+
+
+def test_holdings_are_computed_once_for_edges_and_what_is_told_of_them(spark, monkeypatch):
+    from workload import CASES, recipes
+
+    plain, calls = recipes.lines, []
+    monkeypatch.setattr(recipes, "lines", lambda *a: (calls.append(a), plain(*a))[1])
+    for name in ("c12_community_summary", "q15_edge_invariants"):
+        calls.clear()
+        CASES[name].build(spark, "/root/testdata/sf0.001")
+        assert len(calls) == 1
