@@ -470,7 +470,7 @@ def test_holdings_are_computed_once_for_edges_and_what_is_told_of_them(spark, mo
 
     plain, calls = recipes.lines, []
     monkeypatch.setattr(recipes, "lines", lambda *a: (calls.append(a), plain(*a))[1])
-    for name in ("c12_community_summary", "q15_edge_invariants"):
+    for name in ("c9_neighbor_count_sensitivity", "c12_community_summary", "q15_edge_invariants", "c20_ranked_network_sample"):
         calls.clear()
         CASES[name].build(spark, "/root/testdata/sf0.001")
         assert len(calls) == 1
